@@ -1 +1,7 @@
 """Catalogue matching, recommendation and activity analytics as Spark DataFrame operators."""
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import IntegerType
 
 
 def damerau_distance(left: str, right: str) -> int:
@@ -28,12 +29,37 @@ def damerau_distance(left: str, right: str) -> int:
     return table[-1][-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def damerau_levenshtein(left: pd.Series, right: pd.Series) -> pd.Series:
     """Arrow-batched distance; only meant for pairs that already share a blocking key."""
     return pd.Series([damerau_distance(a, b) for a, b in zip(left, right)], dtype="int32")
 
 
+def adjacent_swaps(word: Column) -> Column:
+    """All strings one swap of neighbouring letters away."""
+    def swap(i):
+        return F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(1)),
+                        F.substring(word, i, F.lit(1)), F.substring(word, i + 2, F.length(word)))
+
+    return F.when(F.length(word) >= 2, F.transform(
+        F.sequence(F.lit(1), F.length(word) - 1), swap)).otherwise(F.array().cast("array<string>"))
+
+
+def small_distance(left: Column, right: Column) -> Column:
+    """The Damerau-Levenshtein distance where it is at most 2, else null; JVM only.
+
+    Two operations pass through one string in between: without swaps the plain
+    distance counts them, otherwise a swap comes first, last or both times.
+    """
+    plain = F.levenshtein(left, right, 4)
+    before, after = adjacent_swaps(left), adjacent_swaps(right)
+    two = (F.exists(before, lambda s: F.levenshtein(s, right, 1) >= 0)
+           | F.exists(after, lambda s: F.levenshtein(left, s, 1) >= 0) | F.arrays_overlap(before, after))
+    return (F.when(plain < 0, F.lit(None)).when(plain <= 1, plain)
+            .when(plain == 2, F.when(F.array_contains(before, right), 1).otherwise(2))
+            .when(two, F.lit(2)))
+
+
 def deletion_keys(word: Column, budget: Column) -> Column:
     """All strings left after up to `budget` (0, 1 or 2) deletions, distinct.
 

@@ -40,9 +40,13 @@ def fold_case(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+_COMBINING = "".join(chr(c) for c in range(0x0300, 0x0370))
+
+
 def strip_accents(text: Column) -> Column:
+    """One pass: accented letters to base letters, loose combining marks dropped."""
     source, target = _base_letters()
-    return F.regexp_replace(F.translate(text, source, target), r"\p{M}+", "")
+    return F.translate(text, source + _COMBINING, target)
 
 
 def words_of(text: Column) -> Column:
@@ -60,60 +64,91 @@ def raw_words(text: Column) -> Column:
     return words_of(fold_case(text))
 
 
-def transliterate(text: Column) -> Column:
-    """Cyrillic to Latin (й becomes y), then accents dropped."""
+@lru_cache(maxsize=None)
+def _latin_tables() -> tuple[str, str, list[tuple[str, str]]]:
+    """(from, to) letters in one table, and the letters written with several."""
     single = [(c, t) for c, t in zip(fv.CYRILLIC, fv.LATIN) if len(t) == 1]
     dropped = [c for c, t in zip(fv.CYRILLIC, fv.LATIN) if t == ""]
     longer = [(c, t) for c, t in zip(fv.CYRILLIC, fv.LATIN) if len(t) > 1]
-    out = F.translate(text, "".join(c for c, _ in single) + "".join(dropped),
-                      "".join(t for _, t in single))
+    # Cyrillic letters first, then accents, then letters to drop.
+    accents = [(a, b) for a, b in zip(*_base_letters()) if a not in fv.CYRILLIC]
+    return ("".join(c for c, _ in single + accents) + "".join(dropped) + _COMBINING,
+            "".join(t for _, t in single + accents), longer)
+
+
+def transliterate(text: Column) -> Column:
+    """Cyrillic to Latin (й becomes y), then accents dropped."""
+    source, target, longer = _latin_tables()
+    out = F.translate(text, source, target)
     for letter, latin in longer:
         out = F.replace(out, F.lit(letter), F.lit(latin))
-    plain = F.when(text.rlike(r"[Ѐ-ӿ]"), out).otherwise(text)
-    return strip_accents(plain)
+    return out
+
+
+def resolve_alias(latin: Column) -> Column:
+    return F.when(latin.isin(list(fv.WORD_ALIASES)),
+                  F.element_at(literal_map(fv.WORD_ALIASES), latin)).otherwise(latin)
 
 
 def canonical(word: Column) -> Column:
     """Alias-resolved Latin form of one word."""
-    latin = transliterate(fold_case(word))
-    return F.coalesce(F.element_at(literal_map(fv.WORD_ALIASES), latin), latin)
+    return resolve_alias(transliterate(fold_case(word)))
 
 
 def usable(word: Column) -> Column:
     return ((F.length(word) >= 2) & ~word.isin(fv.STOP_WORDS)
-            & ~word.rlike(r"^\p{N}{4,}$"))
+            & ((F.length(word) < 4) | ~word.rlike(r"^\p{N}{4,}$")))
 
 
-def tokens(text: Column) -> Column:
+@lru_cache(maxsize=None)
+def _tokens_sql() -> str:
+    """`tokens` as SQL text over @text: one parse instead of hundreds of literal columns."""
+    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    among = lambda values: "(" + ", ".join(quote(v) for v in values) + ")"
+    source, target, longer = _latin_tables()
+    latin = f"translate(replace(lower(coalesce(@text, '')), 'ß', 'ss'), {quote(source)}, {quote(target)})"
+    for letter, letters in longer:
+        latin = f"replace({latin}, {quote(letter)}, {quote(letters)})"
+    aliases = "map(" + ", ".join(f"{quote(k)}, {quote(v)}" for k, v in fv.WORD_ALIASES.items()) + ")"
+    words = f"regexp_extract_all({latin}, {quote(WORD)}, 0)"
+    resolved = f"CASE WHEN w IN {among(fv.WORD_ALIASES)} THEN element_at({aliases}, w) ELSE w END"
+    keep = (f"length(t) >= 2 AND t NOT IN {among(fv.STOP_WORDS)} AND "
+            f"(length(t) < 4 OR NOT t RLIKE {quote('^' + chr(92) + 'p{N}{4,}$')})")
+    return f"filter(transform({words}, w -> {resolved}), t -> {keep})"
+
+
+def tokens(text: Column | str) -> Column:
     """Canonical usable words of a text, in order.
 
     Transliteration runs once over the whole text: it maps letters to letters,
     so the word boundaries stay where they were.
     """
-    aliases = literal_map(fv.WORD_ALIASES)
+    if isinstance(text, str):
+        return F.expr(_tokens_sql().replace("@text", text))
     latin = words_of(transliterate(fold_case(F.coalesce(text, F.lit("")))))
-    return F.filter(F.transform(latin, lambda w: F.coalesce(F.element_at(aliases, w), w)), usable)
+    return F.filter(F.transform(latin, lambda w: resolve_alias(w)), lambda w: usable(w))
 
 
-def word_variants(word: Column) -> Column:
-    """array<struct<term, method, prior>>: direct, look-alike and split-glyph readings."""
+def reading_forms(word: Column) -> Column:
+    """array<string>: the word as read, with look-alike glyphs, with split glyphs and digits."""
     low = fold_case(word)
-    direct = canonical(word)
     swap = lambda c: F.translate(c, fv.LOOKALIKE_FROM, fv.LOOKALIKE_TO)
-    lookalike = canonical(swap(low))
     joined = F.regexp_replace(low, fv.SPLIT_GLYPH_PATTERN, fv.SPLIT_GLYPH_LETTER)
-    glyph = canonical(swap(F.translate(joined, fv.DIGIT_GLYPHS_FROM, fv.DIGIT_GLYPHS_TO)))
-
-    def entry(term, method):
-        return F.struct(term.alias("term"), F.lit(method).alias("method"),
-                        F.lit(fv.VARIANT_PRIORS[method]).alias("prior"))
-
-    known = F.array(entry(direct, "direct"))
-    known = F.when(lookalike != direct, F.array_append(known, entry(lookalike, "lookalike"))
-                   ).otherwise(known)
-    known = F.when((glyph != direct) & (glyph != lookalike),
-                   F.array_append(known, entry(glyph, "glyph"))).otherwise(known)
-    return F.filter(known, lambda v: usable(v["term"]))
+    glyph = swap(F.translate(joined, fv.DIGIT_GLYPHS_FROM, fv.DIGIT_GLYPHS_TO))
+    return F.array(low, swap(low), glyph)
+
+
+def variants_from_terms(terms: Column) -> Column:
+    """array<struct<term, method, prior>> of three canonical readings, each term once."""
+    methods = list(fv.VARIANT_PRIORS)
+
+    def entry(i):
+        return F.struct(terms[i].alias("term"), F.lit(methods[i]).alias("method"),
+                        F.lit(fv.VARIANT_PRIORS[methods[i]]).alias("prior"))
+
+    fresh = [F.lit(True), terms[1] != terms[0], (terms[2] != terms[0]) & (terms[2] != terms[1])]
+    readings = F.array(*[F.when(f, entry(i)) for i, f in enumerate(fresh)])
+    return F.filter(readings, lambda v: v.isNotNull() & usable(v["term"]))
 
 
 def attribute_words() -> list[str]:

@@ -9,8 +9,8 @@ from catmatch.functions import scalars as sc, text as tx
 
 def title_terms(title: str = "title", winery: str = "winery") -> Column:
     """Distinct title words that are not of the winery, a colour or a sweetness."""
-    own = F.array_distinct(tx.tokens(F.col(title)))
-    other = F.array_union(tx.tokens(F.col(winery)),
+    own = F.array_distinct(tx.tokens(title))
+    other = F.array_union(tx.tokens(winery),
                           tx.literal_array(fv.COLOR_TERMS + fv.SWEETNESS_TERMS))
     return F.array_except(own, other)
 
@@ -108,7 +108,7 @@ def membership_features(candidates: DataFrame, evidence: DataFrame, cards: DataF
     """
     fields = cards.select(
         "slug", "winery", title_terms().alias("title_terms"),
-        F.array_distinct(tx.tokens(F.col("grapes"))).alias("grape_terms"),
+        F.array_distinct(tx.tokens("grapes")).alias("grape_terms"),
         sc.product_key(F.col("slug"), F.col("winery"), F.col("grapes"), F.col("category")).alias("product"))
     strength = sc.evidence_strength(F.col("confidence"), F.col("match_strength"))
     best = evidence.withColumn("strength", strength).groupBy("query_id", "slug", "term").agg(

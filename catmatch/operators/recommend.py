@@ -41,3 +41,57 @@ def random_draw(pool: DataFrame, key: str, seed_order: Column, n: int) -> DataFr
     sectors = F.sequence(F.col("_n"), F.lit(n - 1), F.col("_total").cast("int"))
     return placed.select(F.explode(sectors).alias("sector"), key).withColumn(
         "sector", F.col("sector").cast("bigint"))
+
+
+def attribute_precedence(cards: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
+    """(slug, sweetness, source): the first source naming any value decides.
+
+    Sources are the reviewed value, the metadata, the title and the slug; an
+    ambiguous first source leaves the value unset.
+    """
+    from catmatch.operators.tagging import find_values, phrase_table
+
+    reviewed = F.when(F.col("review_status").isin("confirmed", "applied"), F.col("review_sweetness"))
+    names = ["reviewed", "metadata", "title", "slug"]
+    texts = [reviewed, F.col("sweetness"), F.col("title"), F.col("slug")]
+    sources = F.array(*[F.struct(F.lit(i).alias("place"), F.coalesce(t, F.lit("")).alias("text"))
+                        for i, t in enumerate(texts)])
+    rows = cards.select("slug", F.explode(sources).alias("s")).select("slug", "s.*").filter("text <> ''")
+    found = find_values(rows, ["slug", "place"], "text", phrase_table(cards.sparkSession, "sweetness", vocabulary))
+    each = found.groupBy("slug", "place").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"))
+    first = each.groupBy("slug").agg(F.min(F.struct("place", "n", "value")).alias("m"))
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("m.place") + 1)
+    return cards.select("slug").join(first, "slug", "left").select(
+        "slug", F.when(F.col("m.n") == 1, F.col("m.value")).alias("sweetness"),
+        F.when(F.col("m").isNotNull(), label).alias("source"))
+
+
+def shortlist_consensus(candidates: DataFrame, cards: DataFrame) -> DataFrame:
+    """The producer three distinct leading candidates share, if there is one."""
+    top = candidates.filter("rank <= 3").select("query_id", "slug").join(
+        cards.select("slug", "producer"), "slug", "left")
+    agreed = ((F.count(F.lit(1)) == 3) & (F.size(F.collect_set("slug")) == 3)
+              & (F.count("producer") == 3) & (F.min("producer") == F.max("producer")))
+    return top.groupBy("query_id").agg(F.when(agreed, F.min("producer")).alias("producer"))
+
+
+def line_terms(queries: DataFrame, lines: DataFrame, titles: DataFrame, excluded: list[str]) -> DataFrame:
+    """(query_id, line_terms): title words read on the label that the producer repeats.
+
+    `queries` names the producer per query; a word counts when at least two of
+    that producer's titles hold it and it is no vocabulary or producer word.
+    """
+    from catmatch.functions import text as tx
+    from catmatch.operators.tagging import reliable_lines
+
+    repeated = titles.select("producer", F.explode(F.array_distinct(F.split(
+        tx.normalize_phrase(F.col("title")), " "))).alias("word")).groupBy("producer", "word").agg(
+        F.count(F.lit(1)).alias("n")).filter("n >= 2").select("producer", "word")
+    read = reliable_lines(lines, 0.8).select("query_id", F.explode(F.split(
+        tx.normalize_phrase(F.col("text")), " ")).alias("word")).filter(
+        (F.length("word") >= 4) & ~F.col("word").rlike(r"^\p{N}+$")
+        & ~F.col("word").isin(excluded or [""])).distinct()
+    named = queries.select("query_id", "producer", F.split(tx.normalize_phrase(F.col("producer")), " ").alias("_own"))
+    hits = read.join(named, "query_id").filter(~F.array_contains("_own", F.col("word"))).join(
+        repeated, ["producer", "word"], "left_semi")
+    return hits.groupBy("query_id").agg(F.array_sort(F.collect_set("word")).alias("line_terms"))

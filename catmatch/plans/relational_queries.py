@@ -337,14 +337,12 @@ def title_terms(v):
     return v.cards.select("slug", F.array_join(F.array_sort(op()), ",").alias("terms"))
 
 
-@query("distinctive_terms", "U4", f"""
-    SELECT winery, term FROM (SELECT DISTINCT winery, unnest({TITLE_TERMS}) AS term FROM cards WHERE category = 'SMALL')
-    WHERE (winery, term) NOT IN (SELECT o.winery, t.term FROM (SELECT DISTINCT winery FROM cards) o,
-      (SELECT DISTINCT winery, unnest({TITLE_TERMS}) AS term FROM cards WHERE category = 'SMALL') t WHERE o.winery <> t.winery)""")
+@query("distinctive_terms", "U4", """
+    SELECT item_id, term FROM bench_terms WHERE term NOT IN (
+      SELECT term FROM bench_terms GROUP BY term HAVING count(DISTINCT item_id) > 1)""")
 def distinctive_terms(v):
-    from catmatch.operators.decisions import distinctive_terms as op, title_terms as terms
-    owned = v.cards.filter("category = 'SMALL'").select("winery", F.explode(terms()).alias("term"))
-    return op(owned, "winery", "term")
+    from catmatch.operators.decisions import distinctive_terms as op
+    return op(v.bench_terms, "item_id", "term")
 
 
 @query("union_evidence", "U5", """

@@ -15,6 +15,9 @@ def confidence_of(key: Column, position: Column) -> Column:
     return (60 + (key * 31 + position * 17) % 41) / 100
 
 
+_INDEXES: dict = {}
+
+
 class Views(Tables):
     # ---------------------------------------------------------------- catalogue
     @property
@@ -98,9 +101,18 @@ class Views(Tables):
             F.when(key % 2 == 0, "white").otherwise("red").alias("category"),
             F.concat(F.lit("NATION_"), key % 25).alias("region"))
 
+    @property
+    def bench_index(self):
+        """The text index of the passages, built once per session and directory."""
+        from catmatch.operators.text_search import build_index
+        key = (id(self.spark), self.directory)
+        if key not in _INDEXES:
+            _INDEXES[key] = build_index(self.bench_cards)
+        return _INDEXES[key]
+
     @property
     def bench_terms(self) -> DataFrame:
-        words = F.explode(F.array_distinct(tx.tokens(F.col("text"))))
+        words = F.explode(F.array_distinct(tx.tokens("text")))
         return self.benchmark.select("item_id", words.alias("term"))
 
     # ---------------------------------------------------------------- vectors

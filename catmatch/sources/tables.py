@@ -1,7 +1,7 @@
 """Lazy access to the parquet tables of one data directory."""
 from __future__ import annotations
 
-from functools import cached_property
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +21,25 @@ class Tables:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: computed once, lineage cut, survives lost executors.
+
+    The folder is the session's spark.checkpoint.dir; only where none is named,
+    as in tests, a local one is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
+                                 or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
+
+
+def slots(df: DataFrame) -> int:
+    """Tasks the cluster runs at once; at least the session's shuffle width."""
+    session = df.sparkSession
+    return max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when the scan has fewer splits than the cluster has slots.
 
