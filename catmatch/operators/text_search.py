@@ -74,7 +74,7 @@ def build_index(cards: DataFrame) -> CatalogIndex:
                         lambda t: ~t.rlike(r"^\p{N}+$") & (F.length(t) >= 3))
     sugars = F.array_intersect(F.array_union("title", "slug_terms"), tx.literal_array(fv.SWEETNESS_TERMS))
     facts = token_sets.select(
-        "profile", "copies", winery.alias("winery_terms"), identity.alias("identity"),
+        "profile", "copies", winery.alias("winery_terms"), F.col("winery").alias("winery_name_terms"), identity.alias("identity"),
         F.col("category").alias("category_terms"), sugars.alias("sugars"), F.col("grapes").alias("grape_terms"),
         F.greatest(F.size("title"), F.lit(1)).alias("title_size"),
         F.size(identity).alias("n_identity"), (F.size("category") > 0).alias("has_category"),
@@ -87,6 +87,7 @@ def build_index(cards: DataFrame) -> CatalogIndex:
         F.max_by("field", "field_weight").alias("field"), F.max("field_weight").alias("field_weight"),
         *[F.max(c).alias(c) for c in ("copies", "title_size", "n_identity", "has_category", "has_sugar", "has_grapes")],
         F.bool_or(F.array_contains("winery_terms", F.col("term"))).alias("in_winery"),
+        F.bool_or(F.array_contains("winery_name_terms", F.col("term"))).alias("in_winery_name"),
         F.bool_or(F.array_contains("identity", F.col("term"))).alias("in_identity"),
         F.bool_or(F.array_contains("category_terms", F.col("term"))).alias("in_category"),
         F.bool_or(F.array_contains("sugars", F.col("term"))).alias("in_sugar"),
@@ -181,8 +182,8 @@ def score_profiles(evidence: DataFrame, index: CatalogIndex) -> DataFrame:
                          lambda c: c.isNotNull())
     return rows.select(
         "query_id", "profile", F.round(score, 5).alias("score"),
-        F.round(F.col("matched") / F.greatest("total_mass", F.lit(1e-9)), 4).alias("query_term_coverage"),
-        F.round(identity, 4).alias("title_identity_coverage"), conflicts.alias("conflicts"), "identity_terms")
+        (F.col("matched") / F.greatest("total_mass", F.lit(1e-9))).alias("query_term_coverage"),
+        identity.alias("title_identity_coverage"), conflicts.alias("conflicts"), "identity_terms")
 
 
 def expand_members(scored: DataFrame, index: CatalogIndex, limit: int) -> DataFrame:
@@ -211,9 +212,9 @@ def text_search(lines: DataFrame, cards: DataFrame, limit: int = 10, index: Cata
     first, second = F.first("score").over(whole), F.nth_value("score", 2).over(whole)
     margin = F.when(second.isNull(), 1.0).otherwise((first - second) / F.greatest(F.abs(first), F.lit(1.0)))
     top = lambda c: F.first(c).over(whole)
-    sure = ((first > 0) & (margin >= 0.15) & (top("query_term_coverage") >= 0.55) & (top("identity_terms") >= 2)
+    sure = ((first > 0) & (margin >= 0.15) & (F.round(top("query_term_coverage"), 4) >= 0.55) & (top("identity_terms") >= 2)
             & (F.size(top("conflicts")) == 0) & ~top("ambiguous"))
-    return (ranked.withColumn("relative_top_margin", F.round(margin, 4))
+    return (ranked.withColumn("relative_top_margin", margin)
             .withColumn("status", F.when(sure, "tentative_match").otherwise("needs_review"))
             .filter(F.col("rank") <= limit)
             .select("query_id", "rank", "slug", "profile", "score", "query_term_coverage", "title_identity_coverage",

@@ -1,4 +1,4 @@
 """All named queries with their SQL twins."""
 from catmatch.plans import (  # noqa: F401
-    activity_queries, catalog_queries, projection_queries, relational_queries, text_queries)
+    activity_queries, catalog_queries, projection_queries, relational_queries, text_queries, vector_queries)
 from catmatch.plans.registry import ORACLES, QUERIES, SURVEY_IDS  # noqa: F401

@@ -364,17 +364,17 @@ CONFLICTS = """array_to_string(list_filter([CASE WHEN off_winery THEN 'winery' E
 
 
 @query("text_search", "Q2 A6 A7 W3", f"""
-    SELECT query_id, rank, slug, score, round(matched / greatest(total, 1e-9), 4) AS query_term_coverage,
-      round(seen / greatest(1, len(identity)), 4) AS title_identity_coverage, {CONFLICTS} AS conflicts,
-      round(CASE WHEN second IS NULL THEN 1.0 ELSE (first - second) / greatest(abs(first), 1) END, 4) AS relative_top_margin,
+    SELECT query_id, rank, slug, score, round(matched / greatest(total, 1e-9), 9) AS query_term_coverage,
+      round(seen / greatest(1, len(identity)), 9) AS title_identity_coverage, {CONFLICTS} AS conflicts,
+      round(CASE WHEN second IS NULL THEN 1.0 ELSE (first - second) / greatest(abs(first), 1) END, 9) AS relative_top_margin,
       CASE WHEN first > 0 AND CASE WHEN second IS NULL THEN 1.0 ELSE (first - second) / greatest(abs(first), 1) END >= 0.15
         AND max(CASE WHEN rank = 1 THEN matched / total >= 0.55 AND identity_terms >= 2 AND {CONFLICTS} = '' END) OVER (PARTITION BY query_id)
         THEN 'tentative_match' ELSE 'needs_review' END AS status FROM ranked QUALIFY rank <= 10""", SCORE_VIEWS)
 def text_search(v):
     found = ts.text_search(v.obs, v.bench_cards, 10, v.bench_index)
     return found.select(
-        "query_id", "rank", "slug", "score", "query_term_coverage", "title_identity_coverage",
-        F.array_join("conflicts", ",").alias("conflicts"), "relative_top_margin", "status")
+        "query_id", "rank", "slug", "score", F.array_join("conflicts", ",").alias("conflicts"), "status",
+        *[F.round(c, 9).alias(c) for c in ("query_term_coverage", "title_identity_coverage", "relative_top_margin")])
 
 
 @query("missing_terms", "O7", """
