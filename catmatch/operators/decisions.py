@@ -106,17 +106,19 @@ def membership_features(candidates: DataFrame, evidence: DataFrame, cards: DataF
     Shortlists hold five rows, so the whole query fits one array: the features
     are expressions over that array and cost a single shuffle by query.
     """
+    product = F.col("product") if "product" in cards.columns else sc.product_key(
+        F.col("slug"), F.col("winery"), F.col("grapes"), F.col("category"))
     fields = cards.select(
         "slug", "winery", title_terms().alias("title_terms"),
         F.array_distinct(tx.tokens("grapes")).alias("grape_terms"),
-        sc.product_key(F.col("slug"), F.col("winery"), F.col("grapes"), F.col("category")).alias("product"))
+        product.alias("product"))
     strength = sc.evidence_strength(F.col("confidence"), F.col("match_strength"))
     best = evidence.withColumn("strength", strength).groupBy("query_id", "slug", "term").agg(
         F.max("strength").alias("s"),
         F.max(F.when(F.col("field").isin("winery", "winery_alias"), F.col("strength"))).alias("w"),
         F.count_if(F.col("strength").isNull()).alias("bad"))
     grouped = best.groupBy("query_id", "slug").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", F.coalesce("s", F.lit(0.0)).alias("s")))).alias("seen"),
+        F.collect_list(F.struct("term", F.coalesce("s", F.lit(0.0)).alias("s"))).alias("seen"),  # terms of one card
         F.max("w").alias("producer"), F.sum("bad").alias("bad"))
     rows = candidates.filter("rank <= 5").join(fields, "slug", "left").join(
         grouped, ["query_id", "slug"], "left")
@@ -126,13 +128,12 @@ def membership_features(candidates: DataFrame, evidence: DataFrame, cards: DataF
         F.coalesce("producer_match", F.lit(False)).alias("producer_match"), "winery", "title_terms",
         "grape_terms", "product", F.coalesce("producer", F.lit(0.0)).alias("producer"),
         F.coalesce("bad", F.lit(0)).alias("bad"),
-        F.coalesce("seen", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
-        .alias("seen"))
+        F.coalesce("seen", F.array().cast("array<struct<term:string,s:double>>")).alias("seen"))
     lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
 
     def cover(row, terms):
-        total = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.coalesce(
-            F.element_at(row["seen"], t), F.lit(0.0)))
+        total = F.aggregate(row["seen"], F.lit(0.0), lambda acc, e: acc + F.when(
+            F.array_contains(terms, e["term"]), e["s"]).otherwise(0.0))
         return total / F.greatest(F.size(terms), F.lit(1))
 
     def highest(values):

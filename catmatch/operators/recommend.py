@@ -95,3 +95,174 @@ def line_terms(queries: DataFrame, lines: DataFrame, titles: DataFrame, excluded
     hits = read.join(named, "query_id").filter(~F.array_contains("_own", F.col("word"))).join(
         repeated, ["producer", "word"], "left_semi")
     return hits.groupBy("query_id").agg(F.array_sort(F.collect_set("word")).alias("line_terms"))
+
+
+def wide_profile(profile: DataFrame) -> DataFrame:
+    """One row per query from an attribute profile: single values, grapes and statuses."""
+    def status(name):
+        return F.max(F.when(F.col("attribute") == name, F.col("status"))).alias(f"{name}_status")
+
+    def value(name):
+        return F.max(F.when(F.col("attribute") == name, F.element_at(F.col("values"), 1))).alias(name)
+
+    one = F.when(F.size("values") > 0, F.col("values"))
+    rows = profile.withColumn("values", F.coalesce(one, F.array(F.lit(None).cast("string"))))
+    grapes = F.max(F.when((F.col("attribute") == "grapes") & (F.col("status") == "read"), F.col("values")))
+    return rows.groupBy("query_id").agg(
+        *[status(a) for a in ("color", "sweetness", "grapes", "producer")],
+        *[value(a) for a in ("color", "sweetness", "producer")],
+        F.coalesce(grapes, F.array().cast("array<string>")).alias("grapes"))
+
+
+def search_criteria(profile: DataFrame, results: DataFrame, candidates: DataFrame, cards: DataFrame,
+                    lines: DataFrame, excluded_words: list[str]) -> DataFrame:
+    """Criteria per query with their sources, the anchor, the family fallback and a status so far.
+
+    `profile` is wide; `results` has recognition_status; a refused scan has no
+    anchor. Only missing attributes are filled from a strong anchor; without
+    one, three candidates of one producer may name it.
+    """
+    refused = F.col("recognition_status") == "not_in_catalog"
+    confirmed = F.coalesce(F.col("recognition_status") == "confirmed", F.lit(False))
+    leader = candidates.filter("rank = 1").select("query_id", F.col("slug").alias("anchor"), "match_score")
+    facts = cards.select(F.col("slug").alias("anchor"), *[F.col(c).alias(f"a_{c}") for c in (
+        "color", "sweetness", "grapes", "producer")], F.lit(True).alias("_card"))
+    agreed = shortlist_consensus(candidates, cards).select("query_id", F.col("producer").alias("_agreed"))
+    rows = (profile.join(results, "query_id", "left").join(leader, "query_id", "left")
+            .withColumn("anchor", F.when(F.coalesce(refused, F.lit(False)), None).otherwise(F.col("anchor")))
+            .join(facts, "anchor", "left").join(agreed, "query_id", "left"))
+    score = F.col("match_score")
+    strong = F.col("_card").isNotNull() & (confirmed | F.coalesce((score > 0.5) & (score <= 1), F.lit(False)))
+    weak = F.col("_card").isNotNull() & ~strong
+    rows = rows.withColumn("strong", strong)
+    known = F.when(confirmed, "confirmed_wine").otherwise("retrieval_top1_reference")
+    columns, sources = [], []
+    for key in ("color", "sweetness", "producer"):
+        own = F.col(key)
+        fill = F.col("strong") & own.isNull() & (F.col(f"{key}_status") == "missing") & F.col(f"a_{key}").isNotNull()
+        agree = weak & (F.col("producer_status") == "missing") & F.col("_agreed").isNotNull() if key == "producer" else F.lit(False)
+        columns.append(F.when(fill, F.col(f"a_{key}")).when(agree, F.col("_agreed")).otherwise(own).alias(f"q_{key}"))
+        sources.append(F.when(fill, known).when(agree, "retrieval_shortlist_consensus")
+                       .when(own.isNotNull(), "photo_ocr").otherwise("missing").alias(f"{key}_source"))
+    empty = F.size("grapes") == 0
+    fill = F.col("strong") & empty & (F.col("grapes_status") == "missing") & (F.size(F.coalesce("a_grapes", F.array().cast("array<string>"))) > 0)
+    columns.append(F.when(fill, F.col("a_grapes")).otherwise(F.col("grapes")).alias("q_grapes"))
+    sources.append(F.when(fill, known).when(~empty, "photo_ocr").otherwise("missing").alias("grapes_source"))
+    filled = rows.select("query_id", "anchor", "strong", F.col("_card").isNotNull().alias("_has"),
+                         "color_status", "sweetness_status", *columns, *sources)
+    fallback = (F.col("_has") & ~F.col("strong") & F.col("q_producer").isNotNull()
+                & (F.col("q_color").isNull() | ((F.size("q_grapes") == 0) & F.col("q_sweetness").isNull())))
+    filled = filled.withColumn("fallback", fallback)
+    asked = filled.filter("fallback").select("query_id", F.col("q_producer").alias("producer"))
+    words = line_terms(asked, lines, cards.select("slug", "title", "producer"), excluded_words)
+    ambiguous = (F.col("color_status") == "ambiguous") | (F.col("sweetness_status") == "ambiguous")
+    enough = ((F.size("q_grapes") > 0) | F.col("q_producer").isNotNull()
+              | (F.col("q_color").isNotNull() & F.col("q_sweetness").isNotNull()))
+    status = F.when(ambiguous, "ambiguous_evidence").when(~enough, "insufficient_evidence").otherwise("search")
+    return filled.join(words, "query_id", "left").withColumn(
+        "line_terms", F.coalesce("line_terms", F.array().cast("array<string>"))).withColumn("status", status).drop("_has")
+
+
+def match_columns(query: dict[str, Column], card: dict[str, Column]) -> dict[str, Column]:
+    """What a card shares with a query, its tier (0 best) and grape coverage."""
+    common = F.array_sort(F.array_intersect(query["grapes"], card["grapes"]))
+    same = {k: query[k].isNotNull() & F.coalesce(query[k] == card[k], F.lit(False)) for k in ("color", "sweetness", "producer")}
+    has = F.size(common) > 0
+    both = same["color"] & same["sweetness"]
+    tier = F.when(both & has, 0).when(both, 1).when(has, 2).when(same["producer"], 3)
+    return {"common": common, "same_color": same["color"], "same_sweetness": same["sweetness"],
+            "same_producer": same["producer"], "tier": tier,
+            "coverage": F.when(F.size(query["grapes"]) > 0, F.size(common) / F.size(query["grapes"])).otherwise(0.0),
+            "exact": has & (F.size(common) == F.size(F.array_distinct(query["grapes"]))) & (F.size(common) == F.size(F.array_distinct(card["grapes"])))}
+
+
+def recommend(profile: DataFrame, results: DataFrame, candidates: DataFrame, cards: DataFrame, lines: DataFrame,
+              limit: int = 5, vectors: DataFrame | None = None, excluded_words: list[str] | None = None,
+              shortlist: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(criteria with final status, ranked items) for every query of the profile.
+
+    Queries meet classes of cards that are alike in everything the rules look
+    at; a class hands over only its first cards by slug, and its nearest by
+    text where the anchor has a vector. What a class keeps back cannot be
+    among the first `limit`.
+    """
+    from catmatch.functions import text as tx
+    from catmatch.operators.visual import nearest_in_class
+    from catmatch.sources.tables import keep
+
+    criteria = keep(search_criteria(profile, results, candidates, cards, lines, excluded_words or []))
+    asked = criteria.filter("status = 'search'")
+    words = F.array_sort(F.array_distinct(F.split(tx.normalize_phrase(F.col("title")), " ")))
+    typed = cards.select("slug", "color", "sweetness", F.array_sort("grapes").alias("grapes"), "producer", words.alias("words"))
+    attributes = ["color", "sweetness", "grapes", "producer", "words"]
+    typed = keep(typed.withColumn("cls", F.sha2(F.to_json(F.struct(*attributes)), 256)))
+    classes = typed.groupBy("cls").agg(*[F.first(c).alias(c) for c in attributes])
+    heads = top_k(typed.select("cls", "slug"), ["cls"], [F.col("slug")], limit + 1 + shortlist, "_n")
+
+    plain = asked.filter("not fallback")
+    by_grape = plain.select("query_id", F.explode("q_grapes").alias("grape")).join(
+        classes.select("cls", *attributes, F.explode("grapes").alias("grape")), "grape").drop("grape")
+    by_pair = plain.select("query_id", F.col("q_color").alias("color"), F.col("q_sweetness").alias("sweetness")).join(
+        classes, ["color", "sweetness"]).select("query_id", "cls", *attributes)
+    by_producer = asked.select("query_id", F.col("q_producer").alias("producer")).join(classes, "producer").select(
+        "query_id", "cls", *attributes)
+    met = by_grape.select("query_id", "cls", *attributes).unionByName(by_pair).unionByName(by_producer).distinct()
+
+    rows = met.join(asked, "query_id")
+    query = {k: F.col(f"q_{k}") for k in ("color", "sweetness", "grapes", "producer")}
+    card = {k: F.col(k) for k in ("color", "sweetness", "grapes", "producer")}
+    allowed = meets_constraints((("q_color", "color"), ("q_sweetness", "sweetness")))
+    allowed = allowed & (~F.col("fallback") | (F.coalesce(F.col("producer") == F.col("q_producer"), F.lit(False))
+                                               & (F.size(F.array_except("line_terms", "words")) == 0)))
+    shared = match_columns(query, card)
+    pool = rows.filter(allowed).select("*", *[c.alias(n) for n, c in shared.items()]).filter("tier is not null")
+    pool = keep(pool)
+    offered = pool.join(heads.select("cls", "slug"), "cls")
+    seen = candidates.filter(F.col("rank") <= shortlist).select("query_id", "slug", "visual_similarity")
+    look = F.col("visual_similarity")
+    seen = seen.withColumn("visual_similarity", F.when(~F.isnan(look) & look.between(-1, 1), look))
+    extra = pool.filter("fallback").join(typed.select("cls", "slug"), "cls").join(
+        seen.select("query_id", "slug"), ["query_id", "slug"], "left_semi")
+    offered = offered.unionByName(extra.select(*offered.columns))
+    if vectors is not None:
+        known = vectors.select("slug", "vector")
+        anchors = asked.filter("strong").select("query_id", "anchor").join(
+            known.withColumnRenamed("slug", "anchor"), "anchor").select("query_id", "vector")
+        near = nearest_in_class(pool.filter("strong").select("query_id", "cls").join(anchors, "query_id"),
+                                typed.select("slug", "cls").join(known, "slug"), limit + 1)
+        near = keep(near)
+        placed = near.select("query_id", "slug").join(typed.select("slug", "cls"), "slug").join(pool, ["query_id", "cls"])
+        offered = offered.unionByName(placed.select(*offered.columns))
+    else:
+        near = seen.select("query_id", "slug", F.lit(None).cast("double").alias("similarity")).limit(0)
+    offered = offered.filter(F.col("anchor").isNull() | (F.col("slug") != F.col("anchor"))).dropDuplicates(["query_id", "slug"])
+    scored = offered.join(near, ["query_id", "slug"], "left").join(seen, ["query_id", "slug"], "left").withColumn(
+        "visual_similarity", F.when(F.col("fallback"), F.col("visual_similarity")))
+    order = [F.col("visual_similarity").isNotNull().desc(), F.coalesce("visual_similarity", F.lit(-1.0)).desc(),
+             F.col("tier"), F.col("coverage").desc(), F.col("exact").desc(),
+             F.coalesce("similarity", F.lit(-1.0)).desc(), F.col("same_producer").desc(), F.col("slug")]
+    best = top_k(scored, ["query_id"], order, limit)
+
+    labels = F.create_map(F.lit("photo_ocr"), F.lit(fv.REASON_SOURCE_TEXT["photo_ocr"]),
+                          F.lit("retrieval_shortlist_consensus"), F.lit(fv.REASON_SOURCE_TEXT["retrieval_shortlist_consensus"]))
+
+    def reason(flag, key, value):
+        origin = F.coalesce(F.element_at(labels, F.col(f"{key}_source")), F.lit(fv.REASON_SOURCE_TEXT["card"]))
+        return F.when(flag, F.concat(F.lit(fv.REASON_TEXT[key]), value, origin))
+
+    reasons = F.filter(F.array(
+        reason(F.col("same_color"), "color", F.col("q_color")),
+        reason(F.col("same_sweetness"), "sweetness", F.col("q_sweetness")),
+        reason(F.size("common") > 0, "grapes", F.array_join("common", ", ")),
+        reason(F.col("same_producer"), "producer", F.col("q_producer")),
+        F.when(F.size("line_terms") > 0, F.concat(F.lit(fv.REASON_TEXT["line"]), F.array_join("line_terms", ", "))),
+        F.when(F.col("visual_similarity").isNotNull(), F.lit(fv.REASON_TEXT["visual"])),
+        F.when(F.col("similarity").isNotNull(), F.lit(fv.REASON_TEXT["similar"]))), lambda r: r.isNotNull())
+    items = best.select(
+        "query_id", "rank", "slug", F.element_at(tx.literal_array(fv.TIERS), F.col("tier") + 1).alias("tier"),
+        "common", F.array_sort(F.array_except("q_grapes", "common")).alias("unmatched"), "coverage", "exact",
+        "same_producer", "similarity", "visual_similarity", reasons.alias("reasons"))
+    found = items.select("query_id").distinct().withColumn("_found", F.lit(True))
+    status = F.when(F.col("status") != "search", F.col("status")).when(
+        F.col("_found"), "available").otherwise("no_suitable_analogs")
+    return criteria.join(found, "query_id", "left").withColumn("status", status).drop("_found"), items

@@ -115,7 +115,9 @@ def build_index(cards: DataFrame) -> CatalogIndex:
         (F.length("term") >= 3) | ((F.length("term") == 2) & ~digits & (F.col("df") <= 5))))
     weights = (flags.withColumn("_mean", mean).join(vocabulary.select("term", "idf", "df"), "term")
                .withColumn("weight", F.col("idf") * damped * technical * minor)
-               .withColumn("names_it", named).drop("_mean", "df", "copies", "title_size"))
+               .withColumn("names_it", named).withColumn("distinct_word", (
+                   (F.length("term") >= 4) & ~digits
+                   & ~F.col("term").isin(fv.COLOR_TERMS + fv.SWEETNESS_TERMS + fv.TECHNICAL_TERMS))).drop("_mean", "df", "copies", "title_size"))
     return CatalogIndex(profiles, members, keep(weights), vocabulary,
                         keep(joined_phrases(profiles, ["title", "winery", "grapes"], vocabulary)))
 
@@ -142,7 +144,7 @@ def query_evidence(lines: DataFrame, index: CatalogIndex) -> DataFrame:
     words = label_words(lines)
     matches = term_matches(words.select(F.col("raw").alias("word")).distinct(),
                            index.vocabulary.select("term"), index.joined)
-    return best_evidence(words, matches)
+    return keep(best_evidence(words, matches))  # read by scores, query totals and evidence lists
 
 
 def score_profiles(evidence: DataFrame, index: CatalogIndex) -> DataFrame:
@@ -160,6 +162,7 @@ def score_profiles(evidence: DataFrame, index: CatalogIndex) -> DataFrame:
         F.sum("mass").alias("total_mass"), F.max(F.when(F.col("is_producer"), F.col("mass") * 1.4)).alias("penalty"),
         F.count_if("is_color").alias("n_color"), F.count_if("is_sugar").alias("n_sugar"),
         F.count_if("is_grape").alias("n_grape"))
+    reliable = F.col("field").isin("title", "grapes") & ~F.col("in_winery_name") & F.col("distinct_word")
     pairs = marked.join(index.weights, "term").groupBy("query_id", "profile").agg(
         F.sum(F.col("weight") * s * s).alias("base"), F.sum("mass").alias("matched"),
         F.sum(F.when(F.col("in_identity"), s).otherwise(0.0)).alias("identity_sum"),
@@ -168,6 +171,8 @@ def score_profiles(evidence: DataFrame, index: CatalogIndex) -> DataFrame:
         F.bool_or(F.col("is_color") & F.col("in_category")).alias("same_color"),
         F.bool_or(F.col("is_sugar") & F.col("in_sugar")).alias("same_sugar"),
         F.bool_or(F.col("is_grape") & F.col("in_grapes")).alias("same_grape"),
+        F.max(F.when(reliable, s)).alias("identity_best"),
+        F.bool_or(F.col("field").isin("winery", "winery_alias") & (s >= 0.7)).alias("producer_seen"),
         *[F.max(c).alias(c) for c in ("n_identity", "has_category", "has_sugar", "has_grapes")])
     rows = pairs.join(queries, "query_id")
     off_winery = F.col("penalty").isNotNull() & ~F.col("same_winery")
@@ -183,7 +188,9 @@ def score_profiles(evidence: DataFrame, index: CatalogIndex) -> DataFrame:
     return rows.select(
         "query_id", "profile", F.round(score, 5).alias("score"),
         (F.col("matched") / F.greatest("total_mass", F.lit(1e-9))).alias("query_term_coverage"),
-        identity.alias("title_identity_coverage"), conflicts.alias("conflicts"), "identity_terms")
+        identity.alias("title_identity_coverage"), conflicts.alias("conflicts"), "identity_terms",
+        (F.coalesce("identity_best", F.lit(0.0)) * F.when(F.col("producer_seen"), 1.0).otherwise(0.35))
+        .alias("reliability"))
 
 
 def expand_members(scored: DataFrame, index: CatalogIndex, limit: int) -> DataFrame:
