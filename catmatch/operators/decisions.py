@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from catmatch import fixed_values as fv
 from catmatch.functions import scalars as sc, text as tx
+from catmatch.sources.tables import keep
 
 
 def title_terms(title: str = "title", winery: str = "winery") -> Column:
@@ -229,16 +230,15 @@ def finalize(candidates: DataFrame, observed: DataFrame, cards: DataFrame, featu
              refusal_model: dict, scoring_model: dict, alternatives: Column) -> DataFrame:
     """Refusal on the original order, tie refinement unless rejected, scores, then the cut.
 
-    `features` belong to the original order, `refined_features` would follow the
-    refined one; the scorer reads whatever shortlist order it is given, so the
-    caller passes a function to compute them.
+    `features` is a function of a shortlist: the refusal reads those of the
+    original order, the scores those of the refined one.
     """
-    decision = refuse_unknown(features(candidates), refusal_model)
+    decision = keep(refuse_unknown(features(candidates), refusal_model))
     rejected = decision.filter("reject").select("query_id")
     kept = observed.join(rejected, "query_id", "left_anti")
     refined = refine_near_ties(candidates, kept, cards).withColumn("rank", F.col("new_rank")).withColumn(
         "score", F.col("new_score"))
-    refined = refined.select(*candidates.columns, "applied")
+    refined = keep(refined.select(*candidates.columns, "applied"))
     scored = score_candidates(refined, features(refined), scoring_model, decision)
     shown = visible(scored.join(decision.select("query_id", "reject", "reason"), "query_id"), alternatives)
     status = F.when(F.col("reject"), "not_in_catalog").otherwise("candidates_unverified")

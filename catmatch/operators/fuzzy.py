@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from catmatch.functions import text as tx
-from catmatch.functions.distance import deletion_keys, small_distance
+from catmatch.functions.distance import small_distance, with_deletion_keys
 from catmatch.operators.ranking import keep_within, top_k
 from catmatch.sources.tables import slots
 
@@ -64,13 +64,14 @@ def close_terms(words: DataFrame, vocabulary: DataFrame, limit_of=edit_limit, pe
     exact = rows.join(terms.select(F.col("term")), F.col("word") == F.col("term")).select(
         "word", "term", F.lit(0).alias("distance"))
 
-    inexact = rows.filter("budget > 0")
+    # A word more than two letters longer than every term has no partner.
+    longest = terms.agg(F.max("size")).scalar()
+    inexact = rows.filter((F.col("budget") > 0) & (F.length("word") - 2 <= longest))
     size = F.length("word")
-    short_words = inexact.filter(size <= LONG + 2).select(
-        "word", "budget", F.explode(deletion_keys(F.col("word"), F.col("budget"))).alias("key"))
+    short_words = with_deletion_keys(inexact.filter(size <= LONG + 2).select("word", "budget"), "word", "budget")
     # A term pairs with words of either budget, so it carries the keys of two deletions.
-    short_terms = terms.filter((F.col("size") <= LONG) & (F.col("size") >= 3)).select("term", F.explode(
-        deletion_keys(F.col("term"), F.lit(2))).alias("key"))
+    short_terms = with_deletion_keys(terms.filter(F.col("size").between(3, LONG)).select(
+        "term", F.lit(2).alias("budget")), "term", "budget").drop("budget")
     long_words = inexact.filter(size >= LONG - 1).select(
         "word", "budget", F.explode(_segment_keys_of_word(F.col("word"))).alias("key"))
     long_terms = terms.filter(F.col("size") > LONG).select(

@@ -196,19 +196,19 @@ def recommend(profile: DataFrame, results: DataFrame, candidates: DataFrame, car
     typed = cards.select("slug", "color", "sweetness", F.array_sort("grapes").alias("grapes"), "producer", words.alias("words"))
     attributes = ["color", "sweetness", "grapes", "producer", "words"]
     typed = keep(typed.withColumn("cls", F.sha2(F.to_json(F.struct(*attributes)), 256)))
-    classes = typed.groupBy("cls").agg(*[F.first(c).alias(c) for c in attributes])
+    classes = keep(typed.groupBy("cls").agg(*[F.first(c).alias(c) for c in attributes], F.count(F.lit(1)).alias("size")))
     heads = top_k(typed.select("cls", "slug"), ["cls"], [F.col("slug")], limit + 1 + shortlist, "_n")
 
     plain = asked.filter("not fallback")
     by_grape = plain.select("query_id", F.explode("q_grapes").alias("grape")).join(
-        classes.select("cls", *attributes, F.explode("grapes").alias("grape")), "grape").drop("grape")
+        classes.select("cls", F.explode("grapes").alias("grape")), "grape")
     by_pair = plain.select("query_id", F.col("q_color").alias("color"), F.col("q_sweetness").alias("sweetness")).join(
-        classes, ["color", "sweetness"]).select("query_id", "cls", *attributes)
+        classes, ["color", "sweetness"]).select("query_id", "cls")
     by_producer = asked.select("query_id", F.col("q_producer").alias("producer")).join(classes, "producer").select(
-        "query_id", "cls", *attributes)
-    met = by_grape.select("query_id", "cls", *attributes).unionByName(by_pair).unionByName(by_producer).distinct()
+        "query_id", "cls")
+    met = by_grape.select("query_id", "cls").unionByName(by_pair).unionByName(by_producer).distinct()
 
-    rows = met.join(asked, "query_id")
+    rows = met.join(classes, "cls").join(asked, "query_id")
     query = {k: F.col(f"q_{k}") for k in ("color", "sweetness", "grapes", "producer")}
     card = {k: F.col(k) for k in ("color", "sweetness", "grapes", "producer")}
     allowed = meets_constraints((("q_color", "color"), ("q_sweetness", "sweetness")))
@@ -217,7 +217,26 @@ def recommend(profile: DataFrame, results: DataFrame, candidates: DataFrame, car
     shared = match_columns(query, card)
     pool = rows.filter(allowed).select("*", *[c.alias(n) for n, c in shared.items()]).filter("tier is not null")
     pool = keep(pool)
-    offered = pool.join(heads.select("cls", "slug"), "cls")
+    # Classes of one (tier, coverage, exactness) level are equal so far; levels behind the ones
+    # that already hold enough cards are not needed.
+    enough = limit + 1 + shortlist
+    level = ["tier", "coverage", "exact"]
+    better = W.partitionBy("query_id").orderBy(F.col("tier"), F.col("coverage").desc(), F.col("exact").desc())
+    levels = pool.groupBy("query_id", *level).agg(F.sum("size").alias("_n")).withColumn(
+        "_before", F.sum("_n").over(better) - F.col("_n")).filter(F.col("_before") < enough)
+    needed = keep(pool.join(levels.select("query_id", *level), ["query_id", *level]).select(*pool.columns))
+    if vectors is None:
+        offered = needed.join(heads.select("cls", "slug"), "cls")
+    else:
+        known = vectors.select("slug", "vector")
+        anchors = keep(asked.filter("strong").select("query_id", "anchor").join(
+            known.withColumnRenamed("slug", "anchor"), "anchor").select("query_id", "vector"))
+        by_text = needed.join(anchors.select("query_id"), "query_id", "left_semi")
+        offered = needed.join(anchors.select("query_id"), "query_id", "left_anti").join(
+            heads.select("cls", "slug"), "cls").select(*needed.columns, "slug")
+        blind = typed.select("slug", "cls").join(vectors.select("slug"), "slug", "left_anti")
+        unread = top_k(blind, ["cls"], [F.col("slug")], enough, "_n").select("cls", "slug")
+        offered = offered.unionByName(by_text.join(unread, "cls").select(*offered.columns))
     seen = candidates.filter(F.col("rank") <= shortlist).select("query_id", "slug", "visual_similarity")
     look = F.col("visual_similarity")
     seen = seen.withColumn("visual_similarity", F.when(~F.isnan(look) & look.between(-1, 1), look))
@@ -225,13 +244,10 @@ def recommend(profile: DataFrame, results: DataFrame, candidates: DataFrame, car
         seen.select("query_id", "slug"), ["query_id", "slug"], "left_semi")
     offered = offered.unionByName(extra.select(*offered.columns))
     if vectors is not None:
-        known = vectors.select("slug", "vector")
-        anchors = asked.filter("strong").select("query_id", "anchor").join(
-            known.withColumnRenamed("slug", "anchor"), "anchor").select("query_id", "vector")
-        near = nearest_in_class(pool.filter("strong").select("query_id", "cls").join(anchors, "query_id"),
+        near = nearest_in_class(by_text.select("query_id", "cls").join(anchors, "query_id"),
                                 typed.select("slug", "cls").join(known, "slug"), limit + 1)
         near = keep(near)
-        placed = near.select("query_id", "slug").join(typed.select("slug", "cls"), "slug").join(pool, ["query_id", "cls"])
+        placed = near.select("query_id", "slug").join(typed.select("slug", "cls"), "slug").join(needed, ["query_id", "cls"])
         offered = offered.unionByName(placed.select(*offered.columns))
     else:
         near = seen.select("query_id", "slug", F.lit(None).cast("double").alias("similarity")).limit(0)

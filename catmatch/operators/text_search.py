@@ -141,7 +141,7 @@ def best_evidence(words: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def query_evidence(lines: DataFrame, index: CatalogIndex) -> DataFrame:
-    words = label_words(lines)
+    words = keep(label_words(lines))  # read for the distinct words and again for their evidence
     matches = term_matches(words.select(F.col("raw").alias("word")).distinct(),
                            index.vocabulary.select("term"), index.joined)
     return keep(best_evidence(words, matches))  # read by scores, query totals and evidence lists
@@ -293,6 +293,7 @@ def producer_search(lines: DataFrame, cards: DataFrame, floor: float = 0.85, mar
     words = usable.select("query_id", confidence.alias("confidence"),
                           F.explode(tx.raw_words(F.col("text"))).alias("raw")).groupBy("query_id", "raw").agg(
         F.max("confidence").alias("confidence"))
+    words = keep(words)
     matches = producer_matches(words.select(F.col("raw").alias("word")).distinct(), producer_terms(cards))
     votes = words.join(matches, "raw").groupBy("query_id", "winery").agg(
         F.max(F.col("similarity") * F.col("confidence")).alias("strength"))

@@ -8,6 +8,7 @@ from catmatch.functions import text as tx
 from catmatch.operators import decisions as dc, recommend as rec, tagging as tg
 from catmatch.plans.oracle_views import sql_in, tokens
 from catmatch.plans.registry import query
+from catmatch.sources.tables import keep
 
 FEATURES = fv.MEMBERSHIP_FEATURES
 
@@ -83,8 +84,8 @@ def ocr_of(v):
 
 
 def features_of(v):
-    shortlist = v.candidates
-    evidence = v.evidence_of(shortlist)
+    # Both features of a final decision read the same evidence.
+    evidence = keep(v.evidence_of(v.candidates))
     return lambda rows: dc.membership_features(rows, evidence, cards_for_features(v), ocr_of(v))
 
 
@@ -115,8 +116,9 @@ def scored_views(p: str, source: str) -> dict[str, str]:
 @query("score_candidates", "Q6 W5", "SELECT query_id, slug, rank, round(scored_match, 9) AS scored_match, scoring_status FROM f_scored",
        {**REFUSE, **scored_views("f_", "candidates")})
 def score_candidates(v):
-    features = features_of(v)(v.candidates)
-    scored = dc.score_candidates(v.candidates, features, SCORING, dc.refuse_unknown(features, REFUSAL))
+    shortlist = keep(v.candidates)
+    features = features_of(v)(shortlist)
+    scored = dc.score_candidates(shortlist, features, SCORING, dc.refuse_unknown(features, REFUSAL))
     return scored.select("query_id", "slug", "rank", F.round("scored_match", 9).alias("scored_match"), "scoring_status")
 
 
@@ -167,7 +169,7 @@ FINAL = {
     FROM g_scored s JOIN (SELECT query_id, slug, applied FROM reranked) USING (query_id, slug) JOIN f_decision USING (query_id)
     WHERE s.rank <= CASE WHEN query_id % 2 = 0 THEN 5 ELSE 1 END GROUP BY query_id""", FINAL)
 def finalize(v):
-    final = dc.finalize(v.candidates, observed_values(v), refinable(v), features_of(v), REFUSAL, SCORING,
+    final = dc.finalize(keep(v.candidates), observed_values(v), refinable(v), features_of(v), REFUSAL, SCORING,
                         F.col("query_id") % 2 == 0)
     return final.withColumn("match_score", F.round("match_score", 9))
 
@@ -278,7 +280,7 @@ def recommendation_inputs(v):
     vectors = v.part.select(F.concat(F.lit("p"), "p_partkey").alias("slug"), (F.col("p_partkey") % 500).alias("vec_id")).join(
         v.embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("slug", "vector")
     excluded = ["blue", "ring", "bolt", "gear", "medium", "economy", "standard"]
-    return rec.recommend(profile, results, v.candidates, cards, lines, 5, vectors, excluded)
+    return rec.recommend(profile, results, keep(v.candidates), cards, lines, 5, vectors, excluded)
 
 
 @query("recommend", "Q9 O10 F7 U2 U7", f"""

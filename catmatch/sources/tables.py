@@ -14,6 +14,8 @@ class Tables:
         self.spark = spark
         self.directory = directory.rstrip("/")
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # Rows here are small but cost CPU: let a small shuffle still use every slot.
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in NAMES:
