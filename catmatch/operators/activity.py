@@ -174,10 +174,9 @@ def path_summary(scans: DataFrame, mapping: DataFrame, territories: DataFrame, p
 
 
 def running_points(ledger: DataFrame, user: str = "user_id", ts: str = "ts", tie: str = "scan_id",
-                   bucket_width: int = 86_400_000_000) -> DataFrame:
+                   rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Running total per user with the level reached and whether the row raised it."""
-    bucket = F.floor(F.col(ts) / bucket_width)
-    rows = running_sum(ledger, [user], [ts, tie], "delta", bucket, "running")
+    rows = running_sum(ledger, [user], [ts, tie], "delta", "running", rows_per_bucket)
     level = lambda c: sc.level_for(c)["level"]
     return (rows.withColumn("level", level(F.col("running")))
             .withColumn("level_up", F.col("level") > level(F.col("running") - F.col("delta"))))
@@ -230,7 +229,7 @@ def points_total(awards: DataFrame, badges: DataFrame, user: str = "user_id") ->
 
 
 def replay_collection(log: DataFrame, keys: list[str], ts: str, tie: str, op: str, amount: str,
-                      bucket_width: int = 86_400_000_000) -> DataFrame:
+                      rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Collection state after an ordered log of add, set, in_stock, consumed and remove changes.
 
     Every change maps a quantity q to max(floor, q + delta): adding n is
@@ -256,7 +255,7 @@ def replay_collection(log: DataFrame, keys: list[str], ts: str, tie: str, op: st
            .when(F.col(op) == "in_stock", F.lit(1)))
     delta = F.when(F.col(op) == "add", number).otherwise(F.lit(0))
     rows = changes.withColumn("_low", low.cast("bigint")).withColumn("_delta", delta)
-    summed = running_sum(rows, keys, [ts, tie], "_delta", F.floor(F.col(ts) / bucket_width), "_sum")
+    summed = running_sum(rows, keys, [ts, tie], "_delta", "_sum", rows_per_bucket)
     ends = summed.groupBy(*keys).agg(
         F.sum("_delta").alias("_total"), F.max(F.col("_low") - F.col("_sum")).alias("_best"),
         F.bool_or(F.col(op) == "set").alias("_fixed"), F.max_by(F.col(op), F.col("_at")).alias("_last"))

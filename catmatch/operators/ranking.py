@@ -18,11 +18,19 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int,
             .withColumn(rank, F.col(rank).cast("bigint")))
 
 
-def rank_candidates(df: DataFrame, query: str, score: str, key: str, bucket_width: float = 0.05,
+def with_buckets(df: DataFrame, keys: list[str], value: str, rows_per_bucket: int) -> DataFrame:
+    """A `_bucket` per row, monotone in the value; big keys get as many as their size asks for."""
+    spans = df.groupBy(*keys).agg(F.min(value).alias("_span_low"), F.max(value).alias("_span_high"),
+                                  F.ceil(F.count(F.lit(1)) / rows_per_bucket).alias("_span_n"))
+    share = (F.col(value) - F.col("_span_low")) / (F.col("_span_high") - F.col("_span_low"))
+    bucket = F.when(F.col("_span_high") > F.col("_span_low"), F.floor(share * F.col("_span_n"))).otherwise(0)
+    return df.join(spans, keys).withColumn("_bucket", bucket).drop("_span_low", "_span_high", "_span_n")
+
+
+def rank_candidates(df: DataFrame, query: str, score: str, key: str, rows_per_bucket: int = 1_000_000,
                     rank: str = "rank") -> DataFrame:
     """1-based rank by descending score, then key, over all rows of each query."""
-    bucket = F.floor(F.col(score) / bucket_width)
-    rows = df.withColumn("_bucket", bucket)
+    rows = with_buckets(df, [query], score, rows_per_bucket)
     counts = rows.groupBy(query, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     above = W.partitionBy(query).orderBy(F.col("_bucket").desc())
     offsets = counts.select(query, "_bucket", (F.sum("_n").over(above) - F.col("_n")).alias("_above"))
@@ -32,10 +40,10 @@ def rank_candidates(df: DataFrame, query: str, score: str, key: str, bucket_widt
             .drop("_bucket", "_above"))
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column,
-                out: str) -> DataFrame:
-    """Running total per key; `bucket` must be monotone in the first order column."""
-    rows = df.withColumn("_bucket", bucket)
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
+                rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Running total per key in the given order (its first column numeric)."""
+    rows = with_buckets(df, keys, order[0], rows_per_bucket)
     totals = rows.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_total"))
     before = W.partitionBy(*keys).orderBy("_bucket")
     offsets = totals.select(*keys, "_bucket",

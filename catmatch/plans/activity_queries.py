@@ -74,7 +74,7 @@ def level_for(v):
     SELECT scan_id, running, {LEVEL.format(p='running')} AS level, {LEVEL.format(p='running')} > {LEVEL.format(p='running - delta')} AS level_up
     FROM (SELECT scan_id, delta, (sum(delta) OVER (PARTITION BY user_id ORDER BY ts, scan_id))::BIGINT AS running FROM ledger)""")
 def running_points(v):
-    return act.running_points(v.ledger).select("scan_id", "running", "level", "level_up")
+    return act.running_points(v.ledger, rows_per_bucket=50).select("scan_id", "running", "level", "level_up")
 
 
 @query("first_award", "W10", f"""

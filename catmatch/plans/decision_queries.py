@@ -252,7 +252,7 @@ RECOMMEND = {
     "shown_visual": "SELECT query_id, slug, CASE WHEN visual_similarity BETWEEN -1 AND 1 THEN visual_similarity END AS vs FROM candidates",
     "pool": """SELECT a.query_id, c.slug, a.fallback, list_sort(list_intersect(a.grapes, c.grapes)) AS common, len(list_intersect(a.grapes, c.grapes)) > 0 AS hasc,
         coalesce(a.color = c.color, false) AS mc, coalesce(a.sweetness = c.sweetness, false) AS ms, coalesce(a.producer = c.producer, false) AS mp, len(a.grapes) AS ng, len(c.grapes) AS nc, lt, a.grapes,
-        CASE WHEN a.strong THEN list_dot_product(a.avec, c.vec) END AS sim, CASE WHEN a.fallback THEN v.vs END AS vs
+        CASE WHEN a.strong THEN greatest(-1, least(1, list_dot_product(a.avec, c.vec))) END AS sim, CASE WHEN a.fallback THEN v.vs END AS vs
       FROM asked a JOIN rc c ON (a.color IS NULL OR coalesce(a.color = c.color, false)) AND (a.sweetness IS NULL OR coalesce(a.sweetness = c.sweetness, false))
         AND (NOT a.fallback OR (coalesce(a.producer = c.producer, false) AND list_has_all(c.words, lt)))
       LEFT JOIN shown_visual v ON v.query_id = a.query_id AND v.slug = c.slug
@@ -285,11 +285,11 @@ def recommendation_inputs(v):
 
 @query("recommend", "Q9 O10 F7 U2 U7", f"""
     SELECT query_id, rank, slug, ({"['" + "', '".join(fv.TIERS) + "']"})[tier + 1] AS tier, array_to_string(common, ',') AS common, round(coverage, 9) AS coverage, exact, mp AS same_producer,
-      round(sim, 9) AS similarity, round(vs, 9) AS visual_similarity FROM placed_items WHERE rank <= 5""", RECOMMEND)
+      round(sim, 6) AS similarity, round(vs, 9) AS visual_similarity FROM placed_items WHERE rank <= 5""", RECOMMEND)
 def recommend(v):
     _, items = recommendation_inputs(v)
     return items.select("query_id", "rank", "slug", "tier", F.array_join("common", ",").alias("common"), F.round("coverage", 9).alias("coverage"),
-                        "exact", "same_producer", F.round("similarity", 9).alias("similarity"),
+                        "exact", "same_producer", F.round("similarity", 6).alias("similarity"),
                         F.round("visual_similarity", 9).alias("visual_similarity"))
 
 

@@ -127,7 +127,7 @@ def cascade_delete(v):
     SELECT query_id, slug, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS rank FROM scored_pairs""")
 def rank_candidates(v):
     pairs = v.scored_pairs.select("query_id", "slug", "score")
-    return rk.rank_candidates(pairs, "query_id", "score", "slug").select("query_id", "slug", "rank")
+    return rk.rank_candidates(pairs, "query_id", "score", "slug", rows_per_bucket=20).select("query_id", "slug", "rank")
 
 
 @query("tied_rank", "W2", """

@@ -66,6 +66,12 @@ def word_variants(v):
 GLYPH_WORDS = ["the", "of", "und", "une", "les"]
 
 
+@query("damerau_levenshtein", "J5", "SELECT p_partkey, damerau_levenshtein(p_name, lower(p_type)) AS distance FROM part")
+def damerau_levenshtein(v):
+    from catmatch.functions.distance import damerau_levenshtein as distance
+    return v.part.select("p_partkey", distance(F.col("p_name"), F.lower("p_type")).cast("bigint").alias("distance"))
+
+
 @query("decode_attribute_glyphs", "T6", f"""
     SELECT doc_id, array_to_string(list_transform(string_split(array_to_string({words_sql("strip_accents(" + folded('text') + ")")}, ' '), ' '),
       lambda w: CASE WHEN translate(w, 'aio', 'eue') IN {sql_in(GLYPH_WORDS)} THEN translate(w, 'aio', 'eue') ELSE w END), ' ') AS decoded FROM documents""")

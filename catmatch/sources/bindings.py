@@ -105,7 +105,7 @@ class Views(Tables):
     def bench_index(self):
         """The text index of the passages, built once per session and directory."""
         from catmatch.operators.text_search import build_index
-        key = (id(self.spark), self.directory)
+        key = (self.spark.sparkContext.applicationId, self.directory)
         if key not in _INDEXES:
             _INDEXES[key] = build_index(self.bench_cards)
         return _INDEXES[key]
