@@ -147,26 +147,42 @@ def page(df: DataFrame, order: list, number: int, per_page: int, max_per_page: i
             .withColumn("position", F.col("position").cast("bigint")))
 
 
-def stable_triggers(df: DataFrame, key: str, ts: str, good: Column, overlaps: Column,
-                    frames: int = 3, gap: int = 400, rearm: int = 1500) -> DataFrame:
+def stable_triggers(df: DataFrame, key: str, ts: str, good: Column, overlaps: Column, frames: int = 3,
+                    gap: int = 400, rearm: int = 1500, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """First row of every armed episode where `frames` consecutive good rows were seen.
 
     A run restarts on a bad row, on a good row that does not overlap the one
     before, or after a pause longer than `gap`; a bad row later than `rearm`
-    after the last good row arms the trigger again.
+    after the last good row arms the trigger again. A key's rows are worked on
+    per time bucket; what a bucket needs from those before it is carried over
+    from one summary row per bucket.
     """
-    order = W.partitionBy(key).orderBy(ts)
-    past = order.rowsBetween(W.unboundedPreceding, -1)
-    running = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    flagged = df.withColumn("_good", good).withColumn("_over", overlaps)
-    seen = flagged.withColumn("_last", F.coalesce(F.last(F.when(F.col("_good"), F.col(ts)),
-                                                         ignorenulls=True).over(past), F.lit(0)))
-    previous_good = F.coalesce(F.lag("_good").over(order), F.lit(False))
-    starts = F.col("_good") & (~previous_good | ~F.col("_over") | (F.col(ts) - F.col("_last") > gap))
-    arms = ~F.col("_good") & (F.col(ts) - F.col("_last") > rearm)
-    runs = (seen.withColumn("_run", F.sum(starts.cast("int")).over(running))
-            .withColumn("_episode", F.sum(arms.cast("int")).over(running)))
-    in_run = W.partitionBy(key, "_run").orderBy(ts)
-    counted = runs.filter("_good").withColumn("_frames", F.row_number().over(in_run))
-    fired = counted.filter(F.col("_frames") >= frames)
+    flagged = df.withColumn("_good", F.coalesce(good, F.lit(False))).withColumn("_over", overlaps)
+    rows = with_buckets(flagged, [key], ts, rows_per_bucket)
+    place = [key, "_bucket"]
+    earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy(*place).orderBy(ts)
+    past = inner.rowsBetween(W.unboundedPreceding, -1)
+    running = inner.rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    seen = F.when(F.col("_good"), F.col(ts))
+    carried = rows.groupBy(*place).agg(F.max(seen).alias("_g"), F.max_by("_good", ts).alias("_l")).select(
+        *place, F.max("_g").over(earlier).alias("_carry"), F.last("_l").over(earlier).alias("_carry_good"))
+    known = rows.join(carried, place).withColumn(
+        "_last", F.coalesce(F.max(seen).over(past), "_carry", F.lit(0))).withColumn(
+        "_before", F.coalesce(F.lag("_good").over(inner), "_carry_good", F.lit(False)))
+    pause = F.col(ts) - F.col("_last")
+    starts = F.col("_good") & (~F.col("_before") | ~F.col("_over") | (pause > gap))
+    arms = ~F.col("_good") & (pause > rearm)
+    marks = known.select(*place, ts, "_good", starts.alias("_starts"), arms.alias("_arms"))
+    counted = {"_run": "_starts", "_episode": "_arms", "_goods": "_good"}
+    totals = marks.groupBy(*place).agg(*[F.count_if(F.col(flag)).alias(flag) for flag in counted.values()])
+    offsets = totals.select(*place, *[F.coalesce(F.sum(flag).over(earlier), F.lit(0)).alias(name + "_offset")
+                                      for name, flag in counted.items()])
+    placed = marks.join(offsets, place)
+    for name, flag in counted.items():
+        placed = placed.withColumn(name, F.count_if(F.col(flag)).over(running) + F.col(name + "_offset"))
+    firsts = placed.filter("_starts").select(key, "_run", F.col("_goods").alias("_first"))
+    fired = placed.filter("_good").join(firsts, [key, "_run"]).filter(
+        F.col("_goods") - F.col("_first") + 1 >= frames)
     return fired.groupBy(key, "_episode").agg(F.min(ts).alias(ts)).select(key, ts)

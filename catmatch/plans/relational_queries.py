@@ -229,7 +229,7 @@ def stable_events(v):
     "scan_events", "(SELECT user_id, epoch_us(ts) AS ts, event_type, value FROM events)"))
 def consecutive_stable(v):
     return rk.stable_triggers(stable_events(v), "user_id", "ts", F.col("event_type") != "error",
-                              F.col("value") < 60, 3, 43_200_000_000, 7_200_000_000)
+                              F.col("value") < 60, 3, 43_200_000_000, 7_200_000_000, rows_per_bucket=15)
 
 
 # -------------------------------------------------------------- sorts, limits
