@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from catmatch import fixed_values as fv
 from catmatch.functions import scalars as sc, text as tx
 from catmatch.operators.ranking import first_by
 

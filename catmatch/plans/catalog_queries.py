@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from catmatch.functions import scalars as sc, vectors as vx
 from catmatch.operators import catalog as cat, ranking as rk
-from catmatch.plans.oracle_views import sql_list
 from catmatch.plans.registry import query
 
 IMAGE_BASE = "https://img.example.org/resize"

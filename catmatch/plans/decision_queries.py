@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catmatch import fixed_values as fv
-from catmatch.functions import text as tx
 from catmatch.operators import decisions as dc, recommend as rec, tagging as tg
 from catmatch.plans.oracle_views import sql_in, tokens
 from catmatch.plans.registry import query

@@ -3,9 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catmatch import fixed_values as fv
 from catmatch.functions import scalars as sc, text as tx
-from catmatch.plans.oracle_views import sql_map, tokens
+from catmatch.plans.oracle_views import tokens
 from catmatch.plans.registry import query
 
 

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from catmatch import fixed_values as fv
 from catmatch.functions import scalars as sc, text as tx
-from catmatch.operators import fuzzy as fz, ranking as rk, tagging as tg, text_search as ts
-from catmatch.plans.oracle_views import ALIASES, canonical, folded, quote, sql_in, sql_list, tokens, usable
+from catmatch.operators import fuzzy as fz, tagging as tg, text_search as ts
+from catmatch.plans.oracle_views import ALIASES, folded, sql_in, tokens, usable
 from catmatch.plans.registry import query
 
 WORDS_SQL = r"regexp_extract_all({t}, '[\p{{L}}\p{{N}}]+')"
