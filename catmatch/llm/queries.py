@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catmatch.llm import chat, url_rules
+from catmatch.llm import chat, packing, url_rules
 from catmatch.llm.common import table
 from catmatch.llm.oracles import ORACLES  # noqa: F401
 
@@ -29,3 +29,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(spark, table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
