@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catmatch.llm import chat, packing, url_rules
+from catmatch.llm import chat, packing, quality_rules, url_rules
 from catmatch.llm.common import table
 from catmatch.llm.oracles import ORACLES  # noqa: F401
 
@@ -31,6 +31,13 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(spark, table(spark, sf_dir, "pages"))
 
 
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge_quality(table(spark, sf_dir, "documents"))
+    return judged.select("row.doc_id", "stats.n_words", "stats.word_chars", "stats.n_symbols", "stats.n_dup_lines",
+                         "stats.n_repeat_words", "base_failed", "kept", "good")
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
