@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catmatch.llm import chat, ngram_join, packing, quality_rules, url_rules
+from catmatch.llm import chat, ngram_join, packing, quality_rules, substring, url_rules
 from catmatch.llm.common import table
 from catmatch.llm.oracles import ORACLES  # noqa: F401
 
@@ -43,6 +43,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
