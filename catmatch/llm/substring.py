@@ -30,7 +30,7 @@ WINDOW = 35
 #: Keys up to this number (8 MB) may be broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
-_PIECE_WORDS = 2_000_000
+_PIECE_WORDS = 250_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

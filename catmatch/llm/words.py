@@ -11,7 +11,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """word (bytes) → its 64-bit hash; forgets everything when it holds too many words."""
 
-    def __init__(self, entries: int = 1_000_000):
+    def __init__(self, entries: int = 250_000):
         super().__init__()
         self.entries = entries
 
