@@ -42,3 +42,57 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE
   WHEN regexp_matches('.' || host, '\.(spam-farm|cheap-pills|free-casino|adult-chat)(\.|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fits USING (host, path)
 """
+
+ORACLES["op9_topk_search"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+ORACLES["op6_substring_dedup"] = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS row_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), windows AS (
+  SELECT row_id, unnest(range(1, len(words) - 33)) AS place, words FROM texts WHERE len(words) >= 35
+), named AS (SELECT row_id, place, md5(array_to_string(words[place:place + 34], ' ')) AS name FROM windows),
+repeated AS (SELECT name FROM named GROUP BY name HAVING count(*) > 1),
+gone AS (SELECT DISTINCT row_id, unnest(range(place, place + 35)) AS place FROM named WHERE name IN (SELECT name FROM repeated)),
+gone_of AS (SELECT row_id, list(place) AS places FROM gone GROUP BY row_id),
+kept AS (
+  SELECT doc_id, len(words) AS n_words, len(coalesce(places, [])) AS n_removed, words, coalesce(places, []) AS places
+  FROM texts LEFT JOIN gone_of USING (row_id)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN n_removed = 0 THEN words ELSE
+    list_transform(list_filter(list_zip(words, range(1, n_words + 1)), lambda p: NOT list_contains(places, p[2])), lambda p: p[1]) END, ' ')) AS kept_sha256
+FROM kept
+"""
+
+ORACLES["op10_ngram_jaccard_join"] = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS shingles
+  FROM texts
+), tokens AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS token FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n_a, any_value(b.n) AS n_b, count(*) AS shared
+  FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY a.doc_id, b.doc_id
+), links AS (SELECT a, b FROM common WHERE 100 * shared >= 90 * (n_a + n_b - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, other) AS (
+  SELECT a, b FROM both_ways UNION SELECT r.doc_id, l.b FROM reached r JOIN both_ways l ON r.other = l.a
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM sets LEFT JOIN (SELECT doc_id, min(other) AS low FROM reached GROUP BY doc_id) USING (doc_id)
+"""

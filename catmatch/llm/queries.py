@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catmatch.llm import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, substring, url_rules
+from catmatch.llm import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, substring, topk_search, url_rules
 from catmatch.llm.common import table
 from catmatch.llm.oracles import ORACLES  # noqa: F401
 
@@ -58,6 +58,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
