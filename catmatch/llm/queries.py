@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catmatch.llm import chat, mixing, ngram_join, packing, quality_classifier, quality_rules, substring, topk_search, url_rules
+from catmatch.llm import chat, html_text, mixing, ngram_join, packing, quality_classifier, quality_rules, substring, topk_search, url_rules
 from catmatch.llm.common import table
 from catmatch.llm.oracles import ORACLES  # noqa: F401
 
@@ -31,6 +31,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(spark, table(spark, sf_dir, "pages"))
 
 
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_quality(table(spark, sf_dir, "documents"))
