@@ -16,17 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once into the cluster's shared checkpoint folder and cut the lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    A lost executor then costs no earlier stage. Spark removes the files when the
-    frame is no longer used, if spark.cleaner.referenceTracking.cleanCheckpoints is
-    on. Only where the session names no folder, as in tests, a temporary one is set.
+    Only where the session names none, as in tests, a temporary one is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
-                                 or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once into the shared checkpoint folder and cut the lineage, so that a lost executor costs no earlier stage.
+
+    Spark removes the files when the frame is no longer used, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

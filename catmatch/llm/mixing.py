@@ -12,7 +12,7 @@ a draw from the document's own hash.
 
 Tokens are words here. Defined cases: a null or empty text has no tokens, the prior as its
 posterior, and a rate like any other; a domain without tokens cannot be matched and is left
-out; without labels all documents are of the first domain; rows that repeat a doc_id are
+out; without labels all documents are of the first domain, and stay; rows that repeat a doc_id are
 documents of their own, with equal draws; an empty table gives no rows; other columns are
 ignored, or kept by `mix_documents`.
 """
@@ -32,7 +32,7 @@ from catmatch.llm.common import materialize
 from catmatch.llm.labelled import labelled_sample
 from catmatch.llm.words import WordHashes
 
-#: Domains and the weights wanted of them; the first is what has no label.
+#: Domains and the weights wanted of them. The first one is kept whole.
 TARGETS = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
 SAMPLE = 20_000
 BUCKET_BITS = 18
@@ -40,6 +40,8 @@ BUCKET_BITS = 18
 TERMS, LEAST_DOCUMENTS = 128, 5
 DESCENT_ROUNDS, DESCENT_STEP, RIDGE = 400, 0.5, 0.5
 ROUNDS, STEP, STIFFNESS = 40, 0.9, 1e-4
+#: Of a domain at most so many times its tokens are wanted.
+MOST_RATE = 1.0
 #: Documents whose rate is this near to one stay as they are.
 NEAR_ONE = 0.05
 
@@ -97,7 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, domains: int, sample: int = SAMPLE)
     documents = np.zeros(domains)
     for domain, n in rows.groupBy("domain").count().collect():
         documents[domain] = n
-    model = Model(np.log(np.maximum(documents, 1e-3) / max(documents.sum(), 1e-3)), np.zeros((size, domains), np.float32))
+    documents = documents if documents.sum() else np.eye(domains)[0]
+    model = Model(np.log(np.maximum(documents, 1e-3) / documents.sum()), np.zeros((size, domains), np.float32))
     if np.count_nonzero(documents) < 2:
         return model
     # At most domains x buckets counts of a bounded sample.
@@ -163,16 +166,15 @@ def _rate(history: list[list[float]]) -> Column:
 def fit_rates(judged: DataFrame, weights: list[float], rounds: int = ROUNDS) -> tuple[Column, list[float], list[float]]:
     """(rate as an expression of p, target totals, reached totals) over a materialised frame of n_tokens and p.
 
-    The targets are as large as they can be without any domain being wanted above what there is.
+    The first domain is wanted whole, the others at their weights against it, and none above
+    MOST_RATE times what there is of it.
     """
     k = len(weights)
     totals = lambda rate: [x or 0.0 for x in judged.agg(*[
         F.sum(F.col("n_tokens") * F.get("p", F.lit(i)) * rate) for i in range(k)]).first()]
     mass = totals(F.lit(1.0))
-    total = sum(mass)
-    usable = [m > 1e-9 * total and total > 0 for m in mass]
-    scale = min((m / w for m, w, u in zip(mass, weights, usable) if u and w > 0), default=0.0)
-    targets = [scale * w if u else m for m, w, u in zip(mass, weights, usable)]
+    usable = [m > 1e-9 * sum(mass) and sum(mass) > 0 for m in mass]
+    targets = [min(MOST_RATE * m, mass[0] / weights[0] * w) if u else m for m, w, u in zip(mass, weights, usable)]
     history: list[list[float]] = []
     reached = mass
     for _ in range(rounds):

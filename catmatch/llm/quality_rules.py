@@ -164,6 +164,11 @@ def _decided(voted: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, unchanged. Statistics are made once for the votes, once for the rows."""
+    """The rows of docs that are kept, unchanged. Statistics are made once for the votes, once for the rows.
+
+    The rows pass a generator: a plain filter would be pushed below the statistics and repeat them in its condition.
+    """
     voted = add_votes(add_statistics(docs))
-    return _decided(voted, fit(voted)).filter("kept").select("row.*")
+    decided = _decided(voted, fit(voted))
+    kept = decided.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row"))
+    return kept.filter(F.col("row").isNotNull()).select("row.*")

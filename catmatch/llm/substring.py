@@ -34,7 +34,7 @@ _PIECE_WORDS = 250_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn("_text_key_", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def _pieces(batch: pa.RecordBatch, hashes: WordHashes) -> Iterator[tuple[list[in
 
 
 def anchor_stretches(texts: DataFrame, window: int) -> DataFrame:
-    """_key, text → name, _key, begin, length: stretches of window starts whose windows share an anchor of that name."""
+    """_text_key_, text → name, _key, begin, length: stretches of window starts whose windows share an anchor of that name."""
     def stretches(batches):
         hashes = WordHashes()
         for batch in batches:
@@ -69,13 +69,13 @@ def anchor_stretches(texts: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found.name.view(np.int64)), pa.array(keys[np.array(rows)[of]]),
                      pa.array((found.window - first[of]).astype(np.int32)), pa.array((found.end - found.window).astype(np.int32))],
-                    names=["name", "_key", "begin", "length"])
+                    names=["name", "_text_key_", "begin", "length"])
 
-    return texts.select("_key", F.col("text").cast("binary")).mapInArrow(stretches, "name long, _key long, begin int, length int")
+    return texts.select("_text_key_", F.col("text").cast("binary")).mapInArrow(stretches, "name long, _text_key_ long, begin int, length int")
 
 
 def window_names(texts: DataFrame, window: int) -> DataFrame:
-    """_key, text, stretches (begin << 32 | length) → name, _key, start for every window of the stretches."""
+    """_text_key_, text, stretches (begin << 32 | length) → name, _key, start for every window of the stretches."""
     inverse = np.uint64(pow(_BASE, -1, 1 << 64))
 
     def windows(batches):
@@ -97,10 +97,10 @@ def window_names(texts: DataFrame, window: int) -> DataFrame:
                 names = mix((sums[at + window] - sums[at]) * back[at], 10)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names.view(np.int64)), pa.array(keys[np.array(rows)[of]]), pa.array(start.astype(np.int32))],
-                    names=["name", "_key", "start"])
+                    names=["name", "_text_key_", "start"])
 
-    return (texts.select("_key", F.col("text").cast("binary"), "stretches")
-            .mapInArrow(windows, "name long, _key long, start int"))
+    return (texts.select("_text_key_", F.col("text").cast("binary"), "stretches")
+            .mapInArrow(windows, "name long, _text_key_ long, start int"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -112,18 +112,18 @@ def _shared(rows: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per distinct text with repeated windows: _key, copies (rows of the text), starts (of windows, as stretches)."""
     keyed = _keyed(docs.select("doc_id", "text"))
-    texts = materialize(keyed.groupBy("_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")))
-    again = materialize(keyed.select("_key", "doc_id").join(texts.filter("copies > 1"), "_key").filter("doc_id > least")
-                        .select("_key", "doc_id").distinct())
-    once = keyed.join(_few(again), ["_key", "doc_id"], "left_anti").select("_key", "text")
+    texts = materialize(keyed.groupBy("_text_key_").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")))
+    again = materialize(keyed.select("_text_key_", "doc_id").join(texts.filter("copies > 1"), "_text_key_").filter("doc_id > least")
+                        .select("_text_key_", "doc_id").distinct())
+    once = keyed.join(_few(again), ["_text_key_", "doc_id"], "left_anti").select("_text_key_", "text")
 
     pack = lambda begin, length: F.shiftleft(begin.cast("long"), 32).bitwiseOR(length.cast("long"))
-    stretches = (_shared(anchor_stretches(once, window)).groupBy("_key")
+    stretches = (_shared(anchor_stretches(once, window)).groupBy("_text_key_")
                  .agg(F.collect_list(pack(F.col("begin"), F.col("length"))).alias("stretches")))
-    windows = _shared(window_names(once.join(stretches, "_key"), window))
-    starts = windows.groupBy("_key").agg(F.collect_set("start").alias("starts"))
-    copied = texts.filter("copies > 1").select("_key", "copies")
-    return copied.join(starts, "_key", "full_outer").select("_key", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
+    windows = _shared(window_names(once.join(stretches, "_text_key_"), window))
+    starts = windows.groupBy("_text_key_").agg(F.collect_set("start").alias("starts"))
+    copied = texts.filter("copies > 1").select("_text_key_", "copies")
+    return copied.join(starts, "_text_key_", "full_outer").select("_text_key_", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
 
 
 def _covered(n: int, copies: int, starts: list[int] | None, window: int) -> np.ndarray:
@@ -140,14 +140,15 @@ def _covered(n: int, copies: int, starts: list[int] | None, window: int) -> np.n
 
 
 def _with_repeats(docs: DataFrame, repeats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs (with _key) that no repeat touches, and the others joined with copies and starts.
+    """The rows of docs (with _key) that no repeat touches, and the others joined with _copies_ and _starts_.
 
     Where the touched keys are few enough, only the touched rows are shuffled.
     """
     repeats = materialize(repeats)
-    keys = _few(repeats.select("_key"))
+    repeats = repeats.select("_text_key_", F.col("copies").alias("_copies_"), F.col("starts").alias("_starts_"))
+    keys = _few(repeats.select("_text_key_"))
     keyed = _keyed(docs)
-    return keyed.join(keys, "_key", "left_anti"), keyed.join(keys, "_key", "left_semi").join(repeats, "_key")
+    return keyed.join(keys, "_text_key_", "left_anti"), keyed.join(keys, "_text_key_", "left_semi").join(repeats, "_text_key_")
 
 
 def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -171,7 +172,7 @@ def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     columns = [F.col("doc_id").cast("long"), F.col("text").cast("binary")]
     free = free.select(*columns, F.lit(1).alias("copies"), F.lit(None).cast("array<int>").alias("starts"))
-    touched = touched.select(*columns, F.col("copies").cast("int").alias("copies"), "starts")
+    touched = touched.select(*columns, F.col("_copies_").cast("int").alias("copies"), F.col("_starts_").alias("starts"))
     return free.mapInArrow(digest, schema).union(touched.mapInArrow(digest, schema))
 
 
@@ -198,15 +199,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            rest = batch.drop_columns(["copies", "starts"])
+            rest = batch.drop_columns(["_copies_", "_starts_"])
             texts = []
-            for text, copies, starts in zip(*(batch.column(c).to_pylist() for c in ("text", "copies", "starts"))):
+            for text, copies, starts in zip(*(batch.column(c).to_pylist() for c in ("text", "_copies_", "_starts_"))):
                 texts.append(None if text is None else cut_text(text, _covered(len(text.encode("utf-8").split()), copies, starts, window)))
             at = rest.schema.get_field_index("text")
             yield rest.set_column(at, "text", pa.array(texts, pa.string()))
 
     names = docs.columns
-    touched = touched.select(*names, F.col("copies").cast("int").alias("copies"), "starts")
+    touched = touched.select(*names, F.col("_copies_").cast("int").alias("_copies_"), "_starts_")
     changed = touched.mapInArrow(cut, docs.schema)
     if "n_chars" in names:
         changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
