@@ -4,11 +4,13 @@ A classifier learnt from the labels table gives every document a posterior over
 projected-gradient least-squares fit then finds nonnegative rates, one a document, whose
 expected token totals by domain match the targets:
 
-    min  sum_k (sum_d tokens_d p_dk rate_d - target_k)^2 / mass_k  +  STIFFNESS sum_d tokens_d (rate_d - 1)^2,  rate_d >= 0
+    min  sum_k (sum_d tokens_d p_dk rate_d - target_k)^2,  rate_d >= 0,  from rate_d = 1
 
-The driver only ever holds a vector of domains: a round sums the residual over all documents,
-and a document's rate is its start folded over the residuals so far. A rate becomes copies by
-a draw from the document's own hash.
+A step moves all rates along the gradient, scaled by the Gram matrix of the posteriors of
+documents still above zero, and then up to zero where it went below. The driver only ever holds
+that matrix of domains: a round sums it and the residual over all documents, and a document's
+rate is its start folded over the steps so far. A rate becomes copies by a draw from the
+document's own hash.
 
 Tokens are words here. Defined cases: a null or empty text has no tokens, the prior as its
 posterior, and a rate like any other; a domain without tokens cannot be matched and is left
@@ -39,7 +41,7 @@ BUCKET_BITS = 18
 #: Terms per domain, the labelled documents a term must be in, and the descent of the regression on them.
 TERMS, LEAST_DOCUMENTS = 128, 5
 DESCENT_ROUNDS, DESCENT_STEP, RIDGE = 400, 0.5, 0.5
-ROUNDS, STEP, STIFFNESS = 40, 0.9, 1e-4
+ROUNDS, TOLERANCE = 30, 1e-4
 #: Of a domain at most so many times its tokens are wanted.
 MOST_RATE = 1.0
 #: Documents whose rate is this near to one stay as they are.
@@ -154,13 +156,13 @@ def posteriors(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _rate(history: list[list[float]]) -> Column:
-    """The rate after the gradients so far: each step moves it by its posterior's share, and never below nothing."""
+    """The rate after the steps so far: each moves it by its posterior's share, and never below nothing."""
     if not history:
         return F.lit(1.0)
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in history])
     slope = lambda step: F.aggregate(F.zip_with("p", step, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return F.aggregate(steps, F.lit(1.0), lambda r, step: F.greatest(
-        F.lit(0.0), r - F.lit(STEP) * (slope(step) + F.lit(STIFFNESS) * (r - 1))))
+        F.lit(0.0), r - slope(step)))
 
 
 def fit_rates(judged: DataFrame, weights: list[float], rounds: int = ROUNDS) -> tuple[Column, list[float], list[float]]:
@@ -170,20 +172,29 @@ def fit_rates(judged: DataFrame, weights: list[float], rounds: int = ROUNDS) ->
     MOST_RATE times what there is of it.
     """
     k = len(weights)
-    totals = lambda rate: [x or 0.0 for x in judged.agg(*[
-        F.sum(F.col("n_tokens") * F.get("p", F.lit(i)) * rate) for i in range(k)]).first()]
-    mass = totals(F.lit(1.0))
-    usable = [m > 1e-9 * sum(mass) and sum(mass) > 0 for m in mass]
-    targets = [min(MOST_RATE * m, mass[0] / weights[0] * w) if u else m for m, w, u in zip(mass, weights, usable)]
+    share = [F.get("p", F.lit(i)) for i in range(k)]
+
+    def sums(rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        above = F.when(rate > 0, F.col("n_tokens")).otherwise(0)
+        row = judged.agg(*[F.sum(F.col("n_tokens") * p * rate) for p in share],
+                         *[F.sum(above * p * q) for p in share for q in share]).first()
+        values = np.array([x or 0.0 for x in row])
+        return values[:k], values[k:].reshape(k, k)
+
+    mass, gram = sums(F.lit(1.0))
+    usable = mass > 1e-9 * mass.sum()
+    wanted = np.array(weights) / weights[0] * mass[0]
+    targets = np.where(usable, np.minimum(MOST_RATE * mass, wanted), mass)
     history: list[list[float]] = []
     reached = mass
     for _ in range(rounds):
-        residual = [(r - t) / m if u else 0.0 for r, t, m, u in zip(reached, targets, mass, usable)]
-        if max(map(abs, residual), default=0.0) < 1e-4:
+        residual = np.where(usable, reached - targets, 0.0)
+        if not usable.any() or (np.abs(residual)[usable] / mass[usable]).max() < TOLERANCE:
             break
-        history.append(residual)
-        reached = totals(_rate(history))
-    return _rate(history), targets, reached
+        step = np.linalg.lstsq(gram + 1e-9 * np.diag(mass + 1.0), residual, rcond=None)[0]
+        history.append(step.tolist())
+        reached, gram = sums(_rate(history))
+    return _rate(history), targets.tolist(), reached.tolist()
 
 
 def copies_of(rate: Column, *key: Column) -> Column:

@@ -28,7 +28,7 @@ KEEP_FROM = 0.5
 EM_ROUNDS = 20
 SHARE_START, SHARE_RANGE = 0.8, (0.05, 0.98)
 #: Rates of good and bad votes in (good, bad) documents before any count, and the documents they weigh as much as.
-GOOD_VOTES_START, BAD_VOTES_START, PRIOR_WEIGHT = (0.9, 0.5), (0.02, 0.4), 20
+GOOD_VOTES_START, BAD_VOTES_START, PRIOR_WEIGHT = (0.9, 0.7), (0.02, 0.4), 50
 #: Function words of the four languages of the corpus.
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "de", "la", "le", "et", "que", "el", "en", "y", "los", "der", "die",
               "und", "zu", "den", "les", "des"]
@@ -45,7 +45,7 @@ class Votes(NamedTuple):
 RULES = [
     Votes("symbols", "n_symbols / n_words", 0.05, 0.30),
     Votes("repeats", "n_repeat_words / n_words", 0.20, 0.40),
-    Votes("duplicate_lines", "n_dup_lines / n_lines", 0.10, 0.30),
+    Votes("duplicate_lines", "n_dup_lines / n_lines", 0.20, 0.50),
     Votes("capitals", "n_capitals / word_chars", 0.15, 0.40),
     Votes("exclamations", "n_exclamations / n_words", 0.10, 0.30),
     Votes("word_length", "abs(word_chars / n_words - 5.5)", 3.0, 5.0),
