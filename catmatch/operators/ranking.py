@@ -19,11 +19,14 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int,
 
 
 def with_buckets(df: DataFrame, keys: list[str], value: str, rows_per_bucket: int) -> DataFrame:
-    """A `_bucket` per row, monotone in the value; big keys get as many as their size asks for."""
+    """A `_bucket` per row, monotone in the value; big keys get as many as their size asks for.
+
+    Rows without a value form the lowest bucket: first in ascending, last in descending order.
+    """
     spans = df.groupBy(*keys).agg(F.min(value).alias("_span_low"), F.max(value).alias("_span_high"),
                                   F.ceil(F.count(F.lit(1)) / rows_per_bucket).alias("_span_n"))
     share = (F.col(value) - F.col("_span_low")) / (F.col("_span_high") - F.col("_span_low"))
-    bucket = F.when(F.col("_span_high") > F.col("_span_low"), F.floor(share * F.col("_span_n"))).otherwise(0)
+    bucket = F.when(F.col(value).isNull(), -1).when(F.col("_span_high") > F.col("_span_low"), F.floor(share * F.col("_span_n"))).otherwise(0)
     return df.join(spans, keys).withColumn("_bucket", bucket).drop("_span_low", "_span_high", "_span_n")
 
 
@@ -134,9 +137,9 @@ def preserve_first_ts(log: DataFrame, keys: list[str], ts: str, tie: str) -> Dat
     ).select(*keys, ts, "_row.*")
 
 
-def page(df: DataFrame, order: list, number: int, per_page: int, max_per_page: int = 100) -> DataFrame:
+def page(df: DataFrame, order: list, number: int, per_page: int) -> DataFrame:
     """One page in the given order, with the total and whether more rows follow."""
-    number, per_page = max(number, 1), min(max(per_page, 1), max_per_page)
+    number, per_page = max(number, 1), max(per_page, 1)
     offset = (number - 1) * per_page
     total = df.agg(F.count(F.lit(1))).scalar()
     rows = df.orderBy(*order).offset(offset).limit(per_page)

@@ -35,17 +35,20 @@ def reliable_lines(lines: DataFrame, floor: float, ceiling: float = 1.0) -> Data
                         & confidence.between(floor, ceiling))
 
 
-def _grams(words: Column, longest: int) -> Column:
+def longest_phrase(vocabulary: DataFrame) -> Column:
+    """Words of the vocabulary's longest phrase."""
+    return F.coalesce(vocabulary.agg(F.max(F.size(F.split("phrase", " ")))).scalar(), F.lit(1))
+
+
+def _grams(words: Column, longest: Column) -> Column:
     """array<struct<first, after, gram>> of all word runs up to the longest phrase."""
     size = F.size(words)
 
     def of_length(n):
-        return F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), lambda i: F.struct(
-            i.alias("first"), (i + n).alias("after"),
-            F.array_join(F.slice(words, i + 1, n), " ").alias("gram"))))
+        return F.transform(F.sequence(F.lit(0), size - n), lambda i: F.struct(
+            i.alias("first"), (i + n).alias("after"), F.array_join(F.slice(words, i + 1, n), " ").alias("gram")))
 
-    parts = [of_length(n) for n in range(1, longest + 1)]
-    return F.flatten(F.filter(F.array(*parts), lambda p: p.isNotNull()))
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.least(size, longest)), of_length))
 
 
 def accept_longest(matches: Column) -> Column:
@@ -64,16 +67,15 @@ def _match_struct() -> Column:
     return F.struct((-F.length("phrase")).alias("shorter"), "phrase_order", "first", "after", "value")
 
 
-def find_values(rows: DataFrame, keys: list[str], text: str, vocabulary: DataFrame,
-                longest: int = 4) -> DataFrame:
+def find_values(rows: DataFrame, keys: list[str], text: str, vocabulary: DataFrame) -> DataFrame:
     """(keys, kind, value): vocabulary values of each text, longest phrase first.
 
     Word runs meet the vocabulary in an equi-join, so the vocabulary may be a
     large table; only runs that are a phrase are shuffled to their text.
     """
     words = F.split(tx.normalize_phrase(F.col(text)), " ")
-    grams = rows.select(*keys, words.alias("_w")).select(
-        *keys, F.explode(_grams(F.col("_w"), longest)).alias("g")).select(*keys, "g.*")
+    grams = rows.select(*keys, words.alias("_w"), longest_phrase(vocabulary).alias("_longest")).select(
+        *keys, F.explode(_grams(F.col("_w"), F.col("_longest"))).alias("g")).select(*keys, "g.*")
     hits = grams.join(vocabulary, F.col("gram") == F.col("phrase"))
     kept = hits.groupBy(*keys, "kind").agg(accept_longest(F.collect_list(_match_struct())).alias("m"))
     return kept.select(*keys, "kind", F.explode(F.array_distinct(F.transform("m", lambda m: m["value"])))
@@ -81,7 +83,7 @@ def find_values(rows: DataFrame, keys: list[str], text: str, vocabulary: DataFra
 
 
 def line_tags(lines: DataFrame, vocabulary: DataFrame, keys=("query_id", "line_no"),
-              glyph_words: list[str] | None = None, longest: int = 4) -> DataFrame:
+              glyph_words: list[str] | None = None) -> DataFrame:
     """(keys, kind, value) attribute tags of label lines.
 
     Colours and sweetness are read from the look-alike-decoded text, grapes and
@@ -92,8 +94,8 @@ def line_tags(lines: DataFrame, vocabulary: DataFrame, keys=("query_id", "line_n
     plain = F.split(tx.normalize_phrase(F.col("text")), " ")
     forms = F.array(F.struct(F.lit("attr").alias("form"), decoded.alias("w")),
                     F.struct(F.lit("text").alias("form"), plain.alias("w")))
-    grams = (lines.select(*keys, F.explode(forms).alias("f"))
-             .select(*keys, "f.form", F.explode(_grams(F.col("f.w"), longest)).alias("g"))
+    grams = (lines.select(*keys, F.explode(forms).alias("f"), longest_phrase(vocabulary).alias("_longest"))
+             .select(*keys, "f.form", F.explode(_grams(F.col("f.w"), F.col("_longest"))).alias("g"))
              .select(*keys, "form", "g.*"))
     masks = vocabulary.filter("kind = 'grapes'").withColumn("kind", F.lit("mask"))
     phrases = vocabulary.unionByName(masks).withColumn(
@@ -192,8 +194,7 @@ def single_reading(tags: DataFrame) -> DataFrame:
              F.when(F.col("_n") == 1, "read").otherwise("ambiguous").alias("status"))
 
 
-def observed_fields(lines: DataFrame, grapes=None, colors=None, floor: float = 0.65,
-                    as_of_year: int = 2026) -> DataFrame:
+def observed_fields(lines: DataFrame, as_of_year: int, grapes=None, colors=None, floor: float = 0.65) -> DataFrame:
     """(query_id, field, value, lines, confidence) of deduplicated label lines.
 
     Lines with the same collapsed lower-case text count once, with their best confidence.

@@ -225,7 +225,7 @@ def history_snapshot(v):
 RECOMMEND = {
     "rc": """SELECT slug, p_partkey, CASE WHEN split_part(title, ' ', 1) IN ('red', 'blue') THEN split_part(title, ' ', 1) END AS color, category AS sweetness,
       [grapes] AS grapes, CASE WHEN p_partkey % 9 <> 0 THEN winery END AS producer, string_split(title, ' ') AS words, e.embedding::DOUBLE[] AS vec
-      FROM cards JOIN embeddings e ON e.vec_id = p_partkey % 500""",
+      FROM cards JOIN embeddings e ON e.vec_id = p_partkey % (SELECT count(*) FROM embeddings)""",
     "lines": "SELECT query_id, line_no, string_split(text, ' ') AS w, text FROM part_lines WHERE on_target AND confidence >= 0.8 AND query_id % 3 <> 0",
     "prof": """SELECT q.query_id, list(DISTINCT w[1]) FILTER (w[1] IN ('red', 'blue')) AS cs, list(DISTINCT w[3]) FILTER (w[3] IN ('MEDIUM', 'ECONOMY', 'STANDARD')) AS ss,
       list_sort(list(DISTINCT w[2]) FILTER (w[2] IN ('ring', 'bolt', 'gear'))) AS gs FROM (SELECT DISTINCT query_id FROM part_lines) q LEFT JOIN lines USING (query_id) GROUP BY q.query_id""",
@@ -276,7 +276,7 @@ def recommendation_inputs(v):
                            F.array("grapes").alias("grapes"), F.when(F.col("p_partkey") % 9 != 0, F.col("winery")).alias("producer"))
     states = F.array(*[F.lit(s) for s in ("not_in_catalog", "confirmed", "candidates_unverified", "candidates_unverified")])
     results = v.customer.select(F.col("c_custkey").alias("query_id"), F.element_at(states, (F.col("c_custkey") % 4 + 1).cast("int")).alias("recognition_status"))
-    vectors = v.part.select(F.concat(F.lit("p"), "p_partkey").alias("slug"), (F.col("p_partkey") % 500).alias("vec_id")).join(
+    vectors = v.part.select(F.concat(F.lit("p"), "p_partkey").alias("slug"), (F.col("p_partkey") % v.embeddings.agg(F.count("*")).scalar()).alias("vec_id")).join(
         v.embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("slug", "vector")
     excluded = ["blue", "ring", "bolt", "gear", "medium", "economy", "standard"]
     return rec.recommend(profile, results, keep(v.candidates), cards, lines, 5, vectors, excluded)

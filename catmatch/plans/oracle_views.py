@@ -83,7 +83,7 @@ VIEWS = {
     "bench_cards": """SELECT 'b' || item_id AS slug, item_id,
         array_to_string(string_split(text, ' ')[1:12], ' ') AS title,
         array_to_string(string_split(text, ' ')[13:14], ' ') AS winery,
-        array_to_string(string_split(text, ' ')[15:17], ' ') AS grapes,
+        array_to_string(string_split(text, ' ')[15:], ' ') AS grapes,
         CASE WHEN item_id % 2 = 0 THEN 'white' ELSE 'red' END AS category,
         'NATION_' || (item_id % 25) AS region FROM benchmark""",
     "bench_terms": f"SELECT DISTINCT item_id, unnest({tokens('text')}) AS term FROM benchmark",

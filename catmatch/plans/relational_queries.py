@@ -1,7 +1,7 @@
 """Filters, joins, set operations, ranking and collection queries."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from catmatch import fixed_values as fv
 from catmatch.functions import scalars as sc
@@ -135,10 +135,10 @@ def rank_candidates(v):
       PARTITION BY query_id ORDER BY rn) AS tied_rank FROM (
       SELECT *, coalesce(abs(visual_similarity - lag(visual_similarity) OVER (PARTITION BY query_id ORDER BY rn)) > 0.00001, true) AS fresh
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY visual_similarity DESC, slug) AS rn
-        FROM scored_pairs)) WHERE rn <= 20""")
+        FROM scored_pairs))""")
 def tied_rank(v):
     pairs = v.scored_pairs.select("query_id", "slug", "visual_similarity")
-    return rk.tied_rank(pairs, "query_id", "visual_similarity", "slug", 1e-5, 20).select(
+    return rk.tied_rank(pairs, "query_id", "visual_similarity", "slug", 1e-5).select(
         "query_id", "slug", "tied_rank")
 
 
@@ -251,7 +251,7 @@ def limit_output(v):
 
 def _sorted(key):
     return f"""SELECT user_id, slug, position FROM (SELECT user_id, slug, row_number() OVER (
-      PARTITION BY user_id ORDER BY {key}, slug) AS position FROM favorites f JOIN cards USING (slug)) WHERE position <= 10"""
+      PARTITION BY user_id ORDER BY {key}, slug) AS position FROM favorites f JOIN cards USING (slug))"""
 
 
 for _name, _sql in [("newest", "added_at DESC"), ("oldest", "added_at"),
@@ -263,7 +263,8 @@ for _name, _sql in [("newest", "added_at DESC"), ("oldest", "added_at"),
         owned = v.favorites.join(v.cards.select("slug", "title", F.when(
             F.col("size") % 4 != 0, F.col("price")).alias("rating")), "slug")
         order = [*collection_order(name, "added_at"), F.col("slug")]
-        return rk.top_k(owned, ["user_id"], order, 10, "position").select("user_id", "slug", "position")
+        position = F.row_number().over(W.partitionBy("user_id").orderBy(*order)).cast("bigint")
+        return owned.withColumn("position", position).select("user_id", "slug", "position")
 
 
 @query("dashboard_sections", "O5", """

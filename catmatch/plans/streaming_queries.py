@@ -101,7 +101,7 @@ def deadline_miss_stream(v):
     jobs = log.select(
         F.concat_ws(":", "user_id", "item_id").alias("job"), F.timestamp_micros("ts").alias("event_time"),
         (F.col("status") == "legacy").alias("is_start"), (F.col("status") == "user_confirmed").alias("is_finish"))
-    return js.run_to_folder(js.deadline_misses(jobs, "job", 86_400_000_000), js.scratch(v.spark, "deadline"))
+    return js.run_to_folder(js.deadline_misses(jobs, "job", 86_400_000_000, delay="0 seconds"), js.scratch(v.spark, "deadline"))
 
 
 @query("history_sink", "R7", """

@@ -197,7 +197,7 @@ def attribute_precedence(v):
 def observed_fields(v):
     grapes = {"ring": r"\bring\b", "gizmo": r"giz+mo"}
     colors = {"red": r"\bred\b", "old": r"\bold\b"}
-    return tg.observed_fields(v.part_lines, grapes, colors)
+    return tg.observed_fields(v.part_lines, 2026, grapes, colors)
 
 
 @query("grape_vocabulary", "A24", """
@@ -385,12 +385,12 @@ def text_search(v):
 
 @query("missing_terms", "O7", """
     SELECT query_id, slug, term FROM (SELECT r.query_id, r.slug, e.term, row_number() OVER (PARTITION BY r.query_id, r.slug
-      ORDER BY idf * s DESC, e.term) AS n FROM (SELECT query_id, slug FROM ranked WHERE rank <= 2) r JOIN ev e USING (query_id) JOIN vocab USING (term)
+      ORDER BY idf * s DESC, e.term) AS n FROM (SELECT query_id, slug FROM ranked WHERE rank <= 10) r JOIN ev e USING (query_id) JOIN vocab USING (term)
       WHERE NOT EXISTS (SELECT 1 FROM doc_terms d WHERE d.slug = r.slug AND d.term = e.term)) WHERE n <= 12""", SCORE_VIEWS)
 def missing_terms(v):
     index = v.bench_index
     evidence = ts.query_evidence(v.obs, index)
-    found = ts.text_search(v.obs, v.bench_cards, 2, index, evidence)
+    found = ts.text_search(v.obs, v.bench_cards, 10, index, evidence)
     return ts.missing_terms(found, evidence, index).select("query_id", "slug", "term")
 
 

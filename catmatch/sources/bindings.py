@@ -97,7 +97,7 @@ class Views(Tables):
             F.concat(F.lit("b"), "item_id").alias("slug"), "item_id",
             F.array_join(F.slice(F.split(text, " "), 1, 12), " ").alias("title"),
             F.array_join(F.slice(F.split(text, " "), 13, 2), " ").alias("winery"),
-            F.array_join(F.slice(F.split(text, " "), 15, 3), " ").alias("grapes"),
+            F.array_join(F.slice(F.split(text, " "), F.lit(15), F.size(F.split(text, " "))), " ").alias("grapes"),
             F.when(key % 2 == 0, "white").otherwise("red").alias("category"),
             F.concat(F.lit("NATION_"), key % 25).alias("region"))
 

@@ -136,7 +136,7 @@ def stable_trigger(frames: DataFrame, key: str, n: int = 3, gap: int = 400, rear
         "append", GroupStateTimeout.NoTimeout)
 
 
-def deadline_misses(jobs: DataFrame, key: str, limit_micros: int, delay: str = "0 seconds") -> DataFrame:
+def deadline_misses(jobs: DataFrame, key: str, limit_micros: int, delay: str) -> DataFrame:
     """Jobs not finished within the limit, emitted by an event-time timer.
 
     `jobs` has the key, event_time, started and finished flags.
