@@ -109,31 +109,35 @@ def job_state(log: DataFrame, key: str = "job") -> DataFrame:
 
 
 def stable_trigger(frames: DataFrame, key: str, n: int = 3, gap: int = 400, rearm: int = 1500) -> DataFrame:
-    """Fires once when n consecutive good frames were seen; absence arms it again.
+    """The batch operator `stable_triggers` over micro-batches: islands of good frames, one shot per armed episode.
 
-    `frames` has the key, ts, good and overlaps.
+    `frames` has the key, ts, good and overlaps. A key's state is one summary of all before: time of
+    the newest good frame, length of the run it ends (0 if a bad frame followed), and whether a
+    shot is still due in the episode. The rows of a micro-batch are marked as arrays against it.
     """
-    def watch(name, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, count, fired, previous = state.get if state.exists else (0, 0, False, False)
-        shots = []
+    def mark(name, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, open_run, due = state.get if state.exists else (0, 0, True)
         rows = _ordered(parts, ["ts"])
-        for ts, good, overlaps in zip(rows.get("ts", []), rows.get("good", []), rows.get("overlaps", [])):
-            if not good:
-                previous, count = False, 0
-                fired = fired and ts - last <= rearm
-                continue
-            count = count + 1 if previous and overlaps and ts - last <= gap else 1
-            previous, last = True, int(ts)
-            if not fired and count >= n:
-                fired = True
-                shots.append(int(ts))
-        state.update((int(last), int(count), bool(fired), bool(previous)))
-        yield pd.DataFrame({key: [name[0]] * len(shots), "ts": shots}).astype({"ts": "int64"})
+        if rows.empty:
+            return
+        ts, good = rows["ts"].reset_index(drop=True), rows["good"].fillna(False).astype(bool).reset_index(drop=True)
+        over = rows["overlaps"].fillna(False).astype(bool).reset_index(drop=True)
+        goods = ts.where(good).cummax().ffill()
+        pause = ts - goods.shift().fillna(newest)
+        follows = good.shift(fill_value=open_run > 0)
+        island = (good & ~(follows & over & (pause <= gap))).cumsum()
+        episode = (~good & (pause > rearm)).cumsum()
+        length = good.groupby(island).cumsum() + (island == 0) * open_run
+        ripe = good & (length >= n) & ((episode > 0) | due)
+        shots = ts[ripe].groupby(episode[ripe]).min()
+        last = int(episode.iloc[-1])
+        state.update((int(goods.fillna(newest).iloc[-1]), int(length.iloc[-1]) if good.iloc[-1] else 0,
+                      last not in shots.index and (last > 0 or due)))
+        yield pd.DataFrame({key: [name[0]] * len(shots), "ts": shots.astype("int64").to_numpy()})
 
     kind = frames.schema[key].dataType.simpleString()
     return frames.groupBy(key).applyInPandasWithState(
-        watch, f"{key} {kind}, ts bigint", "last bigint, count bigint, fired boolean, previous boolean",
-        "append", GroupStateTimeout.NoTimeout)
+        mark, f"{key} {kind}, ts bigint", "newest bigint, open_run bigint, due boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def deadline_misses(jobs: DataFrame, key: str, limit_micros: int, delay: str) -> DataFrame:
