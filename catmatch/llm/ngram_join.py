@@ -29,6 +29,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catmatch.llm.common import materialize
 from catmatch.llm.components import connected_components
@@ -286,8 +287,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, pe
     return materialize(both.mapInArrow(compare, "a long, b long"))
 
 
-def similar_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, text → doc_id, n_shingles, node, component_id for every row of docs."""
+def _rooted(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node, root, component_id for every row of docs; components that share an id differ by root."""
     described = materialize(describe(docs, size, percent))
     full = described.filter("n > 0")
     least = materialize(full.groupBy("node").agg(F.min("doc_id").alias("least_id")))
@@ -321,23 +322,47 @@ def similar_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     roots = connected_components(links.union(more))
     labels = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
     smallest = labels.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_node = materialize(labels.join(smallest, "root").select("node", "component_id"))
+    of_node = materialize(labels.join(smallest, "root").select("node", "root", "component_id"))
     return described.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left").select(
-        "doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "n_shingles", "node", "root",
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def similar_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, text → doc_id, n_shingles, node, component_id for every row of docs."""
+    return _rooted(docs, size, percent).select("doc_id", "n_shingles", "node", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """The rows of docs without near duplicates: of each component the one of the smallest id, unchanged.
 
     Rows without words stay. Rows that repeat the kept id within a component are reduced to one.
+    An id that is missing or repeated tells no rows apart; there the set of the row's text decides.
     """
-    found = materialize(similar_components(docs, size, percent).select("doc_id", "n_shingles", "component_id"))
-    gone = materialize(found.filter("doc_id > component_id or (doc_id is null and component_id is not null)")
-                       .select(F.col("doc_id").alias("gone")).distinct())
-    again = materialize(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-                        .select(F.col("doc_id").alias("again")))
-    few_gone, few_again = _few(gone), _few(again)
-    kept = docs.join(few_gone, docs["doc_id"].eqNullSafe(few_gone["gone"]), "left_anti")
-    once = kept.join(few_again, kept["doc_id"].eqNullSafe(few_again["again"]), "left_anti")
-    repeated = kept.join(few_again, kept["doc_id"].eqNullSafe(few_again["again"]), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated) if again.take(1) else once
+    found = materialize(_rooted(docs, size, percent))
+    unclear = materialize(found.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("unclear")))
+    gone = materialize(found.filter("doc_id > component_id").select(F.col("doc_id").alias("gone")).distinct())
+    few_unclear, few_gone = _few(unclear), _few(gone)
+    is_unclear = docs["doc_id"].eqNullSafe(few_unclear["unclear"])
+    kept = docs.join(few_unclear, is_unclear, "left_anti").join(few_gone, docs["doc_id"] == few_gone["gone"], "left_anti")
+    if not unclear.take(1):
+        return kept
+    # Of each component whose smallest id is unclear, one of the sets that stand under this id.
+    least = found.filter("n_shingles > 0 and doc_id <=> component_id")
+    chosen = materialize(least.join(few_unclear, least["doc_id"].eqNullSafe(few_unclear["unclear"]), "left_semi")
+                         .groupBy("root").agg(F.min("node").alias("chosen"), F.min("doc_id").alias("least_id")).drop("root"))
+    rows = docs.join(few_unclear, is_unclear, "left_semi")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    wrapped = rows.filter(has_words).select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("text"))
+
+    def name(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            nodes = [_node(shingle_set(hashes.of(text, lower=True), size)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64())], names=["row", "node"])
+
+    named = wrapped.mapInArrow(name, T.StructType([wrapped.schema["row"], T.StructField("node", T.LongType())]))
+    few_chosen = _few(chosen)
+    mine = named.join(few_chosen, (F.col("node") == F.col("chosen")) & F.col("row.doc_id").eqNullSafe(F.col("least_id")))
+    one = mine.groupBy("node").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row.*")
+    return kept.unionByName(rows.filter(~has_words)).unionByName(one)

@@ -259,6 +259,22 @@ def test_ngram_join_repeated_and_missing_ids(documents):
     assert ngram_join.keep_one_of_each(documents([])).collect() == []
 
 
+def test_keep_one_of_each_with_repeated_and_missing_ids(documents):
+    """Of every component one row of its smallest id stays; other rows of that id are no copies of it."""
+    rows = [(1, "a b c d"), (1, "A b c d"), (1, "other words stand here"), (None, "a b c d"), (2, "A B C D"), (None, "alone in the world"),
+            (None, "alone  in the world"), (None, "one more text"), (None, None), (3, None), (3, " "), (3, "third of its kind"), (4, "third of its kind"),
+            (4, "fourth of its kind"), (5, "five stands alone")]
+    docs = documents(rows)
+    kept = ngram_join.keep_one_of_each(docs)
+    assert kept.dtypes == docs.dtypes
+    # Rows named by their place, smallest id first, so that brute force sees distinct ids.
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    expected = brute.components([(n, rows[k][1]) for n, k in enumerate(order)])
+    plain = lambda i, t: (i, " ".join(brute.words((t or "").lower())))
+    assert Counter(plain(r["doc_id"], r["text"]) for r in kept.collect()) == Counter(
+        plain(*rows[k]) for n, k in enumerate(order) if expected[n][1] == n)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(100)] + [(7, 7)]
