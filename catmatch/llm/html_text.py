@@ -7,7 +7,7 @@ is good; short or unclear text stays open. The second pass gives open blocks the
 nearest decided neighbours. Inside an <article> or <main> only what the first pass calls bad goes.
 
 Defined cases: null html has an empty text; text without tags is one block; unclosed or crossed
-tags never lose text; rows that repeat a page_id are pages of their own; an empty table gives no
+tags never lose text, but a script, style or comment that is not closed goes to the end of the page; rows that repeat a page_id are pages of their own; an empty table gives no
 rows; other columns are ignored.
 """
 from __future__ import annotations
@@ -20,9 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RAW = "script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|title|textarea|select|button"
+#: Elements whose content is never text of the page: plain ones hold no tags of their own, nested ones do.
+_PLAIN = "noscript|iframe|title|textarea"
+_NESTED = "template|object|svg|math|canvas|audio|video|select|button"
+_END = r"(?=[\s/>])"  # so that svg-icon is no svg
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(script|style){_END}[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<({_PLAIN}){_END}[^>]*>(?:(?!<\2{_END}).)*?</\2\s*>|<[!?][^>]*(?:>|\Z)"
+    rf"|<({_NESTED}){_END}((?:[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
 _BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer
@@ -82,6 +87,21 @@ def _marked_aside(tag: str, attributes: str, in_root: bool) -> int:
     return int(tag not in _ROOTS and not words & _ABOUT_WORDS and bool(words & _ASIDE_WORDS))
 
 
+def _skipped(tokens: list[re.Match]) -> dict[int, int]:
+    """Number of an opening tag of _NESTED → end of its closing tag; self-closed and unclosed ones stand for nothing else."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for number, token in enumerate(tokens):
+        if token[3]:
+            if not token[4].endswith("/"):
+                opened.setdefault(token[3].lower(), []).append(number)
+        elif token[5] or token[8]:
+            numbers = opened.get((token[6] or token[9]).lower())
+            if numbers:
+                ends[numbers.pop()] = token.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
@@ -106,14 +126,18 @@ def blocks(page: str) -> list[Block]:
             linked += len("".join(text.split()))
 
     at = 0
-    for token in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    skipped = _skipped(tokens)
+    for number, token in enumerate(tokens):
+        if token.start() < at:
+            continue
         if token.start() > at:
             add(page[at:token.start()])
-        at = token.end()
-        tag = (token[3] or token[6] or "").lower()
+        at = skipped.get(number, token.end())
+        tag = (token[6] or token[9] or "").lower()
         if not tag:
             continue
-        closing, attributes = token[2] or token[5], token[4] or token[7] or ""
+        closing, attributes = token[5] or token[8], token[7] or token[10] or ""
         if tag == "a":
             link_depth = max(0, link_depth - 1) if closing else 1  # links do not nest
         elif tag == "br":

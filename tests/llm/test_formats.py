@@ -86,6 +86,16 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("between, shown", [
+    ("<svg-icon name=x></svg-icon>", ""), ("<title-bar></title-bar>", ""), ("<script-box></script-box>", ""), ("<svg viewBox=0/>", ""),
+    ("<svg viewBox='0 0 1 1' />", ""), ("<button>go", "\ngo"), ("<object data=x>", ""), ("<iframe src=x>", ""), ("<title>", ""), ("<video src=x>", ""),
+    ("<svg><svg>no</svg>no</svg>", ""), ("<BUTTON title='a>b'>no</button>", ""), ("<select><option>no</select>", ""), ("<title>no <!-- no</title>", ""),
+    ("<textarea>no <b \"</textarea>", ""), ("<svg><title>no</title><path d=x /></svg>", ""), ("<button onclick=\"a('\">no</button>", "")])
+def test_only_closed_elements_take_text_along(between, shown):
+    for end in ("", "<svg>no</svg><button>no</button><object>no</object><iframe></iframe><title>no</title><video>no</video>"):
+        assert html_text.main_text(f"<p>one</p>{between}<p>two</p>{end}") == f"one{shown}\ntwo"
+
+
 def test_extract(spark):
     rows = [(i, f"u{i}", page, "t", 1) for i, (page, _) in enumerate(PAGES)] + [(None, None, "<p>" + "word " * 100_000, "t", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
