@@ -13,13 +13,14 @@ rate is its start folded over the steps so far. A rate becomes copies by a draw
 document's own hash.
 
 Tokens are words here. Defined cases: a null or empty text has no tokens, the prior as its
-posterior, and a rate like any other; a domain without tokens cannot be matched and is left
+posterior, and a rate like any other; a domain without tokens or without labelled documents cannot be matched and is left
 out; without labels all documents are of the first domain, and stay; rows that repeat a doc_id are
 documents of their own, with equal draws; an empty table gives no rows; other columns are
 ignored, or kept by `mix_documents`.
 """
 from __future__ import annotations
 
+import logging
 import re
 from operator import eq
 from typing import NamedTuple
@@ -34,7 +35,7 @@ from catmatch.llm.common import materialize
 from catmatch.llm.labelled import labelled_sample
 from catmatch.llm.words import WordHashes
 
-#: Domains and the weights wanted of them. The first one is kept whole.
+#: Domains and the weights wanted of them. The first one is wanted whole.
 TARGETS = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
 SAMPLE = 20_000
 BUCKET_BITS = 18
@@ -42,10 +43,9 @@ BUCKET_BITS = 18
 TERMS, LEAST_DOCUMENTS = 128, 5
 DESCENT_ROUNDS, DESCENT_STEP, RIDGE = 400, 0.5, 0.5
 ROUNDS, TOLERANCE = 30, 1e-4
-#: Of a domain at most so many times its tokens are wanted.
-MOST_RATE = 1.0
-#: Documents whose rate is this near to one stay as they are.
-NEAR_ONE = 0.05
+#: A domain whose tokens stay this far (as a share of its target) from the target is reported.
+REPORTED = 0.01
+_LOG = logging.getLogger(__name__)
 
 
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, domains: int, sample: int = SAMPLE)
     for domain, n in rows.groupBy("domain").count().collect():
         documents[domain] = n
     documents = documents if documents.sum() else np.eye(domains)[0]
-    model = Model(np.log(np.maximum(documents, 1e-3) / documents.sum()), np.zeros((size, domains), np.float32))
+    model = Model(np.log(np.maximum(documents, 1e-30) / documents.sum()), np.zeros((size, domains), np.float32))
     if np.count_nonzero(documents) < 2:
         return model
     # At most domains x buckets counts of a bounded sample.
@@ -168,8 +168,8 @@ def _rate(history: list[list[float]]) -> Column:
 def fit_rates(judged: DataFrame, weights: list[float], rounds: int = ROUNDS) -> tuple[Column, list[float], list[float]]:
     """(rate as an expression of p, target totals, reached totals) over a materialised frame of n_tokens and p.
 
-    The first domain is wanted whole, the others at their weights against it, and none above
-    MOST_RATE times what there is of it.
+    The first domain is wanted whole, the others at their weights against it, be that more or less
+    than there is of them. What the rates cannot reach is logged.
     """
     k = len(weights)
     share = [F.get("p", F.lit(i)) for i in range(k)]
@@ -184,7 +184,7 @@ def fit_rates(judged: DataFrame, weights: list[float], rounds: int = ROUNDS) ->
     mass, gram = sums(F.lit(1.0))
     usable = mass > 1e-9 * mass.sum()
     wanted = np.array(weights) / weights[0] * mass[0]
-    targets = np.where(usable, np.minimum(MOST_RATE * mass, wanted), mass)
+    targets = np.where(usable, wanted, mass)
     history: list[list[float]] = []
     reached = mass
     for _ in range(rounds):
@@ -194,14 +194,15 @@ def fit_rates(judged: DataFrame, weights: list[float], rounds: int = ROUNDS) ->
         step = np.linalg.lstsq(gram + 1e-9 * np.diag(mass + 1.0), residual, rcond=None)[0]
         history.append(step.tolist())
         reached, gram = sums(_rate(history))
+    if (np.abs(reached - targets) > REPORTED * targets).any():
+        _LOG.warning("mixing: targets %s, reached %s", targets.tolist(), reached.tolist())
     return _rate(history), targets.tolist(), reached.tolist()
 
 
 def copies_of(rate: Column, *key: Column) -> Column:
-    """Whole copies: the rate, up or down by a draw from the key's hash; a rate within NEAR_ONE of one is one."""
+    """Whole copies: the rate, up or down by a draw from the key's hash, so that the mean of the copies is the rate."""
     draw = F.pmod(F.xxhash64(*key, F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
-    drawn = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
-    return F.when(F.abs(rate - 1) <= NEAR_ONE, 1).otherwise(drawn).cast("int")
+    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> DataFrame:

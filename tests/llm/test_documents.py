@@ -168,6 +168,22 @@ def test_mixing_matches_targets(spark, small):
     assert np.allclose(found[[f"p_{k}" for k in mixing.TARGETS]].sum(axis=1), 1)
 
 
+def test_mixing_raises_a_domain_to_its_weight(spark):
+    """From 90 % good and 10 % poor tokens to halves: rates above one become copies, and the rows returned have the fitted totals."""
+    rows = [(i, " ".join(f"{'poor' if i % 10 == 0 else 'good'}{(i + k) % 7}" for k in range(20))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(0, 4000, 3)], "doc_id long, quality int, toxic int")
+    targets = {"good": 0.50, "poor": 0.49, "toxic": 0.01}
+    found = mixing.mixture(docs, labels, targets).toPandas()
+    good = (found.n_tokens * found.p_good).sum()
+    for name in ("good", "poor"):
+        mass = found.n_tokens * found[f"p_{name}"]
+        assert math.isclose((mass * found.rate).sum(), good * targets[name] / 0.50, rel_tol=0.01)
+        assert math.isclose((mass * found.copies).sum(), good * targets[name] / 0.50, rel_tol=0.03)
+    mixed = Counter(r["doc_id"] for r in mixing.mix_documents(docs, labels, targets).collect())
+    assert mixed == Counter({i: n for i, n in zip(found.doc_id, found.copies) if n})
+
+
 def test_mixing_edges(spark, documents, edge_rows):
     labels = spark.createDataFrame([(4, 1, 0, 9), (9, 0, 0, 9), (7, None, 1, 9), (None, 1, 1, 9)], "doc_id long, quality int, toxic int, rank int")
     docs = documents(edge_rows + [(None, "x"), (4, "same id")])
@@ -189,6 +205,14 @@ def test_copies_follow_rates(spark):
     assert made.filter("c not in (1, 2)").count() == 0
 
 
+def test_copies_are_unbiased_near_one(spark):
+    from pyspark.sql import functions as F
+
+    for rate in (0.96, 1.04):
+        made = spark.range(20_000).withColumn("c", mixing.copies_of(F.lit(rate), F.col("id")))
+        assert abs(made.agg(F.avg("c")).first()[0] - rate) < 0.01
+
+
 def test_classifier(spark, documents, edge_rows):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     found = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels).collect()}
