@@ -96,3 +96,14 @@ reached(doc_id, other) AS (
 SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
 FROM sets LEFT JOIN (SELECT doc_id, min(other) AS low FROM reached GROUP BY doc_id) USING (doc_id)
 """
+
+ORACLES["op11_warc"] = """
+WITH payloads AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM payloads WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM payloads LEFT JOIN firsts USING (payload_digest)
+"""

@@ -1,12 +1,15 @@
 """The operators over their whole tables, as registered queries with the SQL that states their results."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catmatch.llm import chat, html_text, mixing, ngram_join, packing, quality_classifier, quality_rules, substring, topk_search, url_rules
-from catmatch.llm.common import table
+from catmatch.llm import (chat, html_text, mixing, ngram_join, packing, quality_classifier, quality_rules, substring, topk_search,
+                          url_rules, warc)
+from catmatch.llm.common import shared_folder, table
 from catmatch.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +75,13 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives are written at the call and read back by the frame it returns; they stay in the shared folder."""
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, key="page_id")
+    records = warc.read_archives(spark, folder, payloads=False).filter("gap is null")
+    return records.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to").cast("long").alias("refers_to"))
