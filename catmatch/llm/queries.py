@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catmatch.llm import (chat, html_text, mixing, ngram_join, packing, quality_classifier, quality_rules, substring, topk_search,
-                          url_rules, warc)
+from catmatch.llm import (chat, html_text, mixing, ngram_join, packing, quality_classifier, quality_rules, spelling, substring,
+                          topk_search, url_rules, warc)
 from catmatch.llm.common import shared_folder, table
 from catmatch.llm.oracles import ORACLES  # noqa: F401
 
@@ -85,3 +85,8 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archives(spark, folder, payloads=False).filter("gap is null")
     return records.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                           F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), slip_every=97)
