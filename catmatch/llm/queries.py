@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catmatch.llm import (chat, html_text, mixing, ngram_join, packing, quality_classifier, quality_rules, spelling, substring,
-                          topk_search, url_rules, warc)
+from catmatch.llm import (chat, html_text, mixing, ngram_join, packing, quality_classifier, quality_rules, resampling, spelling,
+                          substring, topk_search, url_rules, warc)
 from catmatch.llm.common import shared_folder, table
 from catmatch.llm.oracles import ORACLES  # noqa: F401
 
@@ -90,3 +90,9 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"), slip_every=97)
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.importance_draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
