@@ -4,18 +4,22 @@ A classifier learnt from the labels table gives every document a posterior over
 projected-gradient least-squares fit then finds nonnegative rates, one a document, whose
 expected token totals by domain match the targets:
 
-    min  sum_k (sum_d tokens_d p_dk rate_d - target_k)^2,  rate_d >= 0,  from rate_d = 1
-
-A step moves all rates along the gradient, scaled by the Gram matrix of the posteriors of
-documents still above zero, and then up to zero where it went below. The driver only ever holds
-that matrix of domains: a round sums it and the residual over all documents, and a document's
-rate is its start folded over the steps so far. A rate becomes copies by a draw from the
-document's own hash.
+    min  sum_k (sum_d tokens_d p_dk rate_d - target_k)^2 / T + ridge sum_d tokens_d (rate_d - 1)^2,
+    0 <= rate_d <= most_rate        (T: all tokens)
+
+The ridge makes the best rates unique and keeps a document near one where the posteriors hardly tell
+domains apart; the caller's most_rate bounds how often a scarce domain may be repeated. The gradient
+moves a rate by its posteriors' share of one slope vector: rate_d = 1 - p_d . slope, projected on the
+bounds. A round sums totals and the Gram matrix of posteriors of documents inside the bounds over all documents,
+scales the gradient step of the slope by it, and halves the step until the objective comes down enough, so
+that rounds never make things worse. The driver only ever holds vectors and matrices of domains. A rate
+becomes copies by a draw from the hash of the document's id and text. What the bounds leave unmatched
+is in the results of `mixture`, and logged.
 
 Tokens are words here. Defined cases: a null or empty text has no tokens, the prior as its
 posterior, and a rate like any other; a domain without tokens or without labelled documents cannot be matched and is left
 out; without labels all documents are of the first domain, and stay; rows that repeat a doc_id are
-documents of their own, with equal draws; an empty table gives no rows; other columns are
+documents of their own, with equal draws where their texts are equal; an empty table gives no rows; other columns are
 ignored, or kept by `mix_documents`.
 """
 from __future__ import annotations
@@ -42,7 +46,9 @@ BUCKET_BITS = 18
 #: Terms per domain, the labelled documents a term must be in, and the descent of the regression on them.
 TERMS, LEAST_DOCUMENTS = 128, 5
 DESCENT_ROUNDS, DESCENT_STEP, RIDGE = 400, 0.5, 0.5
-ROUNDS, TOLERANCE = 30, 1e-4
+#: How often a document may be repeated, the pull of its rate towards one, and when the descent ends.
+MOST_RATE, RIDGE_TO_ONE = 10.0, 2e-5
+ROUNDS, TOLERANCE, LEAST_STEP = 50, 1e-9, 1e-6
 #: A domain whose tokens stay this far (as a share of its target) from the target is reported.
 REPORTED = 0.01
 _LOG = logging.getLogger(__name__)
@@ -96,7 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, domains: int, sample: int = SAMPLE)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)],
                                              names=["doc_id", "buckets", "domain"])
 
-    rows = materialize(chosen.mapInArrow(held, "doc_id long, buckets array<int>, domain int"))
+    # At most `sample` rows: a labelled id that rows repeat is one document, the one with the smallest buckets.
+    rows = materialize(chosen.mapInArrow(held, "doc_id long, buckets array<int>, domain int")
+                       .groupBy("doc_id").agg(F.min("buckets").alias("buckets"), F.min("domain").alias("domain")))
     size = 1 << BUCKET_BITS
     documents = np.zeros(domains)
     for domain, n in rows.groupBy("domain").count().collect():
@@ -108,19 +116,20 @@ def fit(docs: DataFrame, labels: DataFrame, domains: int, sample: int = SAMPLE)
     # At most domains x buckets counts of a bounded sample.
     counted = (rows.select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket")
                .agg(*[F.sum((F.col("domain") == k).cast("long")).alias(f"n{k}") for k in range(domains)])
-               .filter(" + ".join(f"n{k}" for k in range(domains)) + f" >= {LEAST_DOCUMENTS}").orderBy("bucket").collect())
-    terms = np.array([r[0] for r in counted], np.int64)
-    counts = np.array([r[1:] for r in counted], float).reshape(-1, domains)
+               .filter(" + ".join(f"n{k}" for k in range(domains)) + f" >= {LEAST_DOCUMENTS}").toArrow())
+    terms = counted.column(0).to_numpy().astype(np.int64)
+    order = np.argsort(terms)
+    terms, counts = terms[order], np.stack([counted.column(1 + k).to_numpy() for k in range(domains)], 1)[order].astype(float)
     expected = counts.sum(1, keepdims=True) * documents / documents.sum()
     surprise = (counts - expected) ** 2 / np.maximum(expected, 1e-9) / documents.sum()
     best = np.unique(np.concatenate([np.argsort(-surprise[:, k], kind="stable")[:TERMS] for k in range(domains)]))
     terms = terms[best]
-    known = (rows.select("doc_id", "domain", F.array_intersect("buckets", F.lit(terms.tolist()).cast("array<int>")).alias("buckets"))
-             .orderBy("doc_id").collect())
+    known = rows.select("doc_id", "domain", F.array_intersect("buckets", F.lit(terms.tolist()).cast("array<int>")).alias("buckets")).toArrow()
+    known = known.sort_by("doc_id").combine_chunks()
+    held_terms = known.column("buckets").combine_chunks()
     x = np.zeros((len(known), len(terms)), np.float32)
-    for row, r in zip(x, known):
-        row[np.searchsorted(terms, np.array(r[2], np.int64))] = 1
-    y = np.eye(domains, dtype=np.float32)[[r[1] for r in known]]
+    x[np.repeat(np.arange(len(known)), held_terms.value_lengths().to_numpy()), np.searchsorted(terms, held_terms.flatten().to_numpy())] = 1
+    y = np.eye(domains, dtype=np.float32)[known.column("domain").to_numpy()]
     weights, bias = np.zeros((len(terms), domains), np.float32), model.prior.astype(np.float32)
     pull_w, pull_b = np.zeros_like(weights), np.zeros_like(bias)  # momentum
     for _ in range(DESCENT_ROUNDS):
@@ -138,7 +147,7 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
 
 
 def posteriors(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, p: an array of a probability per domain, for every row of docs."""
+    """doc_id, n_tokens, p (a probability per domain) and draw (a hash of id and text, from 0 to 1) for every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
@@ -148,79 +157,115 @@ def posteriors(docs: DataFrame, model: Model) -> DataFrame:
             found = [_buckets(t, hashes) for t in batch.column(1).to_pylist()]
             scores = np.array([m.prior + m.lift[b].sum(0) for b, _ in found]).reshape(-1, len(m.prior))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for _, n in found], pa.int64()), pa.array(list(_softmax(scores)), pa.list_(pa.float64()))],
-                names=["doc_id", "n_tokens", "p"])
+                [batch.column(0), pa.array([n for _, n in found], pa.int64()), pa.array(list(_softmax(scores)), pa.list_(pa.float64())), batch.column(2)],
+                names=["doc_id", "n_tokens", "p", "draw"])
+
+    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), draw_of(F.col("doc_id").cast("long"), F.col("text")).alias("draw"))
+            .mapInArrow(judge, "doc_id long, n_tokens long, p array<double>, draw double"))
+
 
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-            .mapInArrow(judge, "doc_id long, n_tokens long, p array<double>"))
+def draw_of(*key: Column) -> Column:
+    return F.pmod(F.xxhash64(*key, F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
 
 
-def _rate(history: list[list[float]]) -> Column:
-    """The rate after the steps so far: each moves it by its posterior's share, and never below nothing."""
-    if not history:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in history])
-    slope = lambda step: F.aggregate(F.zip_with("p", step, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, step: F.greatest(
-        F.lit(0.0), r - slope(step)))
+def _rate(slope: list[float], most_rate: float) -> Column:
+    """The rate of a document: from one down its share of the slope, put back between nothing and the most."""
+    down = [F.get("p", F.lit(i)) * F.lit(float(x)) for i, x in enumerate(slope)]
+    return F.greatest(F.lit(0.0), F.least(F.lit(float(most_rate)), F.lit(1.0) - sum(down[1:], down[0])))
 
 
-def fit_rates(judged: DataFrame, weights: list[float], rounds: int = ROUNDS) -> tuple[Column, list[float], list[float]]:
-    """(rate as an expression of p, target totals, reached totals) over a materialised frame of n_tokens and p.
+class Fit(NamedTuple):
+    """Rates as an expression of p, and the totals by domain that were wanted and reached."""
+    rate: Column
+    targets: list[float]
+    reached: list[float]
+
+
+def fit_rates(judged: DataFrame, weights: list[float], most_rate: float = MOST_RATE, ridge: float = RIDGE_TO_ONE, rounds: int = ROUNDS) -> Fit:
+    """The rates of a materialised frame of n_tokens and p.
 
     The first domain is wanted whole, the others at their weights against it, be that more or less
-    than there is of them. What the rates cannot reach is logged.
+    than there is of them, up to `most_rate` times as much. Steps are halved until they come down; where none does, or after all rounds, the
+    best so far stands.
     """
     k = len(weights)
     share = [F.get("p", F.lit(i)) for i in range(k)]
-
-    def sums(rate: Column) -> tuple[np.ndarray, np.ndarray]:
-        above = F.when(rate > 0, F.col("n_tokens")).otherwise(0)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, the Gram matrix of posteriors whose rates can move, and what the rates cost."""
+        rate = _rate(slope.tolist(), most_rate)
+        down = [p * F.lit(float(x)) for p, x in zip(share, slope)]
+        down = sum(down[1:], down[0])
+        inside = (down <= 1) & (down >= 1 - most_rate)
+        last = F.greatest(F.lit(1 - most_rate), F.least(F.lit(1.0), down))
+        cost = last * last / 2 - last - rate * (down - last)
         row = judged.agg(*[F.sum(F.col("n_tokens") * p * rate) for p in share],
-                         *[F.sum(above * p * q) for p in share for q in share]).first()
-        values = np.array([x or 0.0 for x in row])
-        return values[:k], values[k:].reshape(k, k)
-
-    mass, gram = sums(F.lit(1.0))
-    usable = mass > 1e-9 * mass.sum()
-    wanted = np.array(weights) / weights[0] * mass[0]
-    targets = np.where(usable, wanted, mass)
-    history: list[list[float]] = []
-    reached = mass
+                         *[F.sum(F.when(inside, F.col("n_tokens") * share[i] * share[j]).otherwise(0.0)) for i, j in pairs],
+                         F.sum(F.col("n_tokens") * cost)).first()
+        values = np.array([x or 0.0 for x in row], float)
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(pairs, values[k:-1]):
+            gram[i, j] = gram[j, i] = x
+        return values[:k], gram, values[-1]
+
+    slope = np.zeros(k)
+    reached, gram, cost = sums(slope)
+    mass, total = reached, reached.sum()
+    usable = mass > 1e-9 * total
+    wanted = np.where(usable, np.array(weights) / weights[0] * mass[0], mass)
+    targets = np.minimum(wanted, most_rate * mass)  # to ask for more than rates can give would only distort the others
+    stiff = ridge * total
+    height = lambda slope, cost: stiff * slope @ slope / 2 + targets @ slope + cost
     for _ in range(rounds):
-        residual = np.where(usable, reached - targets, 0.0)
-        if not usable.any() or (np.abs(residual)[usable] / mass[usable]).max() < TOLERANCE:
+        wrong = np.where(usable, stiff * slope - reached + targets, 0.0)
+        if np.abs(wrong).max(initial=0) <= TOLERANCE * total:
             break
-        step = np.linalg.lstsq(gram + 1e-9 * np.diag(mass + 1.0), residual, rcond=None)[0]
-        history.append(step.tolist())
-        reached, gram = sums(_rate(history))
-    if (np.abs(reached - targets) > REPORTED * targets).any():
-        _LOG.warning("mixing: targets %s, reached %s", targets.tolist(), reached.tolist())
-    return _rate(history), targets.tolist(), reached.tolist()
+        step = np.zeros(k)
+        step[usable] = np.linalg.solve((gram + stiff * np.eye(k))[np.ix_(usable, usable)], wrong[usable])
+        size = 1.0
+        while size > LEAST_STEP:
+            there = slope - size * step
+            found = sums(there)
+            if height(there, found[2]) <= height(slope, cost) - 1e-4 * size * (wrong @ step):
+                break
+            size /= 2
+        else:
+            break
+        slope, (reached, gram, cost) = there, found
+    if (np.abs(reached - wanted) > REPORTED * wanted).any():
+        _LOG.warning("mixing: targets %s, reached %s", wanted.tolist(), reached.tolist())
+    return Fit(_rate(slope.tolist(), most_rate), wanted.tolist(), reached.tolist())
 
 
-def copies_of(rate: Column, *key: Column) -> Column:
-    """Whole copies: the rate, up or down by a draw from the key's hash, so that the mean of the copies is the rate."""
-    draw = F.pmod(F.xxhash64(*key, F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
+def copies_by(rate: Column, draw: Column) -> Column:
+    """Whole copies: the rate, up or down by a draw, so that the mean of the copies is the rate."""
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")
 
 
-def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_tokens, a posterior per domain, rate and copies for every row of docs."""
+def copies_of(rate: Column, *key: Column) -> Column:
+    """Whole copies by a draw from the key's hash."""
+    return copies_by(rate, draw_of(*key))
+
+
+def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, most_rate: float = MOST_RATE) -> DataFrame:
+    """doc_id, n_tokens, a posterior per domain, rate and copies for every row of docs, and how far each domain's total is off, as a share of its target."""
     model = fit(docs, labels, len(targets), sample)
     judged = materialize(posteriors(docs, model))
-    rate, _, _ = fit_rates(judged, list(targets.values()))
+    found = fit_rates(judged, list(targets.values()), most_rate)
+    off = [reached / wanted - 1 if wanted else 0.0 for wanted, reached in zip(found.targets, found.reached)]
     return judged.select("doc_id", "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{name}") for i, name in enumerate(targets)],
-                         rate.alias("rate"), copies_of(rate, F.col("doc_id")).alias("copies"))
+                         found.rate.alias("rate"), copies_by(found.rate, F.col("draw")).alias("copies"),
+                         *[F.lit(float(x)).alias(f"off_{name}") for name, x in zip(targets, off)])
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, most_rate: float = MOST_RATE) -> DataFrame:
     """The rows of docs as often as their copies say, unchanged.
 
     Posteriors are made twice, for the fit and for the rows, so that no text is shuffled.
     """
     model = fit(docs, labels, len(targets), sample)
-    rate, _, _ = fit_rates(materialize(posteriors(docs, model)), list(targets.values()))
+    rate = fit_rates(materialize(posteriors(docs, model)), list(targets.values()), most_rate).rate
     sent = docs.sparkSession.sparkContext.broadcast(model)
     wrapped = docs.select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("text"))
 
@@ -233,5 +278,6 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_softmax(scores)), pa.list_(pa.float64()))], names=["row", "p"])
 
     out = T.StructType([wrapped.schema["row"], T.StructField("p", T.ArrayType(T.DoubleType()))])
-    kept = wrapped.mapInArrow(judge, out).withColumn("copies", copies_of(rate, F.col("row.doc_id"))).filter("copies > 0")
+    copies = copies_of(rate, F.col("row.doc_id").cast("long"), F.col("row.text"))
+    kept = wrapped.mapInArrow(judge, out).withColumn("copies", copies).filter("copies > 0")
     return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -51,16 +51,18 @@ def _features(texts: list[bytes | None]) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, among: Column | None = None) -> boosting.Forest:
     """Trees from at most `sample` labelled documents; `among` restricts the labels."""
-    chosen = labelled_sample(docs, labels, sample, among).select(F.col("text").cast("binary"), "quality")
+    chosen = labelled_sample(docs, labels, sample, among).select("doc_id", F.col("text").cast("binary"), "quality")
 
     def measure(batches):
         for batch in batches:
-            x = _features(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
-
-    rows = chosen.mapInArrow(measure, "x array<double>, y int").orderBy("y", "x").collect()
-    x = np.array([r[0] for r in rows]).reshape(-1, len(FEATURES))
-    return boosting.fit(x, np.array([r[1] for r in rows], np.float64))
+            x = _features(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2)], names=["doc_id", "x", "y"])
+
+    # At most `sample` rows: a labelled id that rows repeat is one document, the one with the smallest statistics.
+    rows = (chosen.mapInArrow(measure, "doc_id long, x array<double>, y int").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+            .orderBy("y", "x").select("x", "y").toArrow().combine_chunks())
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    return boosting.fit(x, rows.column("y").to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, forest: boosting.Forest) -> DataFrame:

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from catmatch.llm import mixing, ngram_join, packing, quality_rules, substring
 from catmatch.llm.common import shared_folder, table
 
+#: A scarce domain is repeated so often at most.
+MOST_REPEATS = 4.0
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
@@ -30,7 +33,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix_documents(docs, table(spark, sf_dir, "labels"), most_rate=MOST_REPEATS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
