@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -24,12 +25,15 @@ from pyspark.sql import functions as F
 _PLAIN = "noscript|iframe|title|textarea"
 _NESTED = "template|object|svg|math|canvas|audio|video|select|button"
 _END = r"(?=[\s/>])"  # so that svg-icon is no svg
+#: A tag ends before the next "<" outside of quotes, and no part of a pattern is tried twice, so that broken pages cost no more than whole ones.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style){_END}[^>]*>.*?(?:</\1\s*>|\Z)"
-    rf"|<({_PLAIN}){_END}[^>]*>(?:(?!<\2{_END}).)*?</\2\s*>|<[!?][^>]*(?:>|\Z)"
-    rf"|<({_NESTED}){_END}((?:[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
+    rf"<!--.*?(?:-->|\Z)|<(script|style){_END}[^<>]*+>.*?(?:</\1\s*+>|\Z)"
+    rf"|<({_PLAIN}){_END}[^<>]*+>(?:(?!<\2{_END}).)*?</\2\s*+>|<[!?][^>]*+(?:>|\Z)"
+    rf"|<({_NESTED}){_END}((?:[^<>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)>"
+    r"|<(/?)([a-z][a-z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+)>|<(/?)([a-z][a-z0-9:-]*+)([^<>]*+)>", re.S | re.I)
+_ATTRIBUTE = re.compile(r"(?<![a-z-])([a-z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))|\b(hidden)\b", re.I)
+#: Decimal references of more digits than any code point has: Python refuses to read very long numbers.
+_ZEROS, _LONG_NUMBER = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,}")
 _BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -107,6 +111,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked = link_depth = 0
     stack: list[tuple[str, int, int]] = []  # open block elements: tag, and aside and root around them
+    named: Counter[str] = Counter()  # how many of them have a name
     aside, root, roots = 0, 0, 0
     tag_now = ""
 
@@ -120,6 +125,8 @@ def blocks(page: str) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked
+        if "&#" in raw:
+            raw = _LONG_NUMBER.sub("&#9999999", _ZEROS.sub("&#", raw))
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
         if link_depth:
@@ -147,7 +154,8 @@ def blocks(page: str) -> list[Block]:
             link_depth = 0
             if not closing:
                 if stack and stack[-1][0] in _SELF_ENDING and (stack[-1][0] == tag or stack[-1][0] == "p"):
-                    _, aside, root = stack.pop()
+                    name, aside, root = stack.pop()
+                    named[name] -= 1
                 if tag == "p" or tag in _HEADINGS or tag in _VOID:
                     tag_now = tag
                     if not attributes or not _marked_aside(tag, attributes, root > 0):
@@ -155,6 +163,7 @@ def blocks(page: str) -> list[Block]:
                 if tag in _ROOTS:
                     roots += 1
                 stack.append((tag, aside, root))
+                named[tag] += 1
                 marked = _marked_aside(tag, attributes, root > 0)
                 if tag in _ROOTS:
                     root = root or roots
@@ -163,10 +172,10 @@ def blocks(page: str) -> list[Block]:
                 tag_now = tag
             else:
                 tag_now = ""
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == tag:
-                        _, aside, root = stack[depth]
-                        del stack[depth:]
+                while named[tag]:  # what was opened inside and not closed ends with it
+                    name, aside, root = stack.pop()
+                    named[name] -= 1
+                    if name == tag:
                         break
     if at < len(page):
         add(page[at:])

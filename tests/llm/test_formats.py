@@ -1,5 +1,6 @@
 """Chat formatting, URL filters and HTML extraction."""
 import hashlib
+import time
 
 import duckdb
 import pytest
@@ -103,3 +104,45 @@ def test_extract(spark):
     expected = {i: (text, len(text)) for i, (_, text) in enumerate(PAGES)}
     assert found == expected | {None: (("word " * 100_000).strip(), 499_999)}
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<div class="' * 90_000, "<svg " * 200_000, "<div><p>" * 60_000 + "</section>" * 60_000,
+                                  "<" + "a" * 1_000_000, "<div " + "a" * 1_000_000 + ">x", "<script " * 120_000, "<title>" * 150_000, "<" * 1_000_000,
+                                  "<div " + "a " * 500_000 + ">x", "<a b='" * 150_000 + '"' * 100_000, "<svg =\"" * 150_000, "&" * 1_000_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 10  # quadratic ones take minutes and more
+
+
+def test_numbers_of_any_length_are_read():
+    assert html_text.main_text("<p>a &#" + "9" * 10_000 + "; b &#" + "0" * 10_000 + "65; &#x" + "f" * 10_000 + ";</p>") == "a \ufffd b A \ufffd"
+
+
+def _plain_labels(found):
+    """The block rules block by block, with searches instead of running indexes."""
+    first = [html_text._alone(b) for b in found]
+    inside = [i for i, b in enumerate(found) if b.root]
+    if any(first[i] == html_text.GOOD or not found[i].aside for i in inside):
+        first = [x if b.root else html_text.BAD for b, x in zip(found, first)]
+    out = []
+    for i, (block, label) in enumerate(zip(found, first)):
+        if label == html_text.OPEN:
+            near = [(abs(i - j), -first[j], j) for j in range(len(found)) if first[j] != html_text.OPEN and not found[j].aside]
+            after = [j for _, _, j in near if j > i]
+            if block.root or not near:
+                label = html_text.GOOD
+            else:
+                label = first[min(after)] if block.heading and after else -min(near)[1]
+        out.append(label)
+    return out
+
+
+def test_labels_against_plain_rules(spark):
+    from catmatch.llm.common import table
+
+    pages = [r["html"] for r in table(spark, SMALL, "pages").collect()]
+    assert pages
+    for page in pages:
+        found = html_text.blocks(page or "")
+        assert html_text.labels(found) == _plain_labels(found)

@@ -71,7 +71,7 @@ def test_pipeline_runs_on_no_documents(spark, tmp_path):
 def test_all_queries_are_registered():
     import __spark_entry__ as entry
 
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
