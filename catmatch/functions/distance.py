@@ -1,13 +1,9 @@
 """Unrestricted Damerau-Levenshtein distance and its blocking keys."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType
 
 
 def damerau_distance(left: str, right: str) -> int:
@@ -65,7 +61,7 @@ def small_distance(left: Column, right: Column) -> Column:
 
 
 def deletions(word: str, budget: int) -> set[str]:
-    """All strings left after up to `budget` (0, 1 or 2) deletions."""
+    """All strings left after up to `budget` (0, 1 or 2) deletions: what with_deletion_keys makes in Spark."""
     keys = layer = {word}
     for _ in range(budget):
         layer = {w[:i] + w[i + 1:] for w in layer for i in range(len(w))}
@@ -74,21 +70,18 @@ def deletions(word: str, budget: int) -> set[str]:
 
 
 def with_deletion_keys(df: DataFrame, word: str, budget: str) -> DataFrame:
-    """One row per (row, key) for the deletion keys of a word column.
+    """Rows of df with a `key` for every string left of a word after up to `budget` (0, 1 or 2) deletions.
 
     Two words within distance d share at least one key for budget d on each
     side: every edit, a swap included, is undone by one deletion on each side.
-    The keys are made on Arrow batches: nested array functions are interpreted
-    per element in the JVM and measured some ten times slower.
+    The letters to leave out are rows of their own, so that the strings are cut in
+    generated code; a word with a letter doubled has some keys twice.
     """
-    def explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):  # bounds the exploded batch
-                part = batch.slice(start, 2000)
-                keys = [deletions(w, b) for w, b in zip(part.column(word).to_pylist(), part.column(budget).to_pylist())]
-                rows = np.repeat(np.arange(part.num_rows), [len(k) for k in keys])
-                flat = pa.array([key for row in keys for key in row], pa.string())
-                picked = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*picked.columns, flat], names=[*part.schema.names, "key"])
-
-    return df.mapInArrow(explode_keys, StructType([*df.schema.fields, StructField("key", StringType())]))
+    w, size = F.col(word), F.length(word)
+    one = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.when(F.col(budget) >= 1, size).otherwise(0))))
+    more = (F.col(budget) >= 2) & (F.col("_i") >= 1) & (F.col("_i") < size)
+    two = one.withColumn("_j", F.explode(F.sequence(F.col("_i"), F.when(more, size).otherwise(F.col("_i")))))
+    i, j = F.col("_i"), F.col("_j")
+    cut = F.concat(F.substring(w, F.lit(1), i - 1), F.when(j > i, F.substring(w, i + 1, j - i - 1)).otherwise(F.lit("")),
+                   F.substring(w, F.greatest(i, j) + 1, size))
+    return two.withColumn("key", F.when(i == 0, w).otherwise(cut)).drop("_i", "_j")

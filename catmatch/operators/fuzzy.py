@@ -52,10 +52,27 @@ def _segment_keys_of_word(word: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(sizes, pieces)))
 
 
-def close_terms(words: DataFrame, vocabulary: DataFrame, limit_of=edit_limit, per_word: int = 4) -> DataFrame:
+def term_keys(vocabulary: DataFrame) -> DataFrame:
+    """(key, term): by which words near a term find it. A term pairs with words of either budget, so it has the keys of two deletions."""
+    terms = vocabulary.select("term", F.length("term").alias("size"))
+    short = with_deletion_keys(terms.filter(F.col("size").between(3, LONG)).select("term", F.lit(2).alias("budget")), "term", "budget")
+    long = terms.filter(F.col("size") > LONG).select("term", F.explode(_segment_keys_of_term(F.col("term"))).alias("key"))
+    return short.select("key", "term").unionByName(long.select("key", "term")).distinct()
+
+
+def word_keys(words: DataFrame) -> DataFrame:
+    """(word, budget) → (key, word, budget)."""
+    size = F.length("word")
+    short = with_deletion_keys(words.filter(size <= LONG + 2), "word", "budget")
+    long = words.filter(size >= LONG - 1).withColumn("key", F.explode(_segment_keys_of_word(F.col("word"))))
+    return short.unionByName(long).select("key", "word", "budget")
+
+
+def close_terms(words: DataFrame, vocabulary: DataFrame, limit_of=edit_limit, per_word: int = 4, keys: DataFrame | None = None) -> DataFrame:
     """(word, term, distance): the nearest vocabulary terms within each word's edit limit.
 
-    `words` and `vocabulary` are distinct in their single column (word, term).
+    `words` and `vocabulary` are distinct in their single column (word, term); `keys` are the
+    vocabulary's term_keys, where an index holds them.
     At most `per_word` terms are kept per word, nearest first, then by term.
     """
     # Few bytes but much work per word: keep one task per slot whatever the size.
@@ -67,16 +84,7 @@ def close_terms(words: DataFrame, vocabulary: DataFrame, limit_of=edit_limit, pe
     # A word more than two letters longer than every term has no partner.
     longest = terms.agg(F.max("size")).scalar()
     inexact = rows.filter((F.col("budget") > 0) & (F.length("word") - 2 <= longest))
-    size = F.length("word")
-    short_words = with_deletion_keys(inexact.filter(size <= LONG + 2).select("word", "budget"), "word", "budget")
-    # A term pairs with words of either budget, so it carries the keys of two deletions.
-    short_terms = with_deletion_keys(terms.filter(F.col("size").between(3, LONG)).select(
-        "term", F.lit(2).alias("budget")), "term", "budget").drop("budget")
-    long_words = inexact.filter(size >= LONG - 1).select(
-        "word", "budget", F.explode(_segment_keys_of_word(F.col("word"))).alias("key"))
-    long_terms = terms.filter(F.col("size") > LONG).select(
-        "term", F.explode(_segment_keys_of_term(F.col("term"))).alias("key"))
-    pairs = short_words.join(short_terms, "key").unionByName(long_words.join(long_terms, "key"))
+    pairs = word_keys(inexact).join(term_keys(vocabulary) if keys is None else keys, "key")
     near = (F.abs(F.length("word") - F.length("term")) <= F.col("budget")) & (F.col("word") != F.col("term"))
     pairs = pairs.filter(near).select("word", "term", "budget").distinct()
     measured = pairs.withColumn("distance", small_distance(F.col("word"), F.col("term"))).filter(
@@ -94,10 +102,10 @@ def variants_of(words: DataFrame) -> DataFrame:
 
 
 def term_matches(words: DataFrame, vocabulary: DataFrame, joined: DataFrame | None = None,
-                 floor: float = 0.73, delta: float = 0.08, limit: int = 5) -> DataFrame:
+                 floor: float = 0.73, delta: float = 0.08, limit: int = 5, keys: DataFrame | None = None) -> DataFrame:
     """(raw, term, method, distance, similarity, match_strength) per distinct raw word."""
     readings = variants_of(words)
-    near = close_terms(readings.select("word").distinct(), vocabulary)
+    near = close_terms(readings.select("word").distinct(), vocabulary, keys=keys)
     longest = F.greatest(F.length("word"), F.length("term"))
     similarity = 1 - F.col("distance") / longest
     hits = readings.join(near, "word").withColumn("similarity", similarity).filter(

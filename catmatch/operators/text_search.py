@@ -1,10 +1,10 @@
 """Field-weighted fuzzy text retrieval of catalogue cards for label lines.
 
 The catalogue becomes three tables (term weights per card text, vocabulary,
-joined phrases); label words are matched once per distinct word; evidence meets
-the cards in one equi-join on the term and one aggregation by (query, card
-text). Cards with the same text are scored once and expanded at the end, so a
-group of copies costs one row.
+joined phrases); label words are matched once per distinct word; rare and heavy
+terms meet the card texts in an equi-join and give each query its bar, common
+terms only add to texts that can still reach it. Cards with the same text are
+scored once and expanded at the end, so a group of copies costs one row.
 """
 from __future__ import annotations
 
@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from catmatch import fixed_values as fv
 from catmatch.functions import text as tx
-from catmatch.operators.fuzzy import close_terms, joined_phrases, producer_edit_limit, term_matches, variants_of
+from catmatch.operators.fuzzy import close_terms, joined_phrases, producer_edit_limit, term_keys, term_matches, variants_of
 from catmatch.operators.ranking import top_k
 from catmatch.sources.tables import keep
 
+#: Postings of a term that are taken or left as one.
+TIER_ROWS = 256
+#: Scores are rounded to so many places; sums of the same numbers in another order differ by less than _SLACK.
+PLACES, _SLACK = 5, 1e-9
+
 TEXTS = ["title", "winery", "grapes", "category", "region", "winery_alias", "slug_terms"]
 
 
@@ -29,6 +34,8 @@ class CatalogIndex:
     weights: DataFrame     # profile, term, field, weight, idf and row flags
     vocabulary: DataFrame  # term, df, idf, owners, is_grape
     joined: DataFrame      # joined, parts
+    keys: DataFrame        # key, term: by which near words find terms
+    tiers: DataFrame       # term, tier, and of its postings: how many, the largest weights, the first slug
 
 
 def with_text_fields(cards: DataFrame) -> DataFrame:
@@ -55,7 +62,18 @@ def idf(documents: Column, df: Column) -> Column:
     return F.least(F.lit(5.0), 1 + F.log((documents + 1) / (df + 1)))
 
 
-def build_index(cards: DataFrame) -> CatalogIndex:
+def _tiered(weights: DataFrame, profiles: DataFrame, tier_rows: int) -> DataFrame:
+    """Postings with a `tier`. Those of a term with more than `tier_rows` are parted by weight, in steps of an eighth of an
+    e-fold, and by the place of the card's slug: its chunks hold the first tier_rows, 4, 16, 64 times as many, and the rest."""
+    marks = [tier_rows * 4 ** k for k in range(4)]
+    first = profiles.select("first_slug").orderBy("first_slug").limit(marks[-1]).toArrow().column(0).to_pylist()
+    bounds = [first[m - 1] for m in marks if m <= len(first)]
+    step = F.floor(8 * F.log(F.greatest(F.col("weight") + 2 * F.col("identity_weight"), F.lit(1e-9)))).cast("int")
+    chunk = sum([(F.col("first_slug") > b).cast("int") for b in bounds], F.lit(0))
+    return weights.withColumn("tier", F.when(F.col("postings") > tier_rows, (step + 1000) * 8 + chunk).otherwise(0)).drop("postings")
+
+
+def build_index(cards: DataFrame, tier_rows: int = TIER_ROWS) -> CatalogIndex:
     texts = with_text_fields(cards)
     texts = keep(texts)
     key = F.sha2(F.to_json(F.struct(*TEXTS)), 256)
@@ -67,14 +85,14 @@ def build_index(cards: DataFrame) -> CatalogIndex:
     mean = texts.agg(F.avg(title_size)).scalar()
 
     token_sets = profiles.select(
-        "profile", "copies", *[F.array_distinct(tx.tokens(c)).alias(c) for c in TEXTS])
+        "profile", "copies", "first_slug", *[F.array_distinct(tx.tokens(c)).alias(c) for c in TEXTS])
     special = tx.literal_array(fv.COLOR_TERMS + fv.SWEETNESS_TERMS + fv.TECHNICAL_TERMS)
     winery = F.array_union("winery", "winery_alias")
     identity = F.filter(F.array_except(F.array_except("title", winery), special),
                         lambda t: ~t.rlike(r"^\p{N}+$") & (F.length(t) >= 3))
     sugars = F.array_intersect(F.array_union("title", "slug_terms"), tx.literal_array(fv.SWEETNESS_TERMS))
     facts = token_sets.select(
-        "profile", "copies", winery.alias("winery_terms"), F.col("winery").alias("winery_name_terms"), identity.alias("identity"),
+        "profile", "copies", "first_slug", winery.alias("winery_terms"), F.col("winery").alias("winery_name_terms"), identity.alias("identity"),
         F.col("category").alias("category_terms"), sugars.alias("sugars"), F.col("grapes").alias("grape_terms"),
         F.greatest(F.size("title"), F.lit(1)).alias("title_size"),
         F.size(identity).alias("n_identity"), (F.size("category") > 0).alias("has_category"),
@@ -85,7 +103,7 @@ def build_index(cards: DataFrame) -> CatalogIndex:
         "*", "f.field", "f.field_weight", F.explode("f.terms").alias("term")).drop("fields", "f")
     flags = placed.groupBy("profile", "term").agg(
         F.max_by("field", "field_weight").alias("field"), F.max("field_weight").alias("field_weight"),
-        *[F.max(c).alias(c) for c in ("copies", "title_size", "n_identity", "has_category", "has_sugar", "has_grapes")],
+        *[F.max(c).alias(c) for c in ("copies", "first_slug", "title_size", "n_identity", "has_category", "has_sugar", "has_grapes")],
         F.bool_or(F.array_contains("winery_terms", F.col("term"))).alias("in_winery"),
         F.bool_or(F.array_contains("winery_name_terms", F.col("term"))).alias("in_winery_name"),
         F.bool_or(F.array_contains("identity", F.col("term"))).alias("in_identity"),
@@ -93,7 +111,7 @@ def build_index(cards: DataFrame) -> CatalogIndex:
         F.bool_or(F.array_contains("sugars", F.col("term"))).alias("in_sugar"),
         F.bool_or(F.array_contains("grape_terms", F.col("term"))).alias("in_grapes"))
 
-    counts = flags.groupBy("term").agg(F.sum("copies").alias("df"))
+    counts = flags.groupBy("term").agg(F.sum("copies").alias("df"), F.count(F.lit(1)).alias("postings"))
     owners = profiles.select("winery", F.explode(F.array_union(
         tx.tokens("winery"), tx.tokens("winery_alias"))).alias("term")).distinct().groupBy(
         "term").agg(F.count(F.lit(1)).alias("owners"))
@@ -113,21 +131,29 @@ def build_index(cards: DataFrame) -> CatalogIndex:
     named = (F.col("field").isin("title", "winery", "grapes") & ~F.col("term").isin(
         fv.COLOR_TERMS + fv.SWEETNESS_TERMS + fv.TECHNICAL_TERMS) & (
         (F.length("term") >= 3) | ((F.length("term") == 2) & ~digits & (F.col("df") <= 5))))
-    weights = (flags.withColumn("_mean", mean).join(vocabulary.select("term", "idf", "df"), "term")
+    weights = (flags.withColumn("_mean", mean).join(vocabulary.select("term", "idf", "df", "postings"), "term")
                .withColumn("weight", F.col("idf") * damped * technical * minor)
                .withColumn("names_it", named).withColumn("distinct_word", (
                    (F.length("term") >= 4) & ~digits
-                   & ~F.col("term").isin(fv.COLOR_TERMS + fv.SWEETNESS_TERMS + fv.TECHNICAL_TERMS))).drop("_mean", "df", "copies", "title_size"))
-    return CatalogIndex(profiles, members, keep(weights), vocabulary,
-                        keep(joined_phrases(profiles, ["title", "winery", "grapes"], vocabulary)))
+                   & ~F.col("term").isin(fv.COLOR_TERMS + fv.SWEETNESS_TERMS + fv.TECHNICAL_TERMS))).drop("_mean", "df", "copies", "title_size")
+               .withColumn("identity_weight", F.when(F.col("in_identity"), 1 / F.greatest("n_identity", F.lit(1))).otherwise(0.0)))
+    weights = keep(_tiered(weights, profiles, tier_rows))
+    tiers = keep(weights.groupBy("term", "tier").agg(
+        F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"), F.max("identity_weight").alias("identity_weight"),
+        F.min("first_slug").alias("first_slug")))
+    return CatalogIndex(profiles, members, weights, vocabulary,
+                        keep(joined_phrases(profiles, ["title", "winery", "grapes"], vocabulary)),
+                        keep(term_keys(vocabulary.select("term"))), tiers)
+
+
+def _usable(lines: DataFrame, floor: float) -> DataFrame:
+    confidence = F.greatest(F.least(F.coalesce("confidence", F.lit(1.0)), F.lit(1.0)), F.lit(0.0))
+    return lines.withColumn("confidence", confidence).filter(F.coalesce("on_target", F.lit(True)) & (F.col("confidence") >= floor))
 
 
 def label_words(lines: DataFrame, floor: float = 0.2) -> DataFrame:
     """(query_id, raw, confidence): distinct words per query with their best confidence."""
-    confidence = F.greatest(F.least(F.coalesce("confidence", F.lit(1.0)), F.lit(1.0)), F.lit(0.0))
-    usable = lines.filter(F.coalesce("on_target", F.lit(True)) & (confidence >= floor))
-    words = usable.select("query_id", confidence.alias("confidence"),
-                          F.explode(F.array_distinct(tx.raw_words(F.col("text")))).alias("raw"))
+    words = _usable(lines, floor).select("query_id", "confidence", F.explode(F.array_distinct(tx.raw_words(F.col("text")))).alias("raw"))
     return words.groupBy("query_id", "raw").agg(F.max("confidence").alias("confidence"))
 
 
@@ -140,30 +166,71 @@ def best_evidence(words: DataFrame, matches: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "term").agg(best.alias("m")).select("query_id", "term", "m.*")
 
 
-def query_evidence(lines: DataFrame, index: CatalogIndex) -> DataFrame:
+@dataclass
+class Reading:
+    """What label lines say in the words of a catalogue."""
+    words: DataFrame     # query_id, raw, confidence
+    matches: DataFrame   # raw, term and how well it fits
+    evidence: DataFrame  # query_id, term and the strongest reading of it
+
+
+def read_lines(lines: DataFrame, index: CatalogIndex) -> Reading:
     words = keep(label_words(lines))  # read for the distinct words and again for their evidence
-    matches = term_matches(words.select(F.col("raw").alias("word")).distinct(),
-                           index.vocabulary.select("term"), index.joined)
-    return keep(best_evidence(words, matches))  # read by scores, query totals and evidence lists
+    matches = keep(term_matches(words.select(F.col("raw").alias("word")).distinct(),
+                                index.vocabulary.select("term"), index.joined, keys=index.keys))
+    return Reading(words, matches, keep(best_evidence(words, matches)))
 
 
-def score_profiles(evidence: DataFrame, index: CatalogIndex) -> DataFrame:
-    """(query_id, profile, score, coverages, conflicts): every card text sharing a term."""
+def query_evidence(lines: DataFrame, index: CatalogIndex) -> DataFrame:
+    return read_lines(lines, index).evidence  # read by scores, query totals and evidence lists
+
+
+def text_report(lines: DataFrame, reading: Reading, found: DataFrame) -> DataFrame:
+    """Per query with lines: status (no_text_candidates where no card shares a term), the known terms and the words without any."""
+    top = found.filter("rank = 1").select("query_id", "status")
+    known = reading.evidence.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("known_terms"))
+    readable = variants_of(reading.words.select(F.col("raw").alias("word")).distinct()).select("raw").distinct()
+    strange = readable.join(reading.matches.select("raw"), "raw", "left_anti")
+    unmatched = reading.words.join(strange, "raw").groupBy("query_id").agg(F.array_sort(F.collect_set("raw")).alias("unmatched_words"))
+    none = F.array().cast("array<string>")
+    return (lines.groupBy("query_id").agg(F.count(F.lit(1)).alias("observations"))
+            .join(top, "query_id", "left").join(known, "query_id", "left").join(unmatched, "query_id", "left")
+            .select("query_id", F.coalesce("status", F.lit("no_text_candidates")).alias("status"), "observations",
+                    F.coalesce("known_terms", none).alias("known_terms"), F.coalesce("unmatched_words", none).alias("unmatched_words")))
+
+
+def supporting_lines(lines: DataFrame, reading: Reading, asked: DataFrame, floor: float = 0.2) -> DataFrame:
+    """(query_id, term, sources): the numbers of the lines with a word that reads as an asked term."""
+    words = _usable(lines, floor).select("query_id", "line_no", F.explode(F.array_distinct(tx.raw_words(F.col("text")))).alias("raw"))
+    return (words.join(reading.matches.select("raw", "term"), "raw").join(asked, ["query_id", "term"], "left_semi")
+            .groupBy("query_id", "term").agg(F.array_sort(F.collect_set("line_no")).alias("sources")))
+
+
+def marked_terms(evidence: DataFrame, index: CatalogIndex) -> DataFrame:
+    """The known terms of queries, with what they say about producer, colour, sugar and grapes."""
     facts = evidence.join(index.vocabulary, "term")
     s, known = F.col("strength"), fv.SHORT_IDENTIFIERS
     read = F.col("distance") == 0
-    marked = facts.select(
+    return facts.select(
         "query_id", "term", "strength", (F.col("idf") * s).alias("mass"),
         ((F.col("owners").between(1, 2)) & (s >= 0.83) & ((F.length("term") >= 4) | F.col("term").isin(known))).alias("is_producer"),
         (F.col("term").isin(fv.COLOR_TERMS) & read & (F.col("confidence") >= 0.65)).alias("is_color"),
         (F.col("term").isin(fv.SWEETNESS_TERMS) & read & (F.col("confidence") >= 0.65)).alias("is_sugar"),
         (F.col("is_grape") & read & (F.col("confidence") >= 0.9) & (F.col("match_strength") >= 0.96)).alias("is_grape"))
-    queries = marked.groupBy("query_id").agg(
+
+
+def _query_totals(marked: DataFrame) -> DataFrame:
+    return marked.groupBy("query_id").agg(
         F.sum("mass").alias("total_mass"), F.max(F.when(F.col("is_producer"), F.col("mass") * 1.4)).alias("penalty"),
         F.count_if("is_color").alias("n_color"), F.count_if("is_sugar").alias("n_sugar"),
         F.count_if("is_grape").alias("n_grape"))
+
+
+def _scores(shared: DataFrame, queries: DataFrame) -> DataFrame:
+    """Scores from all terms that queries share with card texts, one row each."""
+    s = F.col("strength")
     reliable = F.col("field").isin("title", "grapes") & ~F.col("in_winery_name") & F.col("distinct_word")
-    pairs = marked.join(index.weights, "term").groupBy("query_id", "profile").agg(
+    pairs = shared.groupBy("query_id", "profile").agg(
         F.sum(F.col("weight") * s * s).alias("base"), F.sum("mass").alias("matched"),
         F.sum(F.when(F.col("in_identity"), s).otherwise(0.0)).alias("identity_sum"),
         F.count_if("names_it").alias("identity_terms"),
@@ -173,7 +240,7 @@ def score_profiles(evidence: DataFrame, index: CatalogIndex) -> DataFrame:
         F.bool_or(F.col("is_grape") & F.col("in_grapes")).alias("same_grape"),
         F.max(F.when(reliable, s)).alias("identity_best"),
         F.bool_or(F.col("field").isin("winery", "winery_alias") & (s >= 0.7)).alias("producer_seen"),
-        *[F.max(c).alias(c) for c in ("n_identity", "has_category", "has_sugar", "has_grapes")])
+        *[F.max(c).alias(c) for c in ("first_slug", "n_identity", "has_category", "has_sugar", "has_grapes")])
     rows = pairs.join(queries, "query_id")
     off_winery = F.col("penalty").isNotNull() & ~F.col("same_winery")
     off = {"category": (F.col("n_color") == 1) & F.col("has_category") & ~F.col("same_color"),
@@ -186,13 +253,70 @@ def score_profiles(evidence: DataFrame, index: CatalogIndex) -> DataFrame:
     conflicts = F.filter(F.array(F.when(off_winery, "winery"), *[F.when(f, n) for n, f in off.items()]),
                          lambda c: c.isNotNull())
     return rows.select(
-        "query_id", "profile", F.round(score, 5).alias("score"),
+        "query_id", "profile", "first_slug", F.round(score, PLACES).alias("score"),
         (F.col("matched") / F.greatest("total_mass", F.lit(1e-9))).alias("query_term_coverage"),
         identity.alias("title_identity_coverage"), conflicts.alias("conflicts"), "identity_terms",
         (F.coalesce("identity_best", F.lit(0.0)) * F.when(F.col("producer_seen"), 1.0).otherwise(0.35))
         .alias("reliability"))
 
 
+def score_profiles(evidence: DataFrame, index: CatalogIndex) -> DataFrame:
+    """(query_id, profile, score, coverages, conflicts): every card text sharing a term."""
+    marked = marked_terms(evidence, index)
+    return _scores(marked.join(index.weights, "term"), _query_totals(marked)).drop("first_slug")
+
+
+def best_profiles(evidence: DataFrame, index: CatalogIndex, limit: int) -> DataFrame:
+    """The rows of score_profiles that can be among the best `limit` of their query by score and first slug.
+
+    A term gives a card text at most its bound: the largest weights of the text's tier of postings;
+    conflicts only take away. The tiers of the largest bounds give a query its bar, the score of its
+    limit-th best card text so far. Tiers are then added up from the smallest bounds: as long as their sum, with one
+    tier a term, stays below the bar, a card text in these alone cannot get there, so their postings are not read.
+    What the other tiers touch is scored whole if it can reach the bar with all that was left out.
+    """
+    marked = keep(marked_terms(evidence, index))
+    queries = _query_totals(marked)
+    s = F.col("strength")
+    bound = lambda t: t("weight") * s * s + 2 * s * t("identity_weight")
+    tier = index.tiers.select("term", "tier", "n", "weight", "identity_weight", F.col("first_slug").alias("tier_slug"))
+    plan = keep(marked.select("query_id", "term", "strength").join(tier, "term").select(
+        "query_id", "term", "tier", "n", "strength", "tier_slug", bound(F.col).alias("bound")))
+    postings = index.weights.select("term", "tier", "profile", "first_slug", "weight", "identity_weight")
+    touch = lambda some: some.join(postings, ["term", "tier"]).groupBy("query_id", "profile").agg(
+        F.sum(bound(F.col)).alias("seen"), F.max("first_slug").alias("first_slug"))
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        shared = pairs.select("query_id", "profile").join(index.weights, "profile").join(marked, ["query_id", "term"])
+        return _scores(shared, queries)
+
+    best_first = W.partitionBy("query_id").orderBy(F.col("bound").desc(), F.col("tier_slug"), F.col("term"))
+    before = F.sum("n").over(best_first) - F.col("n")
+    probes = touch(plan.withColumn("_before", before).filter(F.col("_before") < 4 * limit))
+    probes = top_k(probes, ["query_id"], [F.col("seen").desc(), F.col("first_slug")], 2 * limit, "_n")
+    order = [F.col("score").desc(), F.col("first_slug")]
+    bars = top_k(whole(probes), ["query_id"], order, limit, "_n").filter(F.col("_n") == limit).select(
+        "query_id", F.col("score").alias("bar"), F.col("first_slug").alias("bar_slug"))
+
+    own = W.partitionBy("query_id", "term").orderBy("bound", F.col("tier_slug").desc())
+    least_first = W.partitionBy("query_id").orderBy("bound", F.col("tier_slug").desc(), "term")
+    fine = F.floor(F.col("bound") / _SLACK)
+    close = W.partitionBy("query_id", "term").orderBy(fine).rangeBetween(-int(2 * 10.0 ** -PLACES / _SLACK), -1)
+    steps = (plan.join(bars, "query_id", "left")
+             .withColumn("_more", F.col("bound") - F.coalesce(F.lag("bound").over(own), F.lit(0.0)))
+             .withColumn("_sum", F.sum("_more").over(least_first)).withColumn("_close", F.count(F.lit(1)).over(close)))
+    reach = F.round(F.col("_sum") + _SLACK, PLACES)
+    # Who just reaches the bar is in the last tier added, or in one of the same bound before it: later by slug.
+    tied = (reach == F.col("bar")) & (F.col("_close") == 0) & (F.col("tier_slug") > F.col("bar_slug"))
+    steps = keep(steps.withColumn("left_out", F.coalesce((reach < F.col("bar")) | tied, F.lit(False))))
+    rest = steps.groupBy("query_id").agg(F.max(F.when(F.col("left_out"), F.col("_sum"))).alias("rest"), F.first("bar").alias("bar"))
+    touched = touch(steps.filter("not left_out")).join(rest, "query_id")
+    most = F.round(F.col("seen") + F.coalesce("rest", F.lit(0.0)) + _SLACK, PLACES)
+    able = touched.filter(F.col("bar").isNull() | (most >= F.col("bar")))
+    # The best so far are among them, or lie below the bar with the tiers that were left out.
+    return whole(able.select("query_id", "profile").unionByName(probes.select("query_id", "profile")).distinct()).drop("first_slug")
+
+
 def expand_members(scored: DataFrame, index: CatalogIndex, limit: int) -> DataFrame:
     """Best `limit` cards per query from scored card texts, by score and slug.
 
@@ -213,7 +337,7 @@ def text_search(lines: DataFrame, cards: DataFrame, limit: int = 10, index: Cata
         raise ValueError("limit must be positive")
     index = index or build_index(cards)
     evidence = evidence if evidence is not None else query_evidence(lines, index)
-    ranked = expand_members(score_profiles(evidence, index), index, max(limit, 2))
+    ranked = expand_members(best_profiles(evidence, index, max(limit, 2)), index, max(limit, 2))
     shortlist = W.partitionBy("query_id").orderBy("rank")  # at most max(limit, 2) rows
     whole = shortlist.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     first, second = F.first("score").over(whole), F.nth_value("score", 2).over(whole)
@@ -228,12 +352,14 @@ def text_search(lines: DataFrame, cards: DataFrame, limit: int = 10, index: Cata
                     "conflicts", "identity_terms", "relative_top_margin", "status"))
 
 
-def attach_evidence(candidates: DataFrame, evidence: DataFrame, index: CatalogIndex) -> DataFrame:
-    """One row per (candidate, shared term) of already cut shortlists."""
-    return (candidates.select("query_id", "slug", "profile").join(evidence, "query_id")
-            .join(index.weights.select("profile", "term", "field", "weight"), ["profile", "term"])
-            .withColumn("contribution", F.col("weight") * F.col("strength") * F.col("strength"))
-            .drop("profile", "weight"))
+def attach_evidence(candidates: DataFrame, lines: DataFrame, reading: Reading, index: CatalogIndex) -> DataFrame:
+    """One row per (candidate, shared term) of already cut shortlists, with its contribution and supporting lines."""
+    rows = keep(candidates.select("query_id", "slug", "profile")
+                .join(index.weights.select("profile", "term", "field", "weight"), "profile")
+                .join(reading.evidence, ["query_id", "term"]))
+    sources = supporting_lines(lines, reading, rows.select("query_id", "term").distinct())
+    return (rows.withColumn("contribution", F.col("weight") * F.col("strength") * F.col("strength"))
+            .join(sources, ["query_id", "term"], "left").drop("profile", "weight"))
 
 
 def missing_terms(candidates: DataFrame, evidence: DataFrame, index: CatalogIndex, n: int = 12) -> DataFrame:

@@ -305,7 +305,7 @@ MATCH_VIEWS = {
 def bench_matches(v):
     index = v.bench_index
     words = v.documents.select(F.explode(tx.raw_words(F.col("text"))).alias("word")).distinct()
-    return fz.term_matches(words, index.vocabulary.select("term"), index.joined)
+    return fz.term_matches(words, index.vocabulary.select("term"), index.joined, keys=index.keys)
 
 
 @query("fuzzy_term_join", "J5 W6", """
@@ -383,6 +383,41 @@ def text_search(v):
         *[F.round(c, 9).alias(c) for c in ("query_term_coverage", "title_identity_coverage", "relative_top_margin")])
 
 
+@query("text_report", "Q2", f"""
+    WITH told AS (SELECT query_id, status FROM (SELECT query_id, rank, CASE WHEN first > 0
+          AND CASE WHEN second IS NULL THEN 1.0 ELSE (first - second) / greatest(abs(first), 1) END >= 0.15
+          AND matched / total >= 0.55 AND identity_terms >= 2 AND {CONFLICTS} = '' THEN 'tentative_match' ELSE 'needs_review' END AS status FROM ranked) WHERE rank = 1),
+      said AS (SELECT query_id, array_to_string(list_sort(list(DISTINCT term)), ' ') AS said FROM ev GROUP BY query_id),
+      strange AS (SELECT query_id, array_to_string(list_sort(list(DISTINCT raw)), ' ') AS unmatched FROM words
+        WHERE raw IN (SELECT raw FROM variants) AND raw NOT IN (SELECT raw FROM matches) GROUP BY query_id)
+    SELECT query_id, count(*) AS observations, coalesce(any_value(status), 'no_text_candidates') AS status,
+      coalesce(any_value(said), '') AS known_terms, coalesce(any_value(unmatched), '') AS unmatched_words
+    FROM obs LEFT JOIN told USING (query_id) LEFT JOIN said USING (query_id) LEFT JOIN strange USING (query_id) GROUP BY query_id""", SCORE_VIEWS)
+def text_report(v):
+    index = v.bench_index
+    reading = ts.read_lines(v.obs, index)
+    found = ts.text_search(v.obs, v.bench_cards, 10, index, reading.evidence)
+    report = ts.text_report(v.obs, reading, found)
+    return report.select("query_id", "observations", "status", *[F.array_join(c, " ").alias(c) for c in ("known_terms", "unmatched_words")])
+
+
+@query("text_evidence", "Q2 A5", f"""
+    WITH best AS (SELECT query_id, slug FROM ranked WHERE rank <= 10),
+      sources AS (SELECT query_id, term, array_to_string(list_sort(list(DISTINCT line_no)), ',') AS sources FROM (SELECT query_id, line_no,
+        unnest({words_sql(folded('text'))}) AS raw FROM obs WHERE on_target AND confidence >= 0.2) JOIN matches USING (raw) GROUP BY query_id, term)
+    SELECT query_id, slug, m.term, field, distance, round(s, 6) AS strength, sources, round(idf * w * s * s
+        / CASE WHEN field = 'title' THEN 0.7 + 0.3 * damp ELSE 1 END * CASE WHEN m.term IN {sql_in(fv.TECHNICAL_TERMS)} THEN 0.35 ELSE 1 END
+        * CASE WHEN regexp_full_match(m.term, '[0-9]+') OR (length(m.term) = 2 AND m.term NOT IN {sql_in(fv.SHORT_IDENTIFIERS)}) THEN 0.2 ELSE 1 END, 6) AS contribution
+    FROM best JOIN marked m USING (query_id) JOIN doc_terms d USING (slug, term) JOIN card_facts USING (slug) JOIN sources USING (query_id, term)""", SCORE_VIEWS)
+def text_evidence(v):
+    index = v.bench_index
+    reading = ts.read_lines(v.obs, index)
+    found = ts.text_search(v.obs, v.bench_cards, 10, index, reading.evidence)
+    rows = ts.attach_evidence(found, v.obs, reading, index)
+    return rows.select("query_id", "slug", "term", "field", "distance", F.array_join("sources", ",").alias("sources"),
+                       *[F.round(c, 6).alias(c) for c in ("strength", "contribution")])
+
+
 @query("missing_terms", "O7", """
     SELECT query_id, slug, term FROM (SELECT r.query_id, r.slug, e.term, row_number() OVER (PARTITION BY r.query_id, r.slug
       ORDER BY idf * s DESC, e.term) AS n FROM (SELECT query_id, slug FROM ranked WHERE rank <= 10) r JOIN ev e USING (query_id) JOIN vocab USING (term)

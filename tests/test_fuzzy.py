@@ -4,7 +4,7 @@ import random
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from catmatch.functions.distance import damerau_distance, damerau_levenshtein, deletions, small_distance
+from catmatch.functions.distance import damerau_distance, damerau_levenshtein, deletions, small_distance, with_deletion_keys
 from catmatch.operators.fuzzy import close_terms, edit_limit, term_matches, variants_of
 
 
@@ -62,6 +62,27 @@ def test_close_terms_equals_brute_force(spark):
     assert {(r.word, r.term, r.distance) for r in found.collect()} == brute(words, terms)
 
 
+def test_keys_made_in_spark_are_all_deletions(spark):
+    rows = [(w, b) for w in ["", "a", "ab", "aab", "äöü", "abcdef", "mississippi"] for b in (0, 1, 2)]
+    found = with_deletion_keys(spark.createDataFrame(rows, "w string, b int"), "w", "b").distinct().collect()
+    assert {(r.w, r.b, r.key) for r in found} == {(w, b, k) for w, b in rows for k in deletions(w, b)}
+
+
+def test_words_of_all_lengths_meet_and_no_python_runs(spark, capsys):
+    made = random.Random(9)
+    terms = sorted({"".join(made.choice("abcde") for _ in range(n)) for n in range(2, 41) for _ in range(3)})
+    words = set(terms)
+    for t in terms:
+        i = made.randrange(len(t))
+        words |= {t[:i] + t[i + 1:], t[:i] + "x" + t[i:], t[:i] + t[i + 1:i + 2] + t[i:i + 1] + t[i + 2:], "y" + t + "z", t[1:-1], t[:i] + "xx" + t[i + 2:]}
+    words = sorted(w for w in words if w)
+    found = close_terms(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert {(r.word, r.term, r.distance) for r in found.collect()} == brute(words, terms)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Join" in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def test_edit_limit(spark):
     rows = spark.createDataFrame([("abc", 0), ("abcd", 1), ("abcde", 1), ("abcdef", 2), ("12345", 0)], "w string, n int")
     assert all(r.n == r.m for r in rows.withColumn("m", edit_limit(F.col("w"))).collect())
