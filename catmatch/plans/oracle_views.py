@@ -95,6 +95,12 @@ VIEWS = {
         (['body', 'label', 'flat', 'reference', 'augmented'])[vec_id % 5 + 1] AS family,
         CASE WHEN vec_id % 7 = 0 THEN ['b' || label, 'b' || (label + 10)] ELSE ['b' || label] END AS slugs,
         embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id % 10 <> 0""",
+    "document_views": """SELECT doc_id AS query_id, doc_id * 2 + k AS view_id, CASE WHEN k = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'label' ELSE 'flat' END
+        WHEN doc_id % 4 = 3 THEN 'reference' ELSE 'body' END AS family, embedding::DOUBLE[] AS vector
+        FROM documents CROSS JOIN (VALUES (0), (1)) x(k) JOIN embeddings ON vec_id = (doc_id * 2 + k) % (SELECT count(*) FROM embeddings)""",
+    "card_views": """SELECT p_partkey AS record_id, p_partkey * 2 + k AS view_id, CASE WHEN k = 1 THEN CASE WHEN p_partkey % 3 = 0 THEN 'flat' ELSE 'label' END
+        WHEN p_partkey % 5 = 0 THEN 'reference' ELSE 'body' END AS family, 'p' || p_partkey AS slug, embedding::DOUBLE[] AS vector
+        FROM part CROSS JOIN (VALUES (0), (1)) x(k) JOIN embeddings ON vec_id = (p_partkey * 3 + k * 7) % (SELECT count(*) FROM embeddings)""",
     "scored_pairs": """SELECT o_custkey AS query_id, 'p' || l_partkey AS slug, l_partkey AS p_partkey,
         max(l_extendedprice) / 100000 AS score, 1 - max(l_discount) * 5 AS visual_similarity,
         max(l_quantity) / 5 - 2 AS text_score, max(l_tax) * 12.5 AS match_score,

@@ -137,6 +137,30 @@ class Views(Tables):
             F.when(F.col("vec_id") % 7 == 0, shared).otherwise(F.array(own)).alias("slugs"),
             F.col("embedding").alias("vector"))
 
+    def _vector_of(self, rows: DataFrame, number: Column) -> DataFrame:
+        """Rows with the embedding of a number, modulo how many there are."""
+        vectors = self.embeddings.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vector"))
+        total = self.embeddings.agg(F.count(F.lit(1))).scalar()
+        return rows.withColumn("_id", number % total).join(vectors, "_id").drop("_id")
+
+    @property
+    def document_views(self) -> DataFrame:
+        """Two views of every document."""
+        key, k = F.col("query_id"), F.col("k")
+        rows = self.documents.select(F.col("doc_id").alias("query_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+        family = F.when(k == 1, F.when(key % 2 == 0, "label").otherwise("flat")).when(key % 4 == 3, "reference").otherwise("body")
+        return self._vector_of(rows.withColumn("view_id", key * 2 + k).withColumn("family", family), key * 2 + k).drop("k")
+
+    @property
+    def card_views(self) -> DataFrame:
+        """Two views of every card."""
+        key, k = F.col("p_partkey"), F.col("k")
+        rows = self.part.select("p_partkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+        family = F.when(k == 1, F.when(key % 3 == 0, "flat").otherwise("label")).when(key % 5 == 0, "reference").otherwise("body")
+        rows = rows.select(key.alias("record_id"), (key * 2 + k).alias("view_id"), family.alias("family"),
+                           F.array(F.concat(F.lit("p"), key)).alias("slugs"), (key * 3 + k * 7).alias("_number"))
+        return self._vector_of(rows, F.col("_number")).drop("_number")
+
     # ---------------------------------------------------------------- shortlists
     @property
     def scored_pairs(self) -> DataFrame:
