@@ -184,6 +184,57 @@ def test_mixing_raises_a_domain_to_its_weight(spark):
     assert mixed == Counter({i: n for i, n in zip(found.doc_id, found.copies) if n})
 
 
+def plain_rates(tokens, p, weights, most, ridge, rounds=20_000):
+    """The same objective by a plain projected gradient with momentum, over single documents."""
+    total, mass = tokens.sum(), tokens @ p
+    targets = np.minimum(np.array(weights) / weights[0] * mass[0], most * mass)
+    steep = np.linalg.eigvalsh((p * tokens[:, None]).T @ p / total)[-1] + ridge
+    rate = ahead = np.ones(len(tokens))
+    theta = 1.0
+    for _ in range(rounds):
+        slope = p @ (((tokens * ahead) @ p - targets) / total) + ridge * (ahead - 1)
+        new = np.clip(ahead - slope / steep, 0, most)
+        if (tokens * (ahead - new)) @ (new - rate) > 0:
+            theta = 1.0
+        after = (1 + math.sqrt(1 + 4 * theta * theta)) / 2
+        ahead, rate, theta = new + (theta - 1) / after * (new - rate), new, after
+    return rate, targets
+
+
+@pytest.mark.parametrize("share", [0.2, 0.01, 0.001, 0.0001])
+@pytest.mark.parametrize("clear", [True, False])
+def test_rates_of_scarce_domains_against_a_plain_solver(spark, share, clear):
+    rng = np.random.default_rng(int(share * 10_000) + clear)
+    n, weights = 3000, [0.97, 0.02, 0.01]
+    tokens = rng.integers(1, 2000, n).astype(float)
+    second = (np.arange(n) < max(1, share * n)) * 0.98 + 0.0001 if clear else rng.beta(0.5, 0.5 * (1 - share) / share, n) * 0.98
+    third = rng.random(n) * 0.002
+    p = np.stack([1 - second - third, second, third], 1)
+    rows = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p)], "n_tokens long, p array<double>").repartition(4).persist()
+    for most in (4.0, 10.0):
+        found = mixing.fit_rates(rows, weights, most)
+        rates = np.array([r[0] for r in rows.orderBy("n_tokens", "p").select(found.rate).collect()])
+        order = sorted(range(n), key=lambda i: (tokens[i], p[i].tolist()))
+        expected, targets = plain_rates(tokens, p, weights, most, mixing.RIDGE_TO_ONE)
+        assert np.abs(rates - expected[order]).max() < 1e-3 and rates.min() >= 0 and rates.max() <= most
+        cost = lambda r: (((tokens * r) @ p - targets) ** 2).sum() / tokens.sum() + mixing.RIDGE_TO_ONE * (tokens * (r - 1) ** 2).sum()  # noqa: B023,E731
+        mine = np.empty(n)
+        mine[order] = rates
+        assert cost(mine) <= min(cost(expected), cost(np.ones(n))) + 1e-6
+        assert math.isclose((tokens * mine) @ p[:, 0], tokens @ p[:, 0], rel_tol=0.01)  # the first domain stays whole
+    rows.unpersist()
+
+
+def test_a_labelled_id_of_a_third_of_the_rows_counts_once(spark, small):
+    labels = table(spark, SMALL, "labels")
+    rows = [tuple(r) for r in small.select("doc_id", "text").join(labels.select("doc_id"), "doc_id").distinct().collect()]
+    again = rows + [rows[0]] * len(rows)
+    make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    for fitted in (lambda r: mixing.fit(make(r), labels, 3), lambda r: quality_classifier.fit(make(r), labels)):
+        one, two = fitted(rows), fitted(again)
+        assert all(np.array_equal(a, b) for a, b in zip(one, two))
+
+
 def test_mixing_edges(spark, documents, edge_rows):
     labels = spark.createDataFrame([(4, 1, 0, 9), (9, 0, 0, 9), (7, None, 1, 9), (None, 1, 1, 9)], "doc_id long, quality int, toxic int, rank int")
     docs = documents(edge_rows + [(None, "x"), (4, "same id")])
