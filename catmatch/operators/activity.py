@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from catmatch import fixed_values as fv
 from catmatch.functions import scalars as sc
 from catmatch.functions.text import fold_case
-from catmatch.operators.ranking import first_by, running_sum
+from catmatch.operators.ranking import first_by, join_null_safe, running_sum
 
 
 def confirmed_only(scans: DataFrame) -> DataFrame:
@@ -242,14 +242,14 @@ def replay_collection(log: DataFrame, keys: list[str], ts: str, tie: str, op: st
     at = log.withColumn("_at", order)
     removed = F.max(F.when(F.col(op) == "remove", F.col("_at")))
     cut = at.groupBy(*keys).agg(removed.alias("_cut"))
-    alive = at.join(cut, keys).filter((F.col("_cut").isNull() | (F.col("_at") > F.col("_cut")))
+    alive = join_null_safe(at, cut, keys).filter((F.col("_cut").isNull() | (F.col("_at") > F.col("_cut")))
                                       & (F.col(op) != "remove"))
     starts = alive.groupBy(*keys).agg(
         F.min(F.when(F.col(op) == "add", F.col("_at"))).alias("_birth"),
         F.max(F.when(F.col(op) == "set", F.col("_at"))).alias("_set"))
     # Before its first add a key does not exist, and other changes do nothing.
     begin = F.greatest("_birth", "_set")
-    changes = alive.join(starts.filter("_birth is not null"), keys).filter(F.col("_at") >= begin)
+    changes = join_null_safe(alive, starts.filter("_birth is not null"), keys).filter(F.col("_at") >= begin)
     number = F.col(amount).cast("bigint")
     low = (F.when(F.col(op) == "set", F.greatest(number, F.lit(0))).when(F.col(op) == "add", F.lit(0))
            .when(F.col(op) == "in_stock", F.lit(1)))

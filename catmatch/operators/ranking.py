@@ -2,13 +2,21 @@
 
 Cuts to the best k go through ``row_number() <= k``, which Spark turns into a
 per-task limit before the shuffle, so a hot key never reaches one task whole.
-Unlimited ranks and running sums are computed per (key, bucket) with offsets
-from the bucket totals, for the same reason.
+Unlimited ranks and running sums are prefix scans: rows are dealt by range of key
+and order, worked on per (key, bucket), and carries run over one row per bucket.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from catmatch.sources.tables import keep
+
+#: Rows a bucket holds at most.
+MOST_ROWS = 1_000_000
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int,
           rank: str = "rank") -> DataFrame:
@@ -18,43 +26,55 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int,
             .withColumn(rank, F.col(rank).cast("bigint")))
 
 
-def with_buckets(df: DataFrame, keys: list[str], value: str, rows_per_bucket: int) -> DataFrame:
-    """A `_bucket` per row, monotone in the value; big keys get as many as their size asks for.
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows joined where all keys are equal, nulls included; right's other columns follow."""
+    other = right.select(*[F.col(c).alias(f"_same_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in keys])
+    return left.join(other, same, how).drop(*[f"_same_{c}" for c in keys])
+
+
+def with_buckets(df: DataFrame, keys: list[str], order: list[Column], rows_per_bucket: int) -> DataFrame:
+    """A `_bucket` per row, rising in the given order of every key.
 
-    Rows without a value form the lowest bucket: first in ascending, last in descending order.
+    Rows are dealt by range of (keys, order), with splitters that Spark samples, so a key
+    with many rows lies in many buckets however its values are spread; rows equal in all of these are
+    told apart by where they come from. Nulls are values like others. Computed once, as a second
+    sample would deal them otherwise.
     """
-    spans = df.groupBy(*keys).agg(F.min(value).alias("_span_low"), F.max(value).alias("_span_high"),
-                                  F.ceil(F.count(F.lit(1)) / rows_per_bucket).alias("_span_n"))
-    share = (F.col(value) - F.col("_span_low")) / (F.col("_span_high") - F.col("_span_low"))
-    bucket = F.when(F.col(value).isNull(), -1).when(F.col("_span_high") > F.col("_span_low"), F.floor(share * F.col("_span_n"))).otherwise(0)
-    return df.join(spans, keys).withColumn("_bucket", bucket).drop("_span_low", "_span_high", "_span_n")
+    session = df.sparkSession
+    wanted = -(-df.count() // rows_per_bucket)
+    most = max(4 * int(session.conf.get("spark.sql.shuffle.partitions")), -(-wanted * rows_per_bucket // MOST_ROWS))
+    source = df.withColumn("_from", F.monotonically_increasing_id())
+    dealt = source.repartitionByRange(max(1, min(wanted, most)), *[F.col(k).asc_nulls_first() for k in keys], *order, F.col("_from"))
+    return keep(dealt.withColumn("_bucket", F.spark_partition_id()).drop("_from"))
 
 
-def rank_candidates(df: DataFrame, query: str, score: str, key: str, rows_per_bucket: int = 1_000_000,
+def rank_candidates(df: DataFrame, query: str, score: str, key: str, rows_per_bucket: int = MOST_ROWS,
                     rank: str = "rank") -> DataFrame:
-    """1-based rank by descending score, then key, over all rows of each query."""
-    rows = with_buckets(df, [query], score, rows_per_bucket)
+    """1-based rank by descending score, then key, over all rows of each query; rows without a score come last."""
+    order = [F.col(score).desc_nulls_last(), F.col(key).asc_nulls_first()]
+    rows = with_buckets(df, [query], order, rows_per_bucket)
     counts = rows.groupBy(query, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    above = W.partitionBy(query).orderBy(F.col("_bucket").desc())
+    above = W.partitionBy(query).orderBy("_bucket")  # a row per bucket
     offsets = counts.select(query, "_bucket", (F.sum("_n").over(above) - F.col("_n")).alias("_above"))
-    inner = W.partitionBy(query, "_bucket").orderBy(F.col(score).desc(), F.col(key))
-    return (rows.join(offsets, [query, "_bucket"])
+    inner = W.partitionBy(query, "_bucket").orderBy(*order)
+    return (join_null_safe(rows, offsets, [query, "_bucket"])
             .withColumn(rank, F.row_number().over(inner) + F.col("_above"))
             .drop("_bucket", "_above"))
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Running total per key in the given order (its first column numeric)."""
-    rows = with_buckets(df, keys, order[0], rows_per_bucket)
+                rows_per_bucket: int = MOST_ROWS) -> DataFrame:
+    """Running total per key in the given order, nulls first."""
+    sequence = [F.col(c).asc_nulls_first() for c in order]
+    rows = with_buckets(df, keys, sequence, rows_per_bucket)
     totals = rows.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_total"))
-    before = W.partitionBy(*keys).orderBy("_bucket")
-    offsets = totals.select(*keys, "_bucket",
-                            (F.sum("_total").over(before) - F.col("_total")).alias("_before"))
-    inner = (W.partitionBy(*keys, "_bucket").orderBy(*order)
-             .rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (rows.join(offsets, [*keys, "_bucket"])
-            .withColumn(out, F.sum(value).over(inner) + F.col("_before"))
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)  # a row per bucket
+    offsets = totals.select(*keys, "_bucket", F.sum("_total").over(before).alias("_before"))
+    inner = W.partitionBy(*keys, "_bucket").orderBy(*sequence).rowsBetween(W.unboundedPreceding, W.currentRow)
+    total = F.sum(value).over(inner)
+    return (join_null_safe(rows, offsets, [*keys, "_bucket"])
+            .withColumn(out, F.coalesce(total + F.col("_before"), total, F.col("_before")))
             .drop("_bucket", "_before"))
 
 
@@ -151,7 +171,7 @@ def page(df: DataFrame, order: list, number: int, per_page: int) -> DataFrame:
 
 
 def stable_triggers(df: DataFrame, key: str, ts: str, good: Column, overlaps: Column, frames: int = 3,
-                    gap: int = 400, rearm: int = 1500, rows_per_bucket: int = 1_000_000) -> DataFrame:
+                    gap: int = 400, rearm: int = 1500, rows_per_bucket: int = MOST_ROWS) -> DataFrame:
     """First row of every armed episode where `frames` consecutive good rows were seen.
 
     A run restarts on a bad row, on a good row that does not overlap the one
@@ -161,7 +181,7 @@ def stable_triggers(df: DataFrame, key: str, ts: str, good: Column, overlaps: Co
     from one summary row per bucket.
     """
     flagged = df.withColumn("_good", F.coalesce(good, F.lit(False))).withColumn("_over", overlaps)
-    rows = with_buckets(flagged, [key], ts, rows_per_bucket)
+    rows = with_buckets(flagged, [key], [F.col(ts).asc_nulls_first()], rows_per_bucket)
     place = [key, "_bucket"]
     earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     inner = W.partitionBy(*place).orderBy(ts)
@@ -171,7 +191,7 @@ def stable_triggers(df: DataFrame, key: str, ts: str, good: Column, overlaps: Co
     seen = F.when(F.col("_good"), F.col(ts))
     carried = rows.groupBy(*place).agg(F.max(seen).alias("_g"), F.max_by("_good", ts).alias("_l")).select(
         *place, F.max("_g").over(earlier).alias("_carry"), F.last("_l").over(earlier).alias("_carry_good"))
-    known = rows.join(carried, place).withColumn(
+    known = join_null_safe(rows, carried, place).withColumn(
         "_last", F.coalesce(F.max(seen).over(past), "_carry", F.lit(0))).withColumn(
         "_before", F.coalesce(F.lag("_good").over(inner), "_carry_good", F.lit(False)))
     pause = F.col(ts) - F.col("_last")
@@ -182,10 +202,10 @@ def stable_triggers(df: DataFrame, key: str, ts: str, good: Column, overlaps: Co
     totals = marks.groupBy(*place).agg(*[F.count_if(F.col(flag)).alias(flag) for flag in counted.values()])
     offsets = totals.select(*place, *[F.coalesce(F.sum(flag).over(earlier), F.lit(0)).alias(name + "_offset")
                                       for name, flag in counted.items()])
-    placed = marks.join(offsets, place)
+    placed = join_null_safe(marks, offsets, place)
     for name, flag in counted.items():
         placed = placed.withColumn(name, F.count_if(F.col(flag)).over(running) + F.col(name + "_offset"))
     firsts = placed.filter("_starts").select(key, "_run", F.col("_goods").alias("_first"))
-    fired = placed.filter("_good").join(firsts, [key, "_run"]).filter(
+    fired = join_null_safe(placed.filter("_good"), firsts, [key, "_run"]).filter(
         F.col("_goods") - F.col("_first") + 1 >= frames)
     return fired.groupBy(key, "_episode").agg(F.min(ts).alias(ts)).select(key, ts)
