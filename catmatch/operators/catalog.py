@@ -1,10 +1,13 @@
 """Catalogue refresh and lookup: loading, merging, inserting, searching."""
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from catmatch.functions import scalars as sc, text as tx
-from catmatch.operators.ranking import first_by
+from catmatch.operators.ranking import first_by, top_k
+from catmatch.sources.tables import keep
 
 CARD_FIELDS = ["slug", "title", "winery", "grapes", "category", "region", "sweetness",
                "color_shade", "description", "reference_path"]
@@ -176,6 +179,50 @@ def search_db(cards: DataFrame, needle: str, fields: list[str]) -> DataFrame:
     return cards.filter(match)
 
 
+def _grams(df: DataFrame, text: str, sizes=(1, 2, 3)) -> DataFrame:
+    """Rows of df with every run of one to three characters of a text column as `gram`, some more than once."""
+    sized = df.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in sizes]))).filter(F.length(text) >= F.col("_n"))
+    at = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)))
+    return at.withColumn("gram", F.substring(text, F.col("_at"), F.col("_n"))).drop("_n", "_at")
+
+
+@dataclass
+class SubstringIndex:
+    """Built once for many searches of the same cards."""
+    texts: DataFrame  # slug, searched (case folded)
+    grams: DataFrame  # gram, slug
+    counts: DataFrame  # gram, cards
+
+
+def substring_index(cards: DataFrame, fields=("slug", "title", "winery", "region", "grapes", "category")) -> SubstringIndex:
+    text = F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in fields])
+    texts = keep(cards.select("slug", tx.fold_case(text).alias("searched")))
+    grams = keep(_grams(texts, "searched").select("gram", "slug").distinct())
+    return SubstringIndex(texts, grams, keep(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("cards"))))
+
+
+def search_many(index: SubstringIndex, needles: DataFrame, limit: int) -> DataFrame:
+    """(needle_id, slug, position): the first `limit` cards by slug that contain each needle, ignoring case; an empty one is in all.
+
+    Distinct needles are looked up by their rarest three characters, and only those cards are searched; a shorter needle
+    is in the cards that its own characters name.
+    """
+    asked = needles.select("needle_id", tx.fold_case(F.trim(F.coalesce("needle", F.lit("")))).alias("needle"))
+    words = keep(asked.select("needle").distinct())
+    short, long = words.filter(F.length("needle").between(1, 2)), words.filter(F.length("needle") >= 3)
+    held = _grams(long, "needle", (3,)).distinct().join(index.counts, "gram", "left")
+    # A needle with three characters that no card has is in none.
+    rarest = held.groupBy("needle").agg(F.min_by("gram", F.struct("cards", "gram")).alias("gram"),
+                                        F.bool_or(F.col("cards").isNull()).alias("_none")).filter("not _none").drop("_none")
+    likely = rarest.join(index.grams, "gram").join(index.texts, "slug").filter(F.contains("searched", F.col("needle")))
+    found = likely.select("needle", "slug").unionByName(
+        short.join(index.grams.withColumnRenamed("gram", "needle"), "needle").select("needle", "slug"))
+    first = index.texts.select("slug").orderBy("slug").limit(limit).agg(F.array_sort(F.collect_list("slug"))).scalar()  # `limit` names
+    found = found.unionByName(words.filter("needle = ''").select("needle", F.explode(first).alias("slug")))
+    best = top_k(found, ["needle"], [F.col("slug")], limit, "position")
+    return asked.join(best, "needle").select("needle_id", "slug", "position")
+
+
 def build_search_documents(cards: DataFrame, supplement: DataFrame) -> DataFrame:
     """One labelled text per card; the supplement's description comes first."""
     joined = cards.join(supplement, "slug", "left")

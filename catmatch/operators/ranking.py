@@ -78,6 +78,29 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
             .drop("_bucket", "_before"))
 
 
+def asof_last(events: DataFrame, facts: DataFrame, keys: list[str], ts: str, within: int | None = None,
+              rows_per_bucket: int = MOST_ROWS) -> DataFrame:
+    """Every event with `last`, the latest fact of its key at or before its time (and no more than `within` earlier), or null.
+
+    Both sides run in one sequence per key, facts first where times are equal and the greatest fact last; a
+    bucket takes what is known before it from one row per bucket. Facts without a time are left out; null keys are keys.
+    """
+    fact = F.struct(ts, *[c for c in facts.columns if c not in (*keys, ts)])
+    own = F.struct(*[c for c in events.columns if c not in (*keys, ts)])
+    both = (events.select(*keys, ts, F.lit(1).alias("_side"), own.alias("_event")).unionByName(
+        facts.filter(F.col(ts).isNotNull()).select(*keys, ts, F.lit(0).alias("_side"), fact.alias("_fact")), allowMissingColumns=True))
+    order = [F.col(ts).asc_nulls_first(), F.col("_side"), F.col("_fact").asc_nulls_first()]
+    rows = with_buckets(both, keys, order, rows_per_bucket)
+    ends = rows.groupBy(*keys, "_bucket").agg(F.max("_fact").alias("_end"))
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)  # a row per bucket
+    carried = ends.select(*keys, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    inner = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    known = join_null_safe(rows, carried, [*keys, "_bucket"]).withColumn(
+        "last", F.coalesce(F.last("_fact", ignorenulls=True).over(inner), F.col("_carry"))).filter("_side = 1")
+    fits = F.col(ts).isNotNull() if within is None else F.col(ts) - F.col(f"last.{ts}") <= within
+    return known.select(*keys, ts, "_event.*", F.when(fits, F.col("last")).alias("last"))
+
+
 def tied_rank(df: DataFrame, query: str, score: str, key: str, eps: float = 1e-7,
               limit: int | None = None, rank: str = "tied_rank") -> DataFrame:
     """Rows within eps of the previous row share the rank of the first of their run."""

@@ -241,6 +241,20 @@ def search_db(v):
     return cat.search_db(v.cards, "Nation_1", fields).select("slug", "title")
 
 
+@query("search_many", "F1 F2", """
+    WITH needles AS (SELECT p_partkey AS needle_id, trim(CASE WHEN p_partkey % 11 = 0 THEN 'P' || p_partkey // 10
+        ELSE upper(substr(p_name || ' ' || p_type, p_partkey % 6 + 1, p_partkey % 9)) END) AS needle FROM part),
+      texts AS (SELECT slug, lower(concat_ws(' ', slug, title, winery, region, grapes, category)) AS searched FROM cards)
+    SELECT needle_id, slug, position FROM needles JOIN (SELECT needle, slug, row_number() OVER (PARTITION BY needle ORDER BY slug) AS position
+      FROM (SELECT DISTINCT needle FROM needles) JOIN texts ON contains(searched, lower(needle))) USING (needle) WHERE position <= 5""")
+def search_many(v):
+    """A needle of none to eight characters for every card."""
+    key = F.col("p_partkey")
+    cut = F.upper(F.substring(F.concat_ws(" ", "p_name", "p_type"), (key % 6 + 1).cast("int"), (key % 9).cast("int")))
+    needles = v.part.select(key.alias("needle_id"), F.when(key % 11 == 0, F.concat(F.lit("P"), F.expr("p_partkey div 10"))).otherwise(cut).alias("needle"))
+    return cat.search_many(cat.substring_index(v.cards), needles, 5)
+
+
 @query("search_page", "O1", """
     SELECT slug, title, position, total, 40 + count(*) OVER () < total AS has_more FROM (
       SELECT slug, title, row_number() OVER (ORDER BY title, slug) AS position, count(*) OVER () AS total

@@ -114,6 +114,22 @@ def fresh_heartbeats(v):
     return liveness(beats, "user_id", "ts", as_of, 86_400_000_000)
 
 
+@query("worker_at_event", "J12", """
+    WITH beats AS (SELECT CASE WHEN scan_id % 2 = 0 THEN 0 ELSE user_id END AS worker, ts, max(scan_id) AS beat FROM scan_log
+        WHERE status IN ('candidates_unverified', 'not_in_catalog') GROUP BY ALL),
+      jobs AS (SELECT CASE WHEN scan_id % 2 = 0 THEN 0 ELSE user_id END AS worker, ts, scan_id FROM scan_log WHERE status NOT IN ('candidates_unverified', 'not_in_catalog'))
+    SELECT jobs.scan_id, jobs.worker, CASE WHEN jobs.ts - beats.ts <= 3600000000 THEN beats.beat END AS beat,
+      coalesce(jobs.ts - beats.ts <= 3600000000, false) AS alive
+    FROM jobs ASOF LEFT JOIN beats ON jobs.worker = beats.worker AND jobs.ts >= beats.ts""")
+def worker_at_event(v):
+    """Half of all events belong to worker 0."""
+    log = v.scan_log.withColumn("worker", F.when(F.col("scan_id") % 2 == 0, 0).otherwise(F.col("user_id")))
+    is_beat = F.col("status").isin("candidates_unverified", "not_in_catalog")
+    beats = log.filter(is_beat).select("worker", "ts", F.col("scan_id").alias("beat"))
+    found = rk.asof_last(log.filter(~is_beat).select("worker", "ts", "scan_id"), beats, ["worker"], "ts", 3_600_000_000, rows_per_bucket=1000)
+    return found.select("scan_id", "worker", "last.beat", F.col("last").isNotNull().alias("alive"))
+
+
 @query("cascade_delete", "J13", """
     SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (
       SELECT scan_id FROM scan_log WHERE status = 'not_in_catalog')""")
