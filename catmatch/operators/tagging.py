@@ -194,8 +194,8 @@ def single_reading(tags: DataFrame) -> DataFrame:
              F.when(F.col("_n") == 1, "read").otherwise("ambiguous").alias("status"))
 
 
-def observed_fields(lines: DataFrame, as_of_year: int, grapes=None, colors=None, floor: float = 0.65) -> DataFrame:
-    """(query_id, field, value, lines, confidence) of deduplicated label lines.
+def observed_lines(lines: DataFrame, as_of_year: int, grapes=None, colors=None, floor: float = 0.65) -> DataFrame:
+    """(query_id, field, value, text, confidence): the deduplicated label lines that show a value.
 
     Lines with the same collapsed lower-case text count once, with their best confidence.
     """
@@ -214,6 +214,11 @@ def observed_fields(lines: DataFrame, as_of_year: int, grapes=None, colors=None,
                              *tags("colors", colors or fv.OBSERVED_COLOR_PATTERNS)), lambda t: t.isNotNull())
     years = F.transform(sc.year_candidates(F.col("text"), as_of_year),
                         lambda y: F.struct(F.lit("years").alias("field"), y.alias("value")))
-    found = best.select("query_id", "confidence", F.explode(F.concat(fixed, years)).alias("t"))
-    return found.groupBy("query_id", "t.field", "t.value").agg(
+    return best.select("query_id", "text", "confidence", F.explode(F.concat(fixed, years)).alias("t")).select(
+        "query_id", "t.field", "t.value", "text", "confidence")
+
+
+def observed_fields(lines: DataFrame, as_of_year: int, grapes=None, colors=None, floor: float = 0.65) -> DataFrame:
+    """(query_id, field, value, lines, confidence): how many deduplicated label lines show a value, and how surely."""
+    return observed_lines(lines, as_of_year, grapes, colors, floor).groupBy("query_id", "field", "value").agg(
         F.count(F.lit(1)).alias("lines"), F.max("confidence").alias("confidence"))

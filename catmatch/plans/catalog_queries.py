@@ -1,11 +1,14 @@
 """Catalogue loading, merging, inserting and searching over whole tables."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catmatch.functions import scalars as sc, vectors as vx
-from catmatch.operators import catalog as cat, ranking as rk
+from catmatch.operators import catalog as cat, ranking as rk, visual as vs
 from catmatch.plans.registry import query
+from catmatch.sources.tables import shared_folder
 
 IMAGE_BASE = "https://img.example.org/resize"
 NESTED = """STRUCT<slug: STRING, title: STRING, winery: STRING>"""
@@ -33,6 +36,40 @@ def load_catalog(v):
     return docs.select("layout", F.explode(rows).alias("c")).select("c.*", "layout")
 
 
+def written(v, rows, name: str, **options) -> str:
+    """The path of text rows written to a new folder that all executors see; it stays there."""
+    path = f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.options(**options).text(path)
+    return path
+
+
+@query("load_card_lines", "S1", "SELECT slug, title, winery, category, region FROM cards WHERE p_partkey % 13 <> 0")
+def load_card_lines(v):
+    """Cards written as JSON lines, some without a slug, and loaded."""
+    slug = F.when(F.col("p_partkey") % 13 != 0, F.col("slug")).alias("slug")
+    lines = v.cards.select(F.to_json(F.struct(slug, "title", "winery", "category", "region")).alias("value"))
+    return cat.load_catalog(v.spark, written(v, lines, "cards")).select("slug", "title", "winery", "category", "region")
+
+
+@query("load_card_documents", "S1", "SELECT slug, title, winery FROM cards")
+def load_card_documents(v):
+    """Cards written as documents of up to 1,000: wrapped in one of three ways, a bare array, or a single object."""
+    rows = v.cards.select(F.expr("p_partkey div 1000").alias("part"), (F.col("p_partkey") % 1000 == 999).alias("single"), F.struct("slug", "title", "winery").alias("card"))
+    groups = rows.groupBy("part", "single").agg(F.collect_list("card").alias("cards"))  # 999 cards or one
+    wrapped = F.concat(F.lit('{"'), F.get(F.array(F.lit("items"), F.lit("wines"), F.lit("cards")), (F.col("part") % 4 - 1).cast("int")),
+                       F.lit('": '), F.to_json("cards"), F.lit("}"))
+    text = F.when(F.col("single"), F.to_json(F.col("cards")[0])).when(F.col("part") % 4 == 0, F.to_json("cards")).otherwise(wrapped)
+    path = written(v, groups.select(text.alias("value")), "documents", maxRecordsPerFile=1)
+    return cat.load_catalog(v.spark, path, "document").select("slug", "title", "winery")
+
+
+@query("snapshot_version", "S3", "SELECT sha256(text || chr(10)) AS sha256 FROM benchmark")
+def snapshot_version(v):
+    """The hash of every file of a snapshot that holds one passage each."""
+    path = written(v, v.benchmark.select(F.col("text").alias("value")), "snapshot", maxRecordsPerFile=1)
+    return cat.snapshot_version(v.spark, path).select("sha256")
+
+
 @query("assert_unique", "S2", """SELECT slug, count(*) AS n FROM parts_dup GROUP BY slug HAVING count(*) > 1""")
 def assert_unique(v):
     return cat.duplicate_keys(v.parts_dup, "slug")
@@ -70,6 +107,18 @@ def validate_vectors(v):
         F.coalesce("_known", F.lit(False)).alias("mapped"))
 
 
+@query("invalid_views", "S4", """
+    SELECT vec_id AS view_id FROM embeddings WHERE vec_id % 17 = 0 OR vec_id % 19 = 0 OR vec_id % 23 = 0 OR vec_id % 29 = 0
+      OR 'b' || label NOT IN (SELECT slug FROM bench_cards)""")
+def invalid_views(v):
+    """Views of which some are zero, cut, mapped to an unknown card, or to none."""
+    key, vector = F.col("vec_id"), F.col("embedding")
+    broken = F.when(key % 17 == 0, F.transform(vector, lambda x: x * 0)).when(key % 19 == 0, F.slice(vector, 1, 60)).otherwise(vector)
+    own = F.concat(F.lit("b"), "label")
+    slugs = F.when(key % 23 == 0, F.array(own, F.lit("nobody"))).when(key % 29 == 0, F.array().cast("array<string>")).otherwise(F.array(own))
+    return vs.invalid_views(v.embeddings.select(key.alias("view_id"), broken.alias("vector"), slugs.alias("slugs")), v.bench_cards, 64)
+
+
 @query("normalize_vectors", "S5", """
     SELECT vec_id, round(list_dot_product(u, u), 6) AS norm2, round(u[1], 6) AS first, round(u[64], 6) AS last
     FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM (

@@ -188,6 +188,18 @@ def attribute_precedence(v):
     return op(v.cards, {x: [] for x in values})
 
 
+OBSERVED = {"grapes": {"ring": r"\bring\b", "gizmo": r"giz+mo"}, "colors": {"red": r"\bred\b", "old": r"\bold\b"}}
+
+
+@query("observed_lines", "P20", """
+    WITH best AS (SELECT query_id, arg_min(text, [-confidence, line_no]) AS text, max(confidence) AS confidence FROM part_lines
+      WHERE on_target AND confidence >= 0.65 GROUP BY query_id, lower(text))
+    SELECT query_id, 'colors' AS field, split_part(lower(text), ' ', 1) AS value, text, confidence FROM best WHERE split_part(lower(text), ' ', 1) IN ('red', 'old')
+    UNION ALL SELECT query_id, 'grapes', split_part(lower(text), ' ', 2), text, confidence FROM best WHERE split_part(lower(text), ' ', 2) IN ('ring', 'gizmo')""")
+def observed_lines(v):
+    return tg.observed_lines(v.part_lines, 2026, **OBSERVED)
+
+
 @query("observed_fields", "P20", """
     WITH best AS (SELECT query_id, lower(text) AS t, max(confidence) AS confidence FROM part_lines WHERE on_target AND confidence >= 0.65 GROUP BY ALL)
     SELECT query_id, 'colors' AS field, c AS value, count(*) AS lines, max(confidence) AS confidence FROM (
@@ -255,6 +267,24 @@ def unique_owner(v):
         "n = 1").select("term", "owner")
 
 
+def _phrase(text: str) -> str:
+    return f"array_to_string({words_sql('strip_accents(' + folded(text) + ')')}, ' ')"
+
+
+@query("producer_aliases", "A4", f"""
+    WITH names AS (SELECT DISTINCT winery AS value FROM bench_cards), words AS (SELECT DISTINCT value, unnest(string_split({_phrase('value')}, ' ')) AS phrase FROM names),
+      lone AS (SELECT phrase, min(value) AS value FROM words WHERE length(phrase) >= 5 AND phrase NOT IN (
+        SELECT unnest(string_split(grapes, ' ')) FROM bench_cards WHERE item_id % 5 = 0) GROUP BY phrase HAVING count(*) = 1),
+      every AS (SELECT value, {_phrase('value')} AS phrase FROM names UNION SELECT value, phrase FROM lone UNION
+        SELECT value, 'house ' || {_phrase('value')} FROM names WHERE value IN (SELECT min(value) FROM names))
+    SELECT min(value) AS value, phrase FROM every WHERE phrase <> '' GROUP BY phrase HAVING count(*) = 1""")
+def producer_aliases(v):
+    """Names, one with a listed alias, and the words of names that only one producer has."""
+    words = v.bench_cards.filter("item_id % 5 = 0").select(F.explode(F.split("grapes", " ")).alias("word"))
+    first = v.bench_cards.agg(F.min("winery")).first()[0]
+    return tg.single_owner_aliases(v.bench_cards, "winery", words, {first: ["House " + first]})
+
+
 JOINED = {
     "duos": f"""SELECT DISTINCT parts, array_to_string(parts, '') AS joined FROM (
       SELECT unnest(list_transform(range(1, len(t) - n + 2), lambda i: t[i:i + n - 1])) AS parts FROM (

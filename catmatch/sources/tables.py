@@ -23,16 +23,17 @@ class Tables:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: computed once, lineage cut, survives lost executors.
-
-    The folder is the session's spark.checkpoint.dir; only where none is named,
-    as in tests, a local one is set.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: the session's spark.checkpoint.dir; only where none is named, as in tests, a local one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
-                                 or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: computed once, lineage cut, survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
