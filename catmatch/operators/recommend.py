@@ -148,7 +148,7 @@ def search_criteria(profile: DataFrame, results: DataFrame, candidates: DataFram
     fill = F.col("strong") & empty & (F.col("grapes_status") == "missing") & (F.size(F.coalesce("a_grapes", F.array().cast("array<string>"))) > 0)
     columns.append(F.when(fill, F.col("a_grapes")).otherwise(F.col("grapes")).alias("q_grapes"))
     sources.append(F.when(fill, known).when(~empty, "photo_ocr").otherwise("missing").alias("grapes_source"))
-    filled = rows.select("query_id", "anchor", "strong", F.col("_card").isNotNull().alias("_has"),
+    filled = rows.select("query_id", "anchor", "strong", F.col("_card").isNotNull().alias("_has"), confirmed.alias("confirmed"),
                          "color_status", "sweetness_status", *columns, *sources)
     fallback = (F.col("_has") & ~F.col("strong") & F.col("q_producer").isNotNull()
                 & (F.col("q_color").isNull() | ((F.size("q_grapes") == 0) & F.col("q_sweetness").isNull())))
@@ -160,7 +160,36 @@ def search_criteria(profile: DataFrame, results: DataFrame, candidates: DataFram
               | (F.col("q_color").isNotNull() & F.col("q_sweetness").isNotNull()))
     status = F.when(ambiguous, "ambiguous_evidence").when(~enough, "insufficient_evidence").otherwise("search")
     return filled.join(words, "query_id", "left").withColumn(
-        "line_terms", F.coalesce("line_terms", F.array().cast("array<string>"))).withColumn("status", status).drop("_has")
+        "line_terms", F.coalesce("line_terms", F.array().cast("array<string>"))).withColumn("status", status).withColumnRenamed("_has", "has_anchor")
+
+
+def with_confirmations(results: DataFrame, candidates: DataFrame, lines: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, candidates, lines) in which a user's accepted choice is the confirmed anchor.
+
+    `accepted` has (query_id, slug), one choice a query. Its shortlist is the chosen card alone, and its lines
+    are no evidence any more, whatever was read; stored scores and ranks of other queries stay.
+    """
+    choice = accepted.groupBy("query_id").agg(F.min("slug").alias("_choice"))
+    status = F.when(F.col("_choice").isNotNull(), "confirmed").otherwise(F.col("recognition_status"))
+    settled = results.join(choice, "query_id", "full").withColumn("recognition_status", status).drop("_choice")
+    chosen = F.col("_choice").isNotNull()
+    short = candidates.join(choice, "query_id", "left").filter(~chosen | (F.col("slug") == F.col("_choice")))
+    short = short.withColumn("rank", F.when(chosen, F.lit(1)).otherwise(F.col("rank")).cast(candidates.schema["rank"].dataType)).drop("_choice")
+    mute = lines.join(choice, "query_id", "left").withColumn("confidence", F.when(chosen, 0.0).otherwise(F.col("confidence"))).drop("_choice")
+    return settled, short, mute
+
+
+def recommendation_context(criteria: DataFrame) -> DataFrame:
+    """Per query: status, what the recommendation rests on, its anchor, and the criteria with their sources."""
+    confirmed = F.col("confirmed") & F.col("has_anchor")
+    told = F.when(F.col("strong"), F.when(confirmed, "confirmed_wine").otherwise("retrieval_top1")).otherwise("photo_ocr")
+    family = F.when(F.size("line_terms") > 0, "retrieval_family").otherwise("retrieval_producer")
+    basis = F.when(F.col("fallback") & (F.col("status") != "ambiguous_evidence"), family).otherwise(told)
+    keys = ("color", "sweetness", "grapes", "producer")
+    return criteria.select(
+        "query_id", "status", basis.alias("basis"), F.when(F.col("has_anchor"), F.col("anchor")).alias("anchor"),
+        F.when(F.col("has_anchor"), F.when(confirmed, "confirmed_wine").otherwise("retrieval_top1")).alias("anchor_source"),
+        confirmed.alias("anchor_is_recognized"), *[F.col(f"q_{k}").alias(k) for k in keys], *[f"{k}_source" for k in keys], "line_terms")
 
 
 def match_columns(query: dict[str, Column], card: dict[str, Column]) -> dict[str, Column]:

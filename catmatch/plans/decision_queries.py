@@ -266,20 +266,24 @@ SUGARS = {t: [] for t in ("MEDIUM", "ECONOMY", "STANDARD")}
 NOUNS = {t: [] for t in ("ring", "bolt", "gear")}
 
 
-def recommendation_inputs(v):
+def recommendation_inputs(v, accepted=None):
     lines = v.part_lines.withColumn("confidence", F.when(F.col("query_id") % 3 != 0, F.col("confidence")).otherwise(0.1))
     vocabulary = tg.phrase_table(v.spark, "color", COLORS).unionByName(tg.phrase_table(v.spark, "sweetness", SUGARS)).unionByName(
         tg.phrase_table(v.spark, "grapes", NOUNS))
+    states = F.array(*[F.lit(s) for s in ("not_in_catalog", "confirmed", "candidates_unverified", "candidates_unverified")])
+    results = v.customer.select(F.col("c_custkey").alias("query_id"), F.element_at(states, (F.col("c_custkey") % 4 + 1).cast("int")).alias("recognition_status"))
+    candidates = keep(v.candidates)
+    if accepted is not None:
+        lines = lines.join(accepted.select("query_id"), "query_id", "left_semi")
+        results, candidates, lines = rec.with_confirmations(results, candidates, lines, accepted)
     profile = rec.wide_profile(tg.observed_profile(lines, vocabulary))
     words = F.split("title", " ")
     cards = v.cards.select("slug", "title", F.when(words[0].isin("red", "blue"), words[0]).alias("color"), F.col("category").alias("sweetness"),
                            F.array("grapes").alias("grapes"), F.when(F.col("p_partkey") % 9 != 0, F.col("winery")).alias("producer"))
-    states = F.array(*[F.lit(s) for s in ("not_in_catalog", "confirmed", "candidates_unverified", "candidates_unverified")])
-    results = v.customer.select(F.col("c_custkey").alias("query_id"), F.element_at(states, (F.col("c_custkey") % 4 + 1).cast("int")).alias("recognition_status"))
     vectors = v.part.select(F.concat(F.lit("p"), "p_partkey").alias("slug"), (F.col("p_partkey") % v.embeddings.agg(F.count("*")).scalar()).alias("vec_id")).join(
         v.embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("slug", "vector")
     excluded = ["blue", "ring", "bolt", "gear", "medium", "economy", "standard"]
-    return rec.recommend(profile, results, keep(v.candidates), cards, lines, 5, vectors, excluded)
+    return rec.recommend(profile, results, candidates, cards, lines, 5, vectors, excluded)
 
 
 @query("recommend", "Q9 O10 F7 U2 U7", f"""
@@ -299,3 +303,46 @@ def recommendation_status(v):
     criteria, _ = recommendation_inputs(v)
     return criteria.select("query_id", "status", "fallback", F.coalesce("q_color", F.lit("")).alias("color"),
                            F.array_join("line_terms", ",").alias("line_terms"))
+
+
+BASIS = """CASE WHEN fallback AND NOT ambiguous THEN CASE WHEN len(lt) > 0 THEN 'retrieval_family' ELSE 'retrieval_producer' END
+      WHEN strong THEN CASE WHEN conf THEN 'confirmed_wine' ELSE 'retrieval_top1' END ELSE 'photo_ocr' END"""
+SOURCES = """CASE WHEN len({own}) = 1 OR ('{own}' = 'gs' AND len({own}) > 0) THEN 'photo_ocr' WHEN len({own}) = 0 AND strong AND {card}
+      THEN CASE WHEN conf THEN 'confirmed_wine' ELSE 'retrieval_top1_reference' END ELSE 'missing' END AS {name}_source"""
+
+
+@query("recommendation_context", "Q9", f"""
+    SELECT a.query_id, CASE WHEN status <> 'search' THEN status WHEN p.query_id IS NOT NULL THEN 'available' ELSE 'no_suitable_analogs' END AS status,
+      {BASIS} AS basis, CASE WHEN a.has THEN a.anchor END AS anchor, CASE WHEN a.has THEN CASE WHEN conf THEN 'confirmed_wine' ELSE 'retrieval_top1' END END AS anchor_source,
+      conf AND a.has AS anchor_is_recognized, s.color_source, s.sweetness_source, s.grapes_source, s.producer_source
+    FROM asked a JOIN (SELECT query_id, conf, {SOURCES.format(own='cs', card='ac IS NOT NULL', name='color')}, {SOURCES.format(own='ss', card='asw IS NOT NULL', name='sweetness')},
+        {SOURCES.format(own='gs', card='len(ag) > 0', name='grapes')},
+        CASE WHEN strong AND ap IS NOT NULL THEN CASE WHEN conf THEN 'confirmed_wine' ELSE 'retrieval_top1_reference' END
+          WHEN has AND NOT strong AND agreed IS NOT NULL THEN 'retrieval_shortlist_consensus' ELSE 'missing' END AS producer_source FROM strength) s USING (query_id)
+      LEFT JOIN (SELECT DISTINCT query_id FROM tiered) p USING (query_id)""", RECOMMEND)
+def recommendation_context(v):
+    criteria, _ = recommendation_inputs(v)
+    found = rec.recommendation_context(criteria)
+    return found.select("query_id", "status", "basis", "anchor", "anchor_source", "anchor_is_recognized",
+                        *[f"{k}_source" for k in ("color", "sweetness", "grapes", "producer")])
+
+
+CONFIRMED = {
+    **JOBS, **RECOMMEND,
+    "lines": RECOMMEND["lines"] + " AND query_id NOT IN (SELECT query_id FROM gate)",
+    "prof": RECOMMEND["prof"].replace("FROM (SELECT DISTINCT query_id FROM part_lines) q", "FROM (SELECT DISTINCT query_id FROM part_lines WHERE query_id IN (SELECT query_id FROM gate)) q"),
+    "state": "SELECT query_id, 'confirmed' AS st FROM gate",
+    "lead": "SELECT c.query_id, c.slug, match_score FROM candidates c JOIN gate g ON g.query_id = c.query_id AND g.slug = c.slug",
+    "agreed": "SELECT query_id, NULL::VARCHAR AS agreed FROM gate",
+}
+
+
+@query("confirmed_recommendations", "Q11 Q9", f"""
+    SELECT query_id, anchor, rank, slug, ({"['" + "', '".join(fv.TIERS) + "']"})[tier + 1] AS tier, round(sim, 6) AS similarity
+    FROM placed_items JOIN (SELECT query_id, anchor FROM asked) USING (query_id) WHERE rank <= 5""", CONFIRMED)
+def confirmed_recommendations(v):
+    """Recommendations anchored at the candidate that its user confirmed."""
+    accepted = keep(dc.result_gate(jobs_of(v), v.candidates, choices_of(v)).select("query_id", "slug"))
+    criteria, items = recommendation_inputs(v, accepted)
+    return items.join(criteria.select("query_id", "anchor"), "query_id").select(
+        "query_id", "anchor", "rank", "slug", "tier", F.round("similarity", 6).alias("similarity"))
