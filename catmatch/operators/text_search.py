@@ -20,6 +20,8 @@ from catmatch.sources.tables import keep
 
 #: Postings of a term that are taken or left as one.
 TIER_ROWS = 256
+#: Postings of a query that are read without a plan.
+FEW_POSTINGS = 10_000
 #: Scores are rounded to so many places; sums of the same numbers in another order differ by less than _SLACK.
 PLACES, _SLACK = 5, 1e-9
 
@@ -212,7 +214,7 @@ def marked_terms(evidence: DataFrame, index: CatalogIndex) -> DataFrame:
     s, known = F.col("strength"), fv.SHORT_IDENTIFIERS
     read = F.col("distance") == 0
     return facts.select(
-        "query_id", "term", "strength", (F.col("idf") * s).alias("mass"),
+        "query_id", "term", "strength", "postings", (F.col("idf") * s).alias("mass"),
         ((F.col("owners").between(1, 2)) & (s >= 0.83) & ((F.length("term") >= 4) | F.col("term").isin(known))).alias("is_producer"),
         (F.col("term").isin(fv.COLOR_TERMS) & read & (F.col("confidence") >= 0.65)).alias("is_color"),
         (F.col("term").isin(fv.SWEETNESS_TERMS) & read & (F.col("confidence") >= 0.65)).alias("is_sugar"),
@@ -266,16 +268,24 @@ def score_profiles(evidence: DataFrame, index: CatalogIndex) -> DataFrame:
     return _scores(marked.join(index.weights, "term"), _query_totals(marked)).drop("first_slug")
 
 
-def best_profiles(evidence: DataFrame, index: CatalogIndex, limit: int) -> DataFrame:
+def best_profiles(evidence: DataFrame, index: CatalogIndex, limit: int, few: int = FEW_POSTINGS) -> DataFrame:
     """The rows of score_profiles that can be among the best `limit` of their query by score and first slug.
 
-    A term gives a card text at most its bound: the largest weights of the text's tier of postings;
+    A query whose terms have no more than `few` postings together is scored whole at once: to plan costs
+    more than to read them. For the others a term gives a card text at most its bound: the largest weights of the text's tier of postings;
     conflicts only take away. The tiers of the largest bounds give a query its bar, the score of its
     limit-th best card text so far. Tiers are then added up from the smallest bounds: as long as their sum, with one
     tier a term, stays below the bar, a card text in these alone cannot get there, so their postings are not read.
     What the other tiers touch is scored whole if it can reach the bar with all that was left out.
     """
-    marked = keep(marked_terms(evidence, index))
+    everything = keep(marked_terms(evidence, index))
+    sizes = everything.groupBy("query_id").agg((F.sum("postings") <= few).alias("_few"))
+    sized = everything.join(sizes, "query_id")
+    short = sized.filter("_few").drop("_few")
+    at_once = _scores(short.join(index.weights, "term"), _query_totals(short)).drop("first_slug")
+    marked = keep(sized.filter("not _few").drop("_few"))
+    if marked.isEmpty():
+        return at_once
     queries = _query_totals(marked)
     s = F.col("strength")
     bound = lambda t: t("weight") * s * s + 2 * s * t("identity_weight")
@@ -314,7 +324,8 @@ def best_profiles(evidence: DataFrame, index: CatalogIndex, limit: int) -> DataF
     most = F.round(F.col("seen") + F.coalesce("rest", F.lit(0.0)) + _SLACK, PLACES)
     able = touched.filter(F.col("bar").isNull() | (most >= F.col("bar")))
     # The best so far are among them, or lie below the bar with the tiers that were left out.
-    return whole(able.select("query_id", "profile").unionByName(probes.select("query_id", "profile")).distinct()).drop("first_slug")
+    most_able = able.select("query_id", "profile").unionByName(probes.select("query_id", "profile")).distinct()
+    return at_once.unionByName(whole(most_able).drop("first_slug"))
 
 
 def expand_members(scored: DataFrame, index: CatalogIndex, limit: int) -> DataFrame:

@@ -31,8 +31,9 @@ def test_cut_search_equals_whole_search(spark, alike, tier_rows, limit):
     evidence = ts.query_evidence(lines, index)
     scored = ts.score_profiles(evidence, index)
     expected = ts.expand_members(scored, index, limit).select("query_id", "rank", "slug", "score", "conflicts", "identity_terms")
-    found = ts.expand_members(ts.best_profiles(evidence, index, limit), index, limit).select(*expected.columns)
-    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+    for few in (0, 500):  # all queries by their bounds, or those with common terms only
+        found = ts.expand_members(ts.best_profiles(evidence, index, limit, few), index, limit).select(*expected.columns)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
 
 
 def test_a_shared_term_is_not_expanded(spark):
@@ -43,6 +44,6 @@ def test_a_shared_term_is_not_expanded(spark):
     lines = spark.createDataFrame([(q, "common " + ("karanu lumofar" if q % 2 else ""), 1.0) for q in range(30)], "query_id long, text string, confidence double")
     lines = lines.withColumn("on_target", F.lit(True))
     evidence = ts.query_evidence(lines, index)
-    cut = ts.best_profiles(evidence, index, 5)
+    cut = ts.best_profiles(evidence, index, 5, 0)
     assert index.profiles.count() > 300 and ts.score_profiles(evidence, index).count() == 30 * index.profiles.count()
     assert cut.groupBy("query_id").count().agg(F.max("count")).first()[0] < 0.2 * index.profiles.count()
