@@ -146,7 +146,8 @@ def _compared(asked: DataFrame, blocks: GalleryBlocks, limit: int, block_views:
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_cell(limit), FOUND)
 
 
-def _merged(found: DataFrame, limit: int) -> DataFrame:
+def merge_rankings(found: DataFrame, limit: int) -> DataFrame:
+    """The best `limit` cards of every query and branch out of partial lists that each hold their own best."""
     place = F.struct("cosine", -F.col("gallery_view"), -F.col("query_view"))
     best = found.groupBy("query_id", "branch", "slug").agg(
         F.max("cosine").alias("cosine"), F.max_by("query_view", place).alias("query_view"), F.max_by("gallery_view", place).alias("gallery_view"))
@@ -159,10 +160,10 @@ def branch_rankings(queries: DataFrame, gallery: DataFrame | None, limit: int =
     blocks = blocks or build_blocks(gallery, augment, block_views)
     rows = keep(query_branches(queries, "view_id").withColumn("bar", F.lit(None).cast("double")))
     opened = keep(_compared(_asked(rows, blocks, limit, True), blocks, limit, block_views, query_views))
-    bars = _merged(opened, limit).filter(F.col("rank") == limit).select("query_id", "branch", F.col("cosine").alias("bar"))
+    bars = merge_rankings(opened, limit).filter(F.col("rank") == limit).select("query_id", "branch", F.col("cosine").alias("bar"))
     left = rows.drop("bar").join(bars, ["query_id", "branch"], "left").select(*rows.columns)
     more = _compared(_asked(left, blocks, limit, False), blocks, limit, block_views, query_views)
-    return _merged(opened.unionByName(more), limit)
+    return merge_rankings(opened.unionByName(more), limit)
 
 
 def visual_candidates(rankings: DataFrame, cards: DataFrame, asked: DataFrame, limit: int = 10, kinds: list[str] | None = None) -> DataFrame:

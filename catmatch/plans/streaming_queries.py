@@ -4,13 +4,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catmatch import fixed_values as fv
-from catmatch.operators import visual as vs
+from catmatch.operators import vector_blocks as vb, visual as vs
 from catmatch.plans.oracle_views import sql_in
 from catmatch.plans.registry import query
 from catmatch.plans.relational_queries import STABLE_SQL
-from catmatch.plans.vector_queries import VECTOR_VIEWS
+from catmatch.plans.vector_queries import VECTOR_VIEWS, WHOLE_VIEWS
 from catmatch.sources.bindings import Views
-from catmatch.streaming import jobs as js
+from catmatch.streaming import event_order as eo, jobs as js
 
 
 class Replayed(Views):
@@ -39,18 +39,25 @@ def match_stream(v):
     return found.withColumn("score", F.round("score", 9))
 
 
-@query("job_state", "R2", """
+JOB_STATE_SQL = """
     SELECT user_id, s.status AS status, s.valid AS valid, s.refused AS refused FROM (SELECT user_id, list_reduce(list_prepend(
         {'status': '', 'valid': 0::BIGINT, 'refused': 0::BIGINT}, list({'status': status, 'valid': 0::BIGINT, 'refused': 0::BIGINT} ORDER BY ts, event_id)),
       lambda a, x: CASE WHEN (a.status || '>' || x.status) IN ('>pending', 'pending>processing', 'pending>failed', 'processing>done', 'processing>failed', 'done>pending', 'failed>pending')
         THEN {'status': x.status, 'valid': a.valid + 1, 'refused': a.refused} ELSE {'status': a.status, 'valid': a.valid, 'refused': a.refused + 1} END) AS s
     FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status FROM events)
-    GROUP BY user_id)""")
-def job_state(v):
+    GROUP BY user_id)"""
+
+
+def job_log(v):
     kind = F.col("event_type")
     status = (F.when(kind == "signup", "pending").when(kind == "purchase", "done").when(kind == "error", "failed").otherwise("processing"))
-    log = Replayed(v, "events").events.select(
-        "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("tie"), status.alias("status"))
+    return Replayed(v, "events").events.select(
+        "user_id", F.col("ts").cast("timestamp").alias("event_time"), F.col("event_id").alias("tie"), status.alias("status"))
+
+
+@query("job_state", "R2", JOB_STATE_SQL)
+def job_state(v):
+    log = job_log(v).select("user_id", F.unix_micros("event_time").alias("ts"), "tie", "status")
     states = js.job_state(log, "user_id")
     folder = js.scratch(v.spark, "job-state")
     js.run_batches(states, folder, lambda batch: batch, "update")
@@ -110,3 +117,45 @@ def history_sink(v):
     log = Replayed(v, "events").scan_log.select("user_id", "item_id", "ts", "scan_id", "status")
     saved = js.history_sink(log, js.scratch(v.spark, "history"), ["user_id", "item_id"], ["ts", "scan_id"])
     return saved.select("user_id", "item_id", "scan_id", "status")
+
+
+# What has left a stream of hourly windows and one hour's delay when all files are read.
+SEALED = "(SELECT * FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 HOUR)"
+
+
+@query("job_state_ordered", "R2", JOB_STATE_SQL.replace("FROM events", f"FROM {SEALED}"))
+def job_state_ordered(v):
+    return eo.job_state_stream(job_log(v), js.scratch(v.spark, "job-moves"), "user_id")
+
+
+@query("stable_trigger_ordered", "R5", STABLE_SQL.replace(
+    "scan_events", f"(SELECT user_id, epoch_us(ts) AS ts, event_type, value FROM {SEALED})"))
+def stable_trigger_ordered(v):
+    frames = Replayed(v, "events").events.withColumn("event_time", F.col("ts").cast("timestamp")).select(
+        "user_id", "event_time", F.unix_micros("event_time").alias("ts"),
+        (F.col("event_type") != "error").alias("good"), (F.col("value") < 60).alias("overlaps"))
+    return eo.stable_trigger_stream(frames, js.scratch(v.spark, "ordered"), "user_id", "1 hour", "1 hour", 3, 43_200_000_000, 7_200_000_000)
+
+
+@query("liveness_bounded", "R3", """
+    SELECT user_id, max(ts) AS last_seen, max(CASE WHEN item_id::INT % 2 = 0 THEN ts END) AS last_fresh FROM scan_log GROUP BY user_id""")
+def liveness_bounded(v):
+    beats = Replayed(v, "events").events.select(
+        "user_id", F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    seen = eo.liveness(beats, js.scratch(v.spark, "beats"), "user_id", "ts", "1 day", "1 hour", F.col("k") % 2 == 0)
+    return seen.select("user_id", *[F.unix_micros(c).alias(c) for c in ("last_seen", "last_fresh")])
+
+
+@query("award_once_bounded", "R4", f"""
+    SELECT DISTINCT user_id, item_id, 10 AS points FROM scan_log WHERE status IN {sql_in(fv.CONFIRMED_STATUSES)}""")
+def award_once_bounded(v):
+    scans = Replayed(v, "events").scan_log.withColumn("event_time", F.timestamp_micros("ts"))
+    return eo.awards(scans, js.scratch(v.spark, "award"), ["user_id", "item_id"], "event_time", "1 hour")
+
+
+@query("match_stream_merged", "R1", """
+    SELECT query_id, branch, slug, rank, round(cosine, 6) AS cosine, query_view::BIGINT AS query_view, gallery_view::BIGINT AS gallery_view FROM branch_list""", WHOLE_VIEWS)
+def match_stream_merged(v):
+    blocks = vb.build_blocks(v.card_views)
+    found = eo.match_views(Replayed(v, "documents").document_views, blocks, js.scratch(v.spark, "views"), 10)
+    return found.select("query_id", "branch", "slug", "rank", F.round("cosine", 6).alias("cosine"), "query_view", "gallery_view")

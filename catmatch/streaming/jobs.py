@@ -108,6 +108,27 @@ def job_state(log: DataFrame, key: str = "job") -> DataFrame:
         "status string, valid bigint, refused bigint", "update", GroupStateTimeout.NoTimeout)
 
 
+NO_FRAMES = (0, 0, True)
+
+
+def mark_shots(rows: pd.DataFrame, before: tuple[int, int, bool], n: int, gap: int, rearm: int) -> tuple[pd.Series, tuple[int, int, bool]]:
+    """Times of the shots among ordered frames of one key, and the summary after them."""
+    newest, open_run, due = before
+    ts, good = rows["ts"].reset_index(drop=True), rows["good"].fillna(False).astype(bool).reset_index(drop=True)
+    over = rows["overlaps"].fillna(False).astype(bool).reset_index(drop=True)
+    goods = ts.where(good).cummax().ffill()
+    pause = ts - goods.shift().fillna(newest)
+    follows = good.shift(fill_value=open_run > 0)
+    island = (good & ~(follows & over & (pause <= gap))).cumsum()
+    episode = (~good & (pause > rearm)).cumsum()
+    length = good.groupby(island).cumsum() + (island == 0) * open_run
+    ripe = good & (length >= n) & ((episode > 0) | due)
+    shots = ts[ripe].groupby(episode[ripe]).min()
+    last = int(episode.iloc[-1])
+    return shots, (int(goods.fillna(newest).iloc[-1]), int(length.iloc[-1]) if good.iloc[-1] else 0,
+                   last not in shots.index and (last > 0 or due))
+
+
 def stable_trigger(frames: DataFrame, key: str, n: int = 3, gap: int = 400, rearm: int = 1500) -> DataFrame:
     """The batch operator `stable_triggers` over micro-batches: islands of good frames, one shot per armed episode.
 
@@ -116,23 +137,11 @@ def stable_trigger(frames: DataFrame, key: str, n: int = 3, gap: int = 400, rear
     shot is still due in the episode. The rows of a micro-batch are marked as arrays against it.
     """
     def mark(name, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest, open_run, due = state.get if state.exists else (0, 0, True)
         rows = _ordered(parts, ["ts"])
         if rows.empty:
             return
-        ts, good = rows["ts"].reset_index(drop=True), rows["good"].fillna(False).astype(bool).reset_index(drop=True)
-        over = rows["overlaps"].fillna(False).astype(bool).reset_index(drop=True)
-        goods = ts.where(good).cummax().ffill()
-        pause = ts - goods.shift().fillna(newest)
-        follows = good.shift(fill_value=open_run > 0)
-        island = (good & ~(follows & over & (pause <= gap))).cumsum()
-        episode = (~good & (pause > rearm)).cumsum()
-        length = good.groupby(island).cumsum() + (island == 0) * open_run
-        ripe = good & (length >= n) & ((episode > 0) | due)
-        shots = ts[ripe].groupby(episode[ripe]).min()
-        last = int(episode.iloc[-1])
-        state.update((int(goods.fillna(newest).iloc[-1]), int(length.iloc[-1]) if good.iloc[-1] else 0,
-                      last not in shots.index and (last > 0 or due)))
+        shots, after = mark_shots(rows, state.get if state.exists else NO_FRAMES, n, gap, rearm)
+        state.update(after)
         yield pd.DataFrame({key: [name[0]] * len(shots), "ts": shots.astype("int64").to_numpy()})
 
     kind = frames.schema[key].dataType.simpleString()
