@@ -205,22 +205,77 @@ def match_columns(query: dict[str, Column], card: dict[str, Column]) -> dict[str
             "exact": has & (F.size(common) == F.size(F.array_distinct(query["grapes"]))) & (F.size(common) == F.size(F.array_distinct(card["grapes"])))}
 
 
+#: What decides which cards suit a query, and how well.
+CRITERIA = ["q_color", "q_sweetness", "q_grapes", "q_producer", "fallback", "line_terms"]
+
+
+def levels_needed(asked: DataFrame, classes: DataFrame, enough: int) -> tuple[DataFrame, DataFrame]:
+    """(crit, class, what they share): the classes of the levels that hold the first `enough` cards of every criteria row.
+
+    Cards of one level (tier, coverage, exactness) are equal so far. Tiers are walked from the best: each meets its classes
+    over the attributes it needs, and only criteria still short of cards go on, so a level behind enough cards is never
+    joined. The second result holds all classes of criteria that fall back to one producer, which are that producer's.
+    """
+    from catmatch.sources.tables import keep
+
+    mine = {k: F.col(f"q_{k}") for k in ("color", "sweetness", "grapes", "producer")}
+    shared = match_columns(mine, {k: F.col(k) for k in mine})
+    allowed = meets_constraints((("q_color", "color"), ("q_sweetness", "sweetness")))
+
+    def matched(met: DataFrame) -> DataFrame:
+        rows = met.filter(allowed).select("crit", *classes.columns, *[c.alias(n) for n, c in shared.items()])
+        return rows.filter("tier is not null")
+
+    def first_levels(pool: DataFrame, held: DataFrame) -> DataFrame:
+        level = ["tier", "coverage", "exact"]
+        better = W.partitionBy("crit").orderBy(F.col("tier"), F.col("coverage").desc(), F.col("exact").desc())
+        sums = pool.groupBy("crit", *level).agg(F.sum("size").alias("_n")).join(held.select("crit", "_held"), "crit")
+        near = sums.withColumn("_before", F.col("_held") + F.sum("_n").over(better) - F.col("_n")).filter(F.col("_before") < enough)
+        return pool.join(near.select("crit", *level), ["crit", *level]).select(*pool.columns)
+
+    held = keep(asked.withColumn("_held", F.lit(0).cast("bigint")))
+    line = F.size(F.array_except("line_terms", "words")) == 0
+    by_producer = F.col("producer") == F.col("q_producer")
+    family = keep(matched(held.filter("fallback").join(classes, by_producer).filter(line)))
+    parts = [first_levels(family, held)]
+    short = held.filter("not fallback")
+    grape = classes.select("cls", F.explode(F.array_distinct("grapes")).alias("grape"))
+    pair = (F.col("color") == F.col("q_color")) & (F.col("sweetness") == F.col("q_sweetness"))
+    # With colour and sweetness known, an allowed card has both: the last two tiers are for the others.
+    loose = "q_color is null or q_sweetness is null"
+    by_grape = lambda rows: rows.withColumn("grape", F.explode(F.array_distinct("q_grapes"))).join(
+        grape.join(classes.select("cls", "color", "sweetness"), "cls"), "grape")
+    once = lambda met, rows: met.select("crit", "cls").distinct().join(rows, "crit").join(classes, "cls")
+    tiers = [lambda rows: once(by_grape(rows).filter(pair), rows), lambda rows: rows.join(classes, pair),
+             lambda rows: once(by_grape(rows.filter(loose)).filter(allowed), rows), lambda rows: rows.filter(loose).join(classes, by_producer)]
+    for tier, meet in enumerate(tiers):
+        pool = keep(matched(meet(short)).filter(F.col("tier") == tier))
+        parts.append(first_levels(pool, short))
+        found = pool.groupBy("crit").agg(F.sum("size").alias("_n"))
+        short = keep(short.join(found, "crit", "left").withColumn("_held", F.col("_held") + F.coalesce("_n", F.lit(0))).drop("_n").filter(
+            F.col("_held") < enough))
+    needed = parts[0]
+    for part in parts[1:]:
+        needed = needed.unionByName(part)
+    return keep(needed), family
+
+
 def recommend(profile: DataFrame, results: DataFrame, candidates: DataFrame, cards: DataFrame, lines: DataFrame,
               limit: int = 5, vectors: DataFrame | None = None, excluded_words: list[str] | None = None,
               shortlist: int = 10) -> tuple[DataFrame, DataFrame]:
     """(criteria with final status, ranked items) for every query of the profile.
 
-    Queries meet classes of cards that are alike in everything the rules look
-    at; a class hands over only its first cards by slug, and its nearest by
-    text where the anchor has a vector. What a class keeps back cannot be
-    among the first `limit`.
+    Distinct criteria meet classes of cards that are alike in everything the
+    rules look at, tier by tier until they hold enough; a class hands over only
+    its first cards by slug, and its nearest by text where the anchor has a
+    vector. What a class keeps back cannot be among the first `limit`.
     """
     from catmatch.functions import text as tx
     from catmatch.operators.visual import nearest_in_class
     from catmatch.sources.tables import keep
 
     criteria = keep(search_criteria(profile, results, candidates, cards, lines, excluded_words or []))
-    asked = criteria.filter("status = 'search'")
+    asked = keep(criteria.filter("status = 'search'").withColumn("crit", F.sha2(F.to_json(F.struct(*CRITERIA)), 256)))
     words = F.array_sort(F.array_distinct(F.split(tx.normalize_phrase(F.col("title")), " ")))
     typed = cards.select("slug", "color", "sweetness", F.array_sort("grapes").alias("grapes"), "producer", words.alias("words"))
     attributes = ["color", "sweetness", "grapes", "producer", "words"]
@@ -228,55 +283,35 @@ def recommend(profile: DataFrame, results: DataFrame, candidates: DataFrame, car
     classes = keep(typed.groupBy("cls").agg(*[F.first(c).alias(c) for c in attributes], F.count(F.lit(1)).alias("size")))
     heads = top_k(typed.select("cls", "slug"), ["cls"], [F.col("slug")], limit + 1 + shortlist, "_n")
 
-    plain = asked.filter("not fallback")
-    by_grape = plain.select("query_id", F.explode("q_grapes").alias("grape")).join(
-        classes.select("cls", F.explode("grapes").alias("grape")), "grape")
-    by_pair = plain.select("query_id", F.col("q_color").alias("color"), F.col("q_sweetness").alias("sweetness")).join(
-        classes, ["color", "sweetness"]).select("query_id", "cls")
-    by_producer = asked.select("query_id", F.col("q_producer").alias("producer")).join(classes, "producer").select(
-        "query_id", "cls")
-    met = by_grape.select("query_id", "cls").unionByName(by_pair).unionByName(by_producer).distinct()
-
-    rows = met.join(classes, "cls").join(asked, "query_id")
-    query = {k: F.col(f"q_{k}") for k in ("color", "sweetness", "grapes", "producer")}
-    card = {k: F.col(k) for k in ("color", "sweetness", "grapes", "producer")}
-    allowed = meets_constraints((("q_color", "color"), ("q_sweetness", "sweetness")))
-    allowed = allowed & (~F.col("fallback") | (F.coalesce(F.col("producer") == F.col("q_producer"), F.lit(False))
-                                               & (F.size(F.array_except("line_terms", "words")) == 0)))
-    shared = match_columns(query, card)
-    pool = rows.filter(allowed).select("*", *[c.alias(n) for n, c in shared.items()]).filter("tier is not null")
-    pool = keep(pool)
-    # Classes of one (tier, coverage, exactness) level are equal so far; levels behind the ones
-    # that already hold enough cards are not needed.
     enough = limit + 1 + shortlist
-    level = ["tier", "coverage", "exact"]
-    better = W.partitionBy("query_id").orderBy(F.col("tier"), F.col("coverage").desc(), F.col("exact").desc())
-    levels = pool.groupBy("query_id", *level).agg(F.sum("size").alias("_n")).withColumn(
-        "_before", F.sum("_n").over(better) - F.col("_n")).filter(F.col("_before") < enough)
-    needed = keep(pool.join(levels.select("query_id", *level), ["query_id", *level]).select(*pool.columns))
+    needed, family = levels_needed(asked.select("crit", *CRITERIA).dropDuplicates(["crit"]), classes, enough)
     if vectors is None:
-        offered = needed.join(heads.select("cls", "slug"), "cls")
+        plain = asked
     else:
         known = vectors.select("slug", "vector")
         anchors = keep(asked.filter("strong").select("query_id", "anchor").join(
             known.withColumnRenamed("slug", "anchor"), "anchor").select("query_id", "vector"))
-        by_text = needed.join(anchors.select("query_id"), "query_id", "left_semi")
-        offered = needed.join(anchors.select("query_id"), "query_id", "left_anti").join(
-            heads.select("cls", "slug"), "cls").select(*needed.columns, "slug")
+        plain = asked.join(anchors.select("query_id"), "query_id", "left_anti")
+    # Without text distances the order is the criteria's own: one cut for all their queries.
+    own = [F.col("tier"), F.col("coverage").desc(), F.col("exact").desc(), F.col("same_producer").desc(), F.col("slug")]
+    first = top_k(needed.join(heads.select("cls", "slug"), "cls"), ["crit"], own, enough, "_n").drop("_n")
+    offered = plain.join(first, "crit")
+    if vectors is not None:
+        by_text = asked.join(anchors.select("query_id"), "query_id", "left_semi").join(needed, "crit")
         blind = typed.select("slug", "cls").join(vectors.select("slug"), "slug", "left_anti")
         unread = top_k(blind, ["cls"], [F.col("slug")], enough, "_n").select("cls", "slug")
         offered = offered.unionByName(by_text.join(unread, "cls").select(*offered.columns))
     seen = candidates.filter(F.col("rank") <= shortlist).select("query_id", "slug", "visual_similarity")
     look = F.col("visual_similarity")
     seen = seen.withColumn("visual_similarity", F.when(~F.isnan(look) & look.between(-1, 1), look))
-    extra = pool.filter("fallback").join(typed.select("cls", "slug"), "cls").join(
-        seen.select("query_id", "slug"), ["query_id", "slug"], "left_semi")
+    extra = asked.filter("fallback").join(seen.select("query_id", "slug"), "query_id").join(typed.select("cls", "slug"), "slug").join(
+        family, ["crit", "cls"])
     offered = offered.unionByName(extra.select(*offered.columns))
     if vectors is not None:
         near = nearest_in_class(by_text.select("query_id", "cls").join(anchors, "query_id"),
                                 typed.select("slug", "cls").join(known, "slug"), limit + 1)
         near = keep(near)
-        placed = near.select("query_id", "slug").join(typed.select("slug", "cls"), "slug").join(needed, ["query_id", "cls"])
+        placed = near.select("query_id", "slug").join(typed.select("slug", "cls"), "slug").join(by_text, ["query_id", "cls"])
         offered = offered.unionByName(placed.select(*offered.columns))
     else:
         near = seen.select("query_id", "slug", F.lit(None).cast("double").alias("similarity")).limit(0)
