@@ -3,10 +3,11 @@
 Vectors are grouped by length (norm) into buckets, and buckets are cut into blocks. A first
 pass gives every query the k-th best score within a block of the longest vectors. In the second
 pass a query and a bucket have a local cosine threshold: the score to beat over the product of
-the query's length and the bucket's longest. A bucket whose threshold is over one is passed by;
-otherwise vectors are pruned by their own length or by one coordinate (the query's largest:
-what the others can add is bounded by what is left of both lengths), and what stays is
-multiplied out in whole numbers.
+the query's length and the bucket's longest. A bucket whose threshold is over one is passed by.
+Else the bucket is pruned by coordinates or by length: the angle that the threshold allows
+bounds the coordinates in which the query's direction is largest, and the length that the score
+needs bounds the vectors' lengths. Each block chooses the threshold from which coordinates leave
+fewer vectors than lengths over all its queries; what stays is multiplied out in whole numbers.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; scores
 are of vectors of equal dimension; a null vec_id is never a query, and is last among ties; rows
@@ -25,6 +26,8 @@ from catmatch.llm.common import materialize
 #: Buckets per doubling of the length, and rows of a block of candidates or queries.
 BUCKETS_PER_DOUBLING = 8
 CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 512
+#: Coordinates of a query's direction that bound a vector's.
+FOCUS = 3
 _LAST_ID = 2**63 - 1
 SLACK = 1e-6  # lengths are rounded: a bound may only be too weak
 EXACT_BELOW = 2.0 ** 52  # sums of products under it are exact as doubles
@@ -66,26 +69,68 @@ def blocks(vectors: DataFrame, size: int, bucketed: bool) -> DataFrame:
     return materialize(dealt.select("dim", "bucket", "block", "id", "v", "bar").groupBy("dim", "bucket", "block").applyInArrow(pack, schema))
 
 
+def _angles(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1.0, 1.0))
+
+
+def coordinates_from(thresholds: np.ndarray, by_length: np.ndarray, by_coordinates: np.ndarray) -> float:
+    """The local threshold from which pruning by coordinates pays: what is left of all queries is least; infinite if nowhere.
+
+    by_length, by_coordinates: the vectors that each pruning leaves a query of that threshold.
+    """
+    order = np.argsort(-thresholds, kind="stable")
+    saved = np.cumsum((by_length - by_coordinates)[order])
+    last = np.append(np.diff(thresholds[order]) != 0, True)  # queries of one threshold go the same way
+    saved = np.where(last, saved, 0) if len(saved) else saved
+    return float(thresholds[order[saved.argmax()]]) if saved.max(initial=0) > 0 else np.inf
+
+
 def _best(queries: tuple[np.ndarray, np.ndarray], vectors: tuple[np.ndarray, np.ndarray], bars: np.ndarray, k: int):
     """(query id, vector id, score) of what may be among a query's k best within the block, at least equal to its bar."""
     (q_ids, q), (v_ids, v) = queries, vectors
-    out = []
-    q_length, v_length = np.sqrt((q.astype(float) ** 2).sum(1)), np.sqrt((v.astype(float) ** 2).sum(1))
-    longest = v_length.max(initial=0.0)
-    focus = np.abs(q).argmax(1) if q.shape[1] else np.zeros(len(q), int)
-    rest_of = {f: np.sqrt(np.maximum(v_length ** 2 - v[:, f].astype(float) ** 2, 0)) for f in set(focus.tolist())} if q.shape[1] else {}
-    exact = q_length.max(initial=0.0) * longest < EXACT_BELOW
+    v_length = np.sqrt((v.astype(float) ** 2).sum(1))
+    ascending = np.argsort(v_length, kind="stable")
+    v_ids, v, v_length = v_ids[ascending], v[ascending], v_length[ascending]
+    q_length, longest = np.sqrt((q.astype(float) ** 2).sum(1)), v_length.max(initial=0.0)
+    reach = q_length * longest * (1 + SLACK)
+    needed = bars - SLACK
+    # Minus one: nothing is known of the angle.
+    threshold = np.where(np.isfinite(bars) & (reach > 0), needed / np.where(reach > 0, reach, 1.0), np.where(needed > 0, np.inf, -1.0))
+    open_ = np.flatnonzero(threshold <= 1)
+    threshold = np.maximum(threshold, -1.0)
+    shortest = np.where(q_length > 0, needed / np.where(q_length > 0, q_length * (1 + SLACK), 1.0), -np.inf)
+    start = np.searchsorted(v_length, shortest, "left")
+
     floats, floats_q = v.astype(float), q.astype(float)
-    for i in range(len(q)):
+    direction = floats / np.where(v_length > 0, v_length, 1.0)[:, None]
+    q_direction = floats_q / np.where(q_length > 0, q_length, 1.0)[:, None]
+    focus = np.argsort(-np.abs(q_direction), axis=1, kind="stable")[:, :FOCUS]
+    angle, allowed = _angles(np.take_along_axis(q_direction, focus, 1)), _angles(threshold)[:, None]
+    low = np.cos(np.minimum(angle + allowed, np.pi)) - SLACK
+    high = np.cos(np.maximum(angle - allowed, 0.0)) + SLACK
+    # A vector of length zero has no direction, and scores zero: only a bar above that excludes it.
+    can_turn = (threshold > 0) & (focus.shape[1] > 0)
+    lists = {f: np.argsort(direction[:, f], kind="stable") for f in set(focus[open_[can_turn[open_]], 0].tolist())} if focus.shape[1] else {}
+    first, last = np.zeros(len(q), int), np.full(len(q), len(v))
+    for f, order in lists.items():
+        asked = np.flatnonzero(can_turn & (focus[:, 0] == f))
+        column = direction[order, f]
+        first[asked] = np.searchsorted(column, low[asked, 0], "left")
+        last[asked] = np.searchsorted(column, high[asked, 0], "right")
+    turning = open_[can_turn[open_]]
+    switch = coordinates_from(threshold[turning], len(v) - start[turning], last[turning] - first[turning])
+
+    exact = q_length.max(initial=0.0) * longest < EXACT_BELOW
+    out = []
+    for i in open_:
         bar = bars[i]
-        if bar > q_length[i] * longest * (1 + SLACK) + SLACK:  # the local threshold is over one
-            continue
-        near = np.arange(len(v))
-        if np.isfinite(bar) and q.shape[1]:
-            near = near[q_length[i] * v_length * (1 + SLACK) + SLACK >= bar]
-            f = focus[i]
-            q_rest = np.sqrt(max(q_length[i] ** 2 - float(q[i, f]) ** 2, 0.0))
-            near = near[(float(q[i, f]) * v[near, f] + q_rest * rest_of[f][near]) + SLACK * (1 + q_length[i] * v_length[near]) >= bar]
+        if can_turn[i] and threshold[i] >= switch:
+            near = lists[focus[i, 0]][first[i]:last[i]]
+            for n in range(1, focus.shape[1]):
+                x = direction[near, focus[i, n]]
+                near = near[(x >= low[i, n]) & (x <= high[i, n])]
+        else:
+            near = np.arange(start[i], len(v))
         near = near[v_ids[near] != q_ids[i]]
         scores = (floats[near] @ floats_q[i]).astype(np.int64) if exact else v[near] @ q[i]
         if np.isfinite(bar):

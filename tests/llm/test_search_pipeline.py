@@ -41,6 +41,30 @@ def test_top_k(spark, monkeypatch, block):
     assert topk_search.top_k(vectors.limit(0), vectors.limit(0)).collect() == []
 
 
+def test_prunings_are_chosen_by_the_threshold():
+    at = topk_search.coordinates_from
+    counts = lambda *n: np.array(n)
+    assert at(np.array([0.9, 0.2, 0.5]), counts(9, 9, 9), counts(1, 20, 8)) == 0.5
+    assert at(np.array([0.9, 0.9, 0.5]), counts(9, 9, 9), counts(1, 30, 9)) == np.inf  # one threshold, one way
+    assert at(np.array([0.9, 0.5]), counts(2, 2), counts(5, 5)) == np.inf and at(np.array([]), counts(), counts()) == np.inf
+
+
+@pytest.mark.parametrize("lengths, noise", [((1, 1), 0.05), ((1, 1), 3.0), ((0.01, 100), 0.05), ((0.01, 100), 3.0), ((0, 0), 1.0)])
+def test_prunings_lose_nothing(monkeypatch, lengths, noise):
+    """Directions that crowd or scatter, lengths alike or spread: every score that reaches the bar is found, either way."""
+    rng = np.random.default_rng(8)
+    v = np.round(1000 * rng.uniform(*lengths, size=(500, 1)) * (rng.normal(size=8) + noise * rng.normal(size=(500, 8)))).astype(np.int64)
+    q = np.vstack([v[:40], -v[:5], np.zeros((1, 8), np.int64)])
+    ids, q_ids = np.arange(500), np.arange(1000, 1000 + len(q))
+    scores = q @ v.T
+    for bars in (np.sort(scores, 1)[:, -6].astype(float), np.full(len(q), -np.inf), np.full(len(q), 0.0), scores.max(1) + 1.0):
+        wanted = {(int(q_ids[i]), int(j), int(scores[i, j])) for i in range(len(q)) for j in np.flatnonzero(scores[i] >= bars[i])}
+        for choose in (topk_search.coordinates_from, lambda *_: -1.0, lambda *_: np.inf):  # chosen, coordinates only, lengths only
+            with monkeypatch.context() as m:
+                m.setattr(topk_search, "coordinates_from", choose)
+                assert set(topk_search._best((q_ids, q), (ids, v), bars, 500)) == wanted
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     docs = table(spark, SMALL, "documents")
     names = [name for name, _ in corpus_pipeline.STAGES]
