@@ -20,9 +20,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catmatch.llm.common import ASCII_UPPER, SPACE, WORD_GAP, materialize
+from catmatch.llm.common import WORD_GAP, materialize
 
 SYMBOLS = "#*$%&|<>"
+WORD = r"[^\x20\x09-\x0D]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP_FROM = 0.5
 EM_ROUNDS = 20
@@ -61,34 +62,38 @@ class Model(NamedTuple):
     bad_votes: tuple[tuple[float, float], ...]  # P(votes bad | good), P(votes bad | bad)
 
 
-def _removed(characters: str) -> Column:
-    """How many of the characters the text holds."""
-    return (F.char_length("text") - F.char_length(F.translate("text", characters, ""))).cast("long")
+def _found(character_class: str) -> Column:
+    """How many characters of the class the text holds."""
+    return F.regexp_count("text", F.lit(character_class)).cast("long")
 
 
 def add_statistics(docs: DataFrame) -> DataFrame:
     """docs as one struct column `row`, and `stats`: a struct of counts of the whole text."""
     words = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "words", F.array_remove(F.split("text", WORD_GAP), ""))
-    windows = words.withColumn("windows", F.sort_array(F.transform(
+    hashed = words.withColumn("hashes", F.transform(
         F.when(F.size("words") >= 3, F.sequence(F.lit(0), F.size("words") - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("at")))))
+        lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))))
+    # Only a text in which a window repeats has its windows sorted; elsewhere no word is covered.
+    windows = hashed.withColumn("windows", F.when(
+        F.size(F.array_distinct("hashes")) < F.size("hashes"),
+        F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))))
     # Places of windows that equal a neighbour in hash order; each covers up to three words not yet covered.
     places = windows.withColumn("places", F.sort_array(F.transform(F.filter("windows", lambda w, k: (
         F.get("windows", k - 1)["h"].eqNullSafe(w["h"]) | F.get("windows", k + 1)["h"].eqNullSafe(w["h"]))), lambda w: w["at"])))
-    lines = places.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda line: F.translate(line, SPACE, "") != ""))
+    lines = places.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda line: F.rlike(line, F.lit(WORD))))
     covered = F.aggregate(F.transform("places", lambda at, k: F.least(F.lit(3), F.coalesce(F.get("places", k + 1) - at, F.lit(3)))),
                           F.lit(0).cast("long"), lambda total, n: total + n)
     size = lambda array: F.size(array).cast("long")
     return lines.select("row", F.struct(
         size("words").alias("n_words"),
-        F.char_length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
-        _removed(SYMBOLS).alias("n_symbols"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        _found(f"[{SYMBOLS}]").alias("n_symbols"),
         (size("lines") - size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
+        F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         size("lines").alias("n_lines"),
-        _removed(ASCII_UPPER).alias("n_capitals"),
-        _removed("!").alias("n_exclamations"),
+        _found("[A-Z]").alias("n_capitals"),
+        _found("!").alias("n_exclamations"),
         size(F.filter("words", lambda w: w.isin(STOP_WORDS))).alias("n_stop_words"),
         size(F.filter("words", lambda w, k: w.eqNullSafe(F.get("words", k - 1)))).alias("n_doubled")).alias("stats"))
 
