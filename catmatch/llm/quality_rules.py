@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catmatch.llm.common import WORD_GAP, materialize
+from catmatch.llm.common import WORD_GAP, materialize, shared_folder
 
 SYMBOLS = "#*$%&|<>"
 WORD = r"[^\x20\x09-\x0D]"
@@ -169,11 +170,14 @@ def _decided(voted: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, unchanged. Statistics are made once for the votes, once for the rows.
+    """The rows of docs that are kept, unchanged.
 
-    The rows pass a generator: a plain filter would be pushed below the statistics and repeat them in its condition.
+    Statistics are made once: votes and the rows that pass the base check are written in the shared folder, where
+    removing them is the caller's; the fit reads the votes alone, the answer the rows.
     """
     voted = add_votes(add_statistics(docs))
-    decided = _decided(voted, fit(voted))
-    kept = decided.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row"))
-    return kept.filter(F.col("row").isNotNull()).select("row.*")
+    path = f"{shared_folder(docs.sparkSession)}/judged-{uuid.uuid4().hex}"
+    voted.select(F.when(~base_failed(F.col("stats")), F.col("row")).alias("row"), "votes").write.parquet(path)
+    judged = docs.sparkSession.read.parquet(path)
+    model = fit(judged.select("votes"))
+    return judged.filter(F.col("row").isNotNull() & (posterior(F.col("votes"), model) >= KEEP_FROM)).select("row.*")
