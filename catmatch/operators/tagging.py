@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from catmatch import fixed_values as fv
 from catmatch.functions import scalars as sc, text as tx
+from catmatch.sources.tables import keep, lookup
 
 ATTRIBUTES = ["color", "sweetness", "grapes", "producer"]
 
@@ -73,6 +74,7 @@ def find_values(rows: DataFrame, keys: list[str], text: str, vocabulary: DataFra
     Word runs meet the vocabulary in an equi-join, so the vocabulary may be a
     large table; only runs that are a phrase are shuffled to their text.
     """
+    vocabulary = lookup(vocabulary)
     words = F.split(tx.normalize_phrase(F.col(text)), " ")
     grams = rows.select(*keys, words.alias("_w"), longest_phrase(vocabulary).alias("_longest")).select(
         *keys, F.explode(_grams(F.col("_w"), F.col("_longest"))).alias("g")).select(*keys, "g.*")
@@ -90,6 +92,7 @@ def line_tags(lines: DataFrame, vocabulary: DataFrame, keys=("query_id", "line_n
     producers from the text itself. Words of any spelling of a grape found in
     the line are not evidence of a colour.
     """
+    vocabulary = keep(vocabulary)
     decoded = F.split(tx.decode_attribute_glyphs(F.col("text"), glyph_words), " ")
     plain = F.split(tx.normalize_phrase(F.col("text")), " ")
     forms = F.array(F.struct(F.lit("attr").alias("form"), decoded.alias("w")),
@@ -98,9 +101,9 @@ def line_tags(lines: DataFrame, vocabulary: DataFrame, keys=("query_id", "line_n
              .select(*keys, "f.form", F.explode(_grams(F.col("f.w"), F.col("_longest"))).alias("g"))
              .select(*keys, "form", "g.*"))
     masks = vocabulary.filter("kind = 'grapes'").withColumn("kind", F.lit("mask"))
-    phrases = vocabulary.unionByName(masks).withColumn(
+    phrases = vocabulary.unionByName(masks).withColumn("gram", F.col("phrase")).withColumn(
         "form", F.when(F.col("kind").isin("color", "sweetness", "mask"), "attr").otherwise("text"))
-    hits = grams.join(phrases, (F.col("gram") == F.col("phrase")) & (grams["form"] == phrases["form"]))
+    hits = grams.join(lookup(phrases), ["form", "gram"])
     per_line = hits.groupBy(*keys).agg(*[
         F.collect_list(F.when(F.col("kind") == kind, _match_struct())).alias(kind)
         for kind in [*ATTRIBUTES, "mask"]])

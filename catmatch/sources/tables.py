@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 NAMES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
          "benchmark labels conversations").split()
@@ -37,6 +37,19 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a table that is sent to every task, at most.
+MOST_SENT = 100_000
+
+
+def lookup(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """A table, computed once, to join many rows with: sent to every task where it is small, else both sides are shuffled.
+
+    Left to itself Spark goes by the size of files and may send the other side: rows exploded out of a small file.
+    """
+    rows = keep(df)
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("merge")
+
+
 def slots(df: DataFrame) -> int:
     """Tasks the cluster runs at once; at least the session's shuffle width."""
     session = df.sparkSession
