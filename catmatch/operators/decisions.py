@@ -100,11 +100,25 @@ def coverage(evidence: DataFrame, terms: DataFrame, out: str) -> DataFrame:
         "query_id", "slug", (F.coalesce("_sum", F.lit(0.0)) / n).alias(out))
 
 
+def card_evidence(evidence: DataFrame) -> DataFrame:
+    """(query_id, slug, seen, producer, bad): what each card of a shortlist was found by, in one row."""
+    strength = sc.evidence_strength(F.col("confidence"), F.col("match_strength"))
+    # A card's evidence is dealt once, for its terms and for the card.
+    dealt = evidence.withColumn("strength", strength).repartition("query_id", "slug")
+    best = dealt.groupBy("query_id", "slug", "term").agg(
+        F.max("strength").alias("s"),
+        F.max(F.when(F.col("field").isin("winery", "winery_alias"), F.col("strength"))).alias("w"),
+        F.count_if(F.col("strength").isNull()).alias("bad"))
+    return best.groupBy("query_id", "slug").agg(
+        F.collect_list(F.struct("term", F.coalesce("s", F.lit(0.0)).alias("s"))).alias("seen"),  # terms of one card
+        F.max("w").alias("producer"), F.sum("bad").alias("bad"))
+
+
 def membership_features(candidates: DataFrame, evidence: DataFrame, cards: DataFrame,
                         ocr: DataFrame) -> DataFrame:
     """The 18 presence features of every complete five-candidate shortlist, one row per query.
 
-    Shortlists hold five rows, so the whole query fits one array: the features
+    `evidence` may be rows of terms or their card_evidence. Shortlists hold five rows, so the whole query fits one array: the features
     are expressions over that array and cost a single shuffle by query.
     """
     product = F.col("product") if "product" in cards.columns else sc.product_key(
@@ -113,14 +127,7 @@ def membership_features(candidates: DataFrame, evidence: DataFrame, cards: DataF
         "slug", "winery", title_terms().alias("title_terms"),
         F.array_distinct(tx.tokens("grapes")).alias("grape_terms"),
         product.alias("product"))
-    strength = sc.evidence_strength(F.col("confidence"), F.col("match_strength"))
-    best = evidence.withColumn("strength", strength).groupBy("query_id", "slug", "term").agg(
-        F.max("strength").alias("s"),
-        F.max(F.when(F.col("field").isin("winery", "winery_alias"), F.col("strength"))).alias("w"),
-        F.count_if(F.col("strength").isNull()).alias("bad"))
-    grouped = best.groupBy("query_id", "slug").agg(
-        F.collect_list(F.struct("term", F.coalesce("s", F.lit(0.0)).alias("s"))).alias("seen"),  # terms of one card
-        F.max("w").alias("producer"), F.sum("bad").alias("bad"))
+    grouped = evidence if "seen" in evidence.columns else card_evidence(evidence)
     rows = candidates.filter("rank <= 5").join(fields, "slug", "left").join(
         grouped, ["query_id", "slug"], "left")
     one = F.struct(
