@@ -31,6 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +50,8 @@ DESCENT_ROUNDS, DESCENT_STEP, RIDGE = 400, 0.5, 0.5
 #: How often a document may be repeated, the pull of its rate towards one, and when the descent ends.
 MOST_RATE, RIDGE_TO_ONE = 10.0, 2e-5
 ROUNDS, TOLERANCE, LEAST_STEP = 50, 1e-9, 1e-6
+#: Rows that are judged at once; only their texts are Python objects.
+BATCH_ROWS = 512
 #: A domain whose tokens stay this far (as a share of its target) from the target is reported.
 REPORTED = 0.01
 _LOG = logging.getLogger(__name__)
@@ -153,12 +156,13 @@ def posteriors(docs: DataFrame, model: Model) -> DataFrame:
     def judge(batches):
         hashes = WordHashes()
         for batch in batches:
-            m = sent.value
-            found = [_buckets(t, hashes) for t in batch.column(1).to_pylist()]
-            scores = np.array([m.prior + m.lift[b].sum(0) for b, _ in found]).reshape(-1, len(m.prior))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for _, n in found], pa.int64()), pa.array(list(_softmax(scores)), pa.list_(pa.float64())), batch.column(2)],
-                names=["doc_id", "n_tokens", "p", "draw"])
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                piece, m = batch.slice(at, BATCH_ROWS), sent.value
+                found = [_buckets(t, hashes) for t in piece.column(1).to_pylist()]
+                scores = np.array([m.prior + m.lift[b].sum(0) for b, _ in found]).reshape(-1, len(m.prior))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), pa.array([n for _, n in found], pa.int64()), pa.array(list(_softmax(scores)), pa.list_(pa.float64())), piece.column(2)],
+                    names=["doc_id", "n_tokens", "p", "draw"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), draw_of(F.col("doc_id").cast("long"), F.col("text")).alias("draw"))
             .mapInArrow(judge, "doc_id long, n_tokens long, p array<double>, draw double"))
@@ -267,15 +271,16 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     model = fit(docs, labels, len(targets), sample)
     rate = fit_rates(materialize(posteriors(docs, model)), list(targets.values()), most_rate).rate
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    wrapped = docs.select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("text"))
+    wrapped = docs.select(F.struct("*").alias("row"))
 
     def judge(batches):
         hashes = WordHashes()
         for batch in batches:
-            m = sent.value
-            scores = np.array([m.prior + m.lift[_buckets(t, hashes)[0]].sum(0)
-                               for t in batch.column(1).to_pylist()]).reshape(-1, len(m.prior))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_softmax(scores)), pa.list_(pa.float64()))], names=["row", "p"])
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                piece, m = batch.slice(at, BATCH_ROWS), sent.value
+                texts = pc.struct_field(piece.column(0), "text").cast(pa.binary()).to_pylist()  # of the row itself: no text travels twice
+                scores = np.array([m.prior + m.lift[_buckets(t, hashes)[0]].sum(0) for t in texts]).reshape(-1, len(m.prior))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(list(_softmax(scores)), pa.list_(pa.float64()))], names=["row", "p"])
 
     out = T.StructType([wrapped.schema["row"], T.StructField("p", T.ArrayType(T.DoubleType()))])
     copies = copies_of(rate, F.col("row.doc_id").cast("long"), F.col("row.text"))
