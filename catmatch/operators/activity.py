@@ -7,6 +7,7 @@ from catmatch import fixed_values as fv
 from catmatch.functions import scalars as sc
 from catmatch.functions.text import fold_case
 from catmatch.operators.ranking import first_by, join_null_safe, running_sum
+from catmatch.sources.tables import keep
 
 
 def confirmed_only(scans: DataFrame) -> DataFrame:
@@ -254,11 +255,12 @@ def replay_collection(log: DataFrame, keys: list[str], ts: str, tie: str, op: st
     low = (F.when(F.col(op) == "set", F.greatest(number, F.lit(0))).when(F.col(op) == "add", F.lit(0))
            .when(F.col(op) == "in_stock", F.lit(1)))
     delta = F.when(F.col(op) == "add", number).otherwise(F.lit(0))
-    rows = changes.withColumn("_low", low.cast("bigint")).withColumn("_delta", delta)
+    # Kept, as they are counted and dealt out: neither makes the log and its joins anew.
+    rows = keep(changes.select(*keys, ts, tie, op, low.cast("bigint").alias("_low"), delta.alias("_delta")))
     summed = running_sum(rows, keys, [ts, tie], "_delta", "_sum", rows_per_bucket)
     ends = summed.groupBy(*keys).agg(
         F.sum("_delta").alias("_total"), F.max(F.col("_low") - F.col("_sum")).alias("_best"),
-        F.bool_or(F.col(op) == "set").alias("_fixed"), F.max_by(F.col(op), F.col("_at")).alias("_last"))
+        F.bool_or(F.col(op) == "set").alias("_fixed"), F.max_by(F.col(op), order).alias("_last"))
     from_floor = F.col("_best") + F.col("_total")
     quantity = F.when(F.col("_fixed"), from_floor).otherwise(F.greatest(from_floor, F.col("_total")))
     status = (F.when(F.col("_last") == "in_stock", "IN_STOCK").when(F.col("_last") == "consumed", "CONSUMED")
