@@ -45,19 +45,34 @@ def adjacent_swaps(word: Column) -> Column:
         F.sequence(F.lit(1), F.length(word) - 1), swap)).otherwise(F.array().cast("array<string>"))
 
 
+def letters_apart(left: Column, right: Column) -> Column:
+    """Letters of either word that the other has not, and the difference of their lengths: a swap changes nothing, another operation 2 at most."""
+    strange = lambda a, b: F.length(F.call_function("translate", a, b, F.lit("")))
+    return strange(left, right) + strange(right, left) + F.abs(F.length(left) - F.length(right))
+
+
+def may_be_close(left: Column, right: Column) -> Column:
+    """False only where the distance is above 2: at most two plain operations, or a swap with another."""
+    return (F.levenshtein(left, right, 2) >= 0) | ((letters_apart(left, right) <= 2) & (F.levenshtein(left, right, 4) >= 0))
+
+
 def small_distance(left: Column, right: Column) -> Column:
     """The Damerau-Levenshtein distance where it is at most 2, else null; JVM only.
 
     Two operations pass through one string in between: without swaps the plain
-    distance counts them, otherwise a swap comes first, last or both times.
+    distance counts them, otherwise a swap comes first, last or both times. Swaps
+    are only tried where the letters allow them.
     """
-    plain = F.levenshtein(left, right, 4)
-    before, after = adjacent_swaps(left), adjacent_swaps(right)
-    two = (F.exists(before, lambda s: F.levenshtein(s, right, 1) >= 0)
-           | F.exists(after, lambda s: F.levenshtein(left, s, 1) >= 0) | F.arrays_overlap(before, after))
-    return (F.when(plain < 0, F.lit(None)).when(plain <= 1, plain)
-            .when(plain == 2, F.when(F.array_contains(before, right), 1).otherwise(2))
-            .when(two, F.lit(2)))
+    def of(plain):
+        before, after = adjacent_swaps(left), adjacent_swaps(right)
+        apart = letters_apart(left, right)
+        two = (F.exists(before, lambda s: F.levenshtein(s, right, 1) >= 0)
+               | F.exists(after, lambda s: F.levenshtein(left, s, 1) >= 0) | F.arrays_overlap(before, after))
+        return (F.when(plain < 0, F.lit(None)).when(plain <= 1, plain)
+                .when(plain == 2, F.when((apart == 0) & F.array_contains(before, right), 1).otherwise(2))
+                .when((apart <= F.when(plain == 3, 2).otherwise(0)) & two, F.lit(2)))
+
+    return F.get(F.transform(F.array(F.levenshtein(left, right, 4)), of), 0)  # the plain distance once
 
 
 def deletions(word: str, budget: int) -> set[str]:

@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catmatch.functions import text as tx
-from catmatch.functions.distance import small_distance, with_deletion_keys
+from catmatch.functions.distance import may_be_close, small_distance, with_deletion_keys
 from catmatch.operators.ranking import keep_within, top_k
-from catmatch.sources.tables import slots
+from catmatch.sources.tables import keep, slots
 
 LONG = 22  # vocabulary terms above this length are blocked by segments
+#: Letters from which others are left out to make a key: words that are near share a key of their beginnings too, as
+#: whoever has lost fewer letters there can leave out the last ones. So a word has 37 keys at most, whatever its length.
+HEAD = 8
 
 
 def edit_limit(word: Column) -> Column:
@@ -55,7 +58,8 @@ def _segment_keys_of_word(word: Column) -> Column:
 def term_keys(vocabulary: DataFrame) -> DataFrame:
     """(key, term): by which words near a term find it. A term pairs with words of either budget, so it has the keys of two deletions."""
     terms = vocabulary.select("term", F.length("term").alias("size"))
-    short = with_deletion_keys(terms.filter(F.col("size").between(3, LONG)).select("term", F.lit(2).alias("budget")), "term", "budget")
+    heads = terms.filter(F.col("size").between(3, LONG)).select("term", F.substring("term", 1, HEAD).alias("head"), F.lit(2).alias("budget"))
+    short = with_deletion_keys(heads, "head", "budget")
     long = terms.filter(F.col("size") > LONG).select("term", F.explode(_segment_keys_of_term(F.col("term"))).alias("key"))
     return short.select("key", "term").unionByName(long.select("key", "term")).distinct()
 
@@ -63,9 +67,10 @@ def term_keys(vocabulary: DataFrame) -> DataFrame:
 def word_keys(words: DataFrame) -> DataFrame:
     """(word, budget) → (key, word, budget)."""
     size = F.length("word")
-    short = with_deletion_keys(words.filter(size <= LONG + 2), "word", "budget")
+    heads = words.filter(size <= LONG + 2).withColumn("head", F.substring("word", 1, HEAD))
+    short = with_deletion_keys(heads, "head", "budget").select("key", "word", "budget")
     long = words.filter(size >= LONG - 1).withColumn("key", F.explode(_segment_keys_of_word(F.col("word"))))
-    return short.unionByName(long).select("key", "word", "budget")
+    return short.unionByName(long.select("key", "word", "budget"))
 
 
 def close_terms(words: DataFrame, vocabulary: DataFrame, limit_of=edit_limit, per_word: int = 4, keys: DataFrame | None = None) -> DataFrame:
@@ -86,9 +91,10 @@ def close_terms(words: DataFrame, vocabulary: DataFrame, limit_of=edit_limit, pe
     inexact = rows.filter((F.col("budget") > 0) & (F.length("word") - 2 <= longest))
     pairs = word_keys(inexact).join(term_keys(vocabulary) if keys is None else keys, "key")
     near = (F.abs(F.length("word") - F.length("term")) <= F.col("budget")) & (F.col("word") != F.col("term"))
-    pairs = pairs.filter(near).select("word", "term", "budget").distinct()
-    measured = pairs.withColumn("distance", small_distance(F.col("word"), F.col("term"))).filter(
-        F.col("distance") <= F.col("budget")).select("word", "term", "distance")
+    pairs = pairs.filter(near & may_be_close(F.col("word"), F.col("term"))).groupBy("word", "term").agg(F.max("budget").alias("budget"))
+    within = F.filter(F.array(small_distance(F.col("word"), F.col("term"))), lambda d: d <= F.col("budget"))
+    # A row for a distance within the budget: a filter by it would be moved before the pairs are made distinct, and measure twice.
+    measured = pairs.select("word", "term", F.explode(within).alias("distance"))
     found = exact.unionByName(measured)
     return top_k(found, ["word"], [F.col("distance"), F.col("term")], per_word, "_n").drop("_n")
 
@@ -104,7 +110,7 @@ def variants_of(words: DataFrame) -> DataFrame:
 def term_matches(words: DataFrame, vocabulary: DataFrame, joined: DataFrame | None = None,
                  floor: float = 0.73, delta: float = 0.08, limit: int = 5, keys: DataFrame | None = None) -> DataFrame:
     """(raw, term, method, distance, similarity, match_strength) per distinct raw word."""
-    readings = variants_of(words)
+    readings = keep(variants_of(words))  # many small steps a word, read three times
     near = close_terms(readings.select("word").distinct(), vocabulary, keys=keys)
     longest = F.greatest(F.length("word"), F.length("term"))
     similarity = 1 - F.col("distance") / longest
