@@ -434,7 +434,7 @@ def producer_terms(cards: DataFrame) -> DataFrame:
 
 def producer_matches(words: DataFrame, owners: DataFrame, floor: float = 0.8, margin: float = 0.08) -> DataFrame:
     """(raw, winery, term, similarity): a word names a producer if no other is as close."""
-    readings = variants_of(words)
+    readings, owners = keep(variants_of(words)), keep(owners)  # both are read several times
     near = close_terms(readings.select("word").distinct(), owners.select("term"), producer_edit_limit)
     longest = F.greatest(F.length("word"), F.length("term"))
     hits = readings.join(near, "word").withColumn(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from catmatch.functions.distance import damerau_distance, small_distance
 from catmatch.operators.fuzzy import term_keys, term_matches, word_keys
+from catmatch.operators.text_search import producer_matches
 
 
 def test_keys_of_a_word_do_not_grow_with_its_length(spark):
@@ -40,3 +41,11 @@ def test_small_distance_of_long_words_with_swaps(spark):
     for r in rows.collect():
         exact = damerau_distance(r.a, r.b)
         assert r.d == (exact if exact <= 2 else None)
+
+
+def test_producers_read_every_word_once(spark):
+    words = spark.createDataFrame([("sunnyvalley",), ("sunnyvaley",), ("other",)], "word string")
+    owners = spark.createDataFrame([("sunnyvalley", "Sunny Valley"), ("moonvalley", "Moon")], "term string, winery string")
+    found = producer_matches(words, owners)
+    assert {(r.raw, r.winery) for r in found.collect()} == {("sunnyvalley", "Sunny Valley"), ("sunnyvaley", "Sunny Valley")}
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
