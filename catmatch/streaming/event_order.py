@@ -58,9 +58,11 @@ class _Shots(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frames = _ordered(rows, ["ts"])
         if len(frames):
-            shots, after = mark_shots(frames, tuple(self.before.get()) if self.before.exists() else NO_FRAMES, *self.rule)
+            before = self.before.get()  # None at first; to ask would be another call for every key
+            shots, after = mark_shots(frames, NO_FRAMES if before is None else tuple(before), *self.rule)
             self.before.update(after)
-            yield pd.DataFrame({self.key: [key[0]] * len(shots), "ts": shots.astype("int64").to_numpy()})
+            if len(shots):
+                yield pd.DataFrame({self.key: [key[0]] * len(shots), "ts": shots.to_numpy()})
 
     def close(self) -> None:
         pass
