@@ -113,13 +113,13 @@ def job_events(v):
 
 @query("deadline_miss_stream", "R6", DEADLINE_SQL)
 def deadline_miss_stream(v):
-    return js.run_to_folder(js.deadline_misses(job_events(v), "job", 86_400_000_000, delay="0 seconds"), js.scratch(v.spark, "deadline"))
+    return js.deadline_misses(job_events(v), js.scratch(v.spark, "deadline"), "job", 86_400_000_000, delay="0 seconds")
 
 
 @query("deadline_miss_late", "R6", DEADLINE_SQL + " - 3600000")
 def deadline_miss_late(v):
-    """Rows up to an hour late still count; a miss is told an hour later."""
-    return js.run_to_folder(js.deadline_misses(job_events(v), "job", 86_400_000_000, delay="1 hour"), js.scratch(v.spark, "deadline"))
+    """A miss is told an hour later, when rows up to an hour late have come."""
+    return js.deadline_misses(job_events(v), js.scratch(v.spark, "deadline"), "job", 86_400_000_000, delay="1 hour")
 
 
 @query("history_sink", "R7", """
