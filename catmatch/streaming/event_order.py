@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from catmatch import fixed_values as fv
 from catmatch.operators import vector_blocks as vb
-from catmatch.operators.ranking import join_null_safe
 from catmatch.streaming.jobs import JOB_TRANSITIONS, NO_FRAMES, _ordered, mark_shots, run_batches, run_to_folder
 
 STATES = sorted({s for change in JOB_TRANSITIONS for s in change})
@@ -177,7 +176,7 @@ def match_views(scans: DataFrame, blocks: vb.GalleryBlocks, folder: str, limit:
 
     run_batches(scans, folder, each)
     rows = scans.sparkSession.read.parquet(folder + "/rows").drop("batch")
-    bodies = rows.filter("kind = 'body'").select("query_id").distinct().withColumn("_body", F.lit(True))
-    found = join_null_safe(rows.filter("kind <> 'body'"), bodies, ["query_id"], "left").filter(
-        (F.col("kind") == "own") | F.col("_body").isNull())
-    return vb.merge_rankings(found.drop("kind", "_body"), limit)
+    # Only whole images are looked up: the lists of the others, most of all, stay where they are.
+    bodies = rows.filter("kind = 'body'").select("query_id").distinct()
+    found = rows.filter("kind = 'own'").unionByName(rows.filter("kind = 'whole'").join(bodies, "query_id", "left_anti").select(*rows.columns))
+    return vb.merge_rankings(found.drop("kind"), limit)
